@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from votelens import vocabulary as V
 from votelens.functions.ordering import exact_quantiles
-from votelens.functions.scalars import safe_div
+from votelens.functions.scalars import mean4, safe_div
 from votelens.operators.votes import with_vocabulary
 
 # Required keys of a label record and the JSON types each may have.
@@ -17,63 +17,63 @@ REQUIRED = [("image", ["STRING"]), ("name", ["STRING"]), ("split", ["STRING"]),
 SUBKEYS = [("value", ["INT", "REAL"]), ("trust", ["INT", "REAL"]), ("supervise", ["BOOLEAN"])]
 
 
-def _json_kind(v: Column) -> Column:
-    """Kind of a variant: STRING, INT, REAL, BOOLEAN, OBJECT, ARRAY or NULL ('' when the key is absent)."""
-    s = F.schema_of_variant(v)
-    return (F.when(v.isNull(), "").when(s.startswith("OBJECT"), "OBJECT").when(s.startswith("ARRAY"), "ARRAY")
-            .when(s == "BIGINT", "INT").when(s.startswith("DECIMAL") | s.isin("DOUBLE", "FLOAT"), "REAL")
-            .when(s == "VOID", "NULL").otherwise(s))
+def _kind(schema: Column) -> Column:
+    """Kind named by the schema text of a variant: STRING, INT, REAL, BOOLEAN, OBJECT, ARRAY or NULL ('' if absent)."""
+    head = F.regexp_extract(schema, "^[A-Z]+", 0)
+    return (F.when(schema.isNull(), "").when(head == "BIGINT", "INT").when(head.isin("DECIMAL", "DOUBLE", "FLOAT"), "REAL")
+            .when(head == "VOID", "NULL").otherwise(head))
+
+
+def _field(schema: Column, name: str) -> Column:
+    """Schema text of one field of a flat object schema, NULL when the field is absent."""
+    found = F.regexp_extract(schema, rf"[<, ]{name}: ([A-Z]+)", 1)
+    return F.when(found != "", found)
 
 
 def validate_labels(raw: DataFrame, images: DataFrame | None = None, text: str = "value") -> DataFrame:
     """One row per problem of each record (id, problem). A clean record yields no row.
 
-    Records stay text until a tolerant parse, so a broken one becomes a finding instead of a failed read.
+    Records stay text until a tolerant parse, so a broken one becomes a finding instead of a failed read. Each
+    key and each concept cell is typed once; all checks read that type.
     """
+    keep = [c for c in raw.columns if c != text]
     d = raw.withColumn("_v", F.try_parse_json(text))
-    get = lambda path: F.try_variant_get("_v", path, "variant")
-    keys = F.transform(F.map_keys(F.from_json(F.get_json_object(F.col(text), "$.concepts"), "map<string,string>")),
-                       lambda k: k)
-    d = d.withColumn("_keys", F.when(F.col("_v").isNotNull(), keys))
-    checks = [F.when(F.col("_v").isNull(), F.lit("invalid JSON"))]
-    checks.append(F.when(_json_kind(F.col("_v")).isin("ARRAY", "STRING", "INT", "REAL", "BOOLEAN", "NULL"),
-                         F.lit("top level is not an object")))
-    is_obj = _json_kind(F.col("_v")) == "OBJECT"
+    d = d.withColumn("_top", _kind(F.schema_of_variant("_v")))
+    typed = F.struct(*[_kind(F.schema_of_variant(F.try_variant_get("_v", f"$.{k}", "variant"))).alias(k) for k, _ in REQUIRED])
+    cells = F.from_json(F.get_json_object(F.col(text), "$.concepts"), "map<string,variant>")
+    cell_types = F.transform(F.map_entries(cells), lambda e: F.struct(e["key"].alias("k"), F.schema_of_variant(e["value"]).alias("s")))
+    ok = F.col("_top") == "OBJECT"
+    d = d.select(*keep, "_top", typed.alias("_kinds"), F.when(ok, cell_types).alias("_cells"),
+                 F.try_variant_get("_v", "$.decision", "string").alias("_decision"),
+                 F.try_variant_get("_v", "$.image", "string").alias("_image"))
+    checks = [F.when(F.col("_top") == "", F.lit("invalid JSON")),
+              F.when(~ok & (F.col("_top") != ""), F.lit("top level is not an object"))]
     for key, kinds in REQUIRED:
-        k = _json_kind(get(f"$.{key}"))
-        checks.append(F.when(is_obj & (k == ""), F.lit(f"missing key {key}")))
-        checks.append(F.when(is_obj & (k != "") & ~k.isin(*kinds), F.lit(f"wrong type {key}")))
-    dec = F.try_variant_get("_v", "$.decision", "string")
-    checks.append(F.when((_json_kind(get("$.decision")) == "STRING") & ~dec.isin(*V.DECISIONS),
-                         F.lit("unknown decision")))
+        k = F.col(f"_kinds.{key}")
+        checks.append(F.when(ok & (k == ""), F.lit(f"missing key {key}")).when(ok & ~k.isin(*kinds), F.lit(f"wrong type {key}")))
+    checks.append(F.when((F.col("_kinds.decision") == "STRING") & ~F.col("_decision").isin(*V.DECISIONS), F.lit("unknown decision")))
     known = F.array(*[F.lit(n) for n in V.NAMES])
-    missing = F.transform(F.array_except(known, F.col("_keys")), lambda n: F.concat(F.lit("missing concept "), n))
-    extra = F.transform(F.array_except(F.col("_keys"), known), lambda n: F.concat(F.lit("unknown concept "), n))
-    cells = F.from_json(F.get_json_object(F.col(text), "$.concepts"), "map<string,variant>")
-    d = d.withColumn("_cells", F.when(F.col("_v").isNotNull(), cells))
+    names = F.transform("_cells", lambda c: c["k"])
+    missing = F.transform(F.array_except(known, names), lambda n: F.concat(F.lit("missing concept "), n))
+    extra = F.transform(F.array_except(names, known), lambda n: F.concat(F.lit("unknown concept "), n))
 
-    def cell_problems(entry: Column) -> Column:
-        found = [F.when(_json_kind(entry["value"]) != "OBJECT",
-                        F.concat(F.lit("concept is not an object "), entry["key"]))]
+    def cell_problems(c: Column) -> Column:
+        obj = c["s"].startswith("OBJECT")
+        found = [F.when(~obj, F.concat(F.lit("concept is not an object "), c["k"]))]
         for sub, kinds in SUBKEYS:
-            k = _json_kind(F.try_variant_get(entry["value"], f"$.{sub}", "variant"))
-            obj = _json_kind(entry["value"]) == "OBJECT"
-            found.append(F.when(obj & (k == ""), F.concat(F.lit(f"missing {sub} in "), entry["key"])))
-            found.append(F.when(obj & (k != "") & ~k.isin(*kinds), F.concat(F.lit(f"wrong type {sub} in "), entry["key"])))
+            k = _kind(_field(c["s"], sub))
+            found.append(F.when(obj & (k == ""), F.concat(F.lit(f"missing {sub} in "), c["k"])).when(
+                obj & ~k.isin(*kinds), F.concat(F.lit(f"wrong type {sub} in "), c["k"])))
         return F.array(*found)
 
-    per_cell = F.flatten(F.transform(F.map_entries("_cells"), cell_problems))
     empty = F.array().cast("array<string>")
     problems = F.filter(F.concat(F.array(*checks), F.coalesce(missing, empty), F.coalesce(extra, empty),
-                                 F.coalesce(per_cell, empty)), lambda p: p.isNotNull())
-    keep = [c for c in raw.columns if c != text]
-    out = d.select(*keep, F.try_variant_get("_v", "$.image", "string").alias("_image"), problems.alias("_problems"))
-    found = out.select(*keep, F.explode("_problems").alias("problem"))
+                                 F.coalesce(F.flatten(F.transform("_cells", cell_problems)), empty)), lambda p: p.isNotNull())
+    found = d.select(*keep, F.explode(problems).alias("problem"))
     if images is not None:
-        lost = out.filter(F.col("_image").isNotNull()).join(
+        lost = d.filter(F.col("_image").isNotNull()).join(
             images.select(F.col("image").alias("_image")).distinct(), "_image", "left_anti")
-        found = found.unionByName(lost.select(*keep, F.concat(F.lit("image not found "), F.col("_image"))
-                                              .alias("problem")))
+        found = found.unionByName(lost.select(*keep, F.concat(F.lit("image not found "), F.col("_image")).alias("problem")))
     return found
 
 
@@ -177,17 +177,16 @@ def concept_profile(trusted: DataFrame) -> DataFrame:
 
     Values carry four decimals in [0, 1], so the count-based percentile buffer holds at most 10,001 entries."""
     pct = lambda cond: F.count(F.when(cond, 1)) * 100.0 / F.count(F.lit(1))
-    mean = lambda c: F.sum(c) / F.count(c)
     return trusted.groupBy("concept").agg(
-        F.count(F.lit(1)).alias("n"), pct(F.col("supervise")).alias("pct_supervised"), mean("trust").alias("mean_trust"),
-        mean("value").alias("mean_value"), pct(F.col("value") > 0).alias("pct_gt0"),
+        F.count(F.lit(1)).alias("n"), pct(F.col("supervise")).alias("pct_supervised"), mean4("trust").alias("mean_trust"),
+        mean4("value").alias("mean_value"), pct(F.col("value") > 0).alias("pct_gt0"),
         pct(F.col("value") > 0.5).alias("pct_gt05"), F.percentile("value", 0.9).alias("p90"))
 
 
 def suspicion_profile(curated: DataFrame) -> DataFrame:
     """Mean, percentiles and share above 0.5 of stored suspicion (four decimals, so the buffer is bounded)."""
     n = F.count("suspicion")
-    return curated.agg(n.alias("n"), (F.sum("suspicion") / n).alias("mean"),
+    return curated.agg(n.alias("n"), mean4("suspicion").alias("mean"),
                        F.percentile("suspicion", 0.5).alias("p50"), F.percentile("suspicion", 0.9).alias("p90"),
                        F.percentile("suspicion", 0.99).alias("p99"),
                        (F.count(F.when(F.col("suspicion") > 0.5, 1)) / n).alias("frac_gt05"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from votelens import vocabulary as V
-from votelens.functions.scalars import round4
+from votelens.functions.scalars import mean4, round4, units4
 from votelens.operators.votes import with_vocabulary
 
 
@@ -38,14 +38,17 @@ def decide(label: Column, frame_trust: Column, suspicion: Column) -> Column:
 
 
 def core_profile(trusted: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
-    """Unrounded frame trust (mean core trust) and suspicion (trust-weighted core value, 0 without trust)."""
+    """Unrounded frame trust (mean core trust) and suspicion (trust-weighted core value, 0 without trust).
+
+    Stored values and trusts are multiples of 1e-4; summing them as whole units is exact, so a decision at a
+    rounding tie does not depend on the order in which a shuffle delivers the cells."""
     core = F.col("core")
-    st = F.sum(F.when(core, F.col("trust")))
-    sv = F.sum(F.when(core, F.col("value") * F.col("trust")))
+    st = F.sum(F.when(core, units4("trust")))
+    sv = F.sum(F.when(core, units4("value") * units4("trust")))
     g = trusted.groupBy(*by).agg(F.count(F.when(core, 1)).alias("_k"), st.alias("_st"), sv.alias("_sv"),
                                  F.max("cross_read").alias("verified"))
-    return g.select(*by, F.when(F.col("_k") > 0, F.col("_st") / F.col("_k")).otherwise(0.0).alias("_ft"),
-                    F.when(F.col("_st") > 0, F.col("_sv") / F.col("_st")).otherwise(0.0).alias("_su"), "verified")
+    return g.select(*by, F.when(F.col("_k") > 0, F.col("_st") / F.col("_k") / 10000.0).otherwise(0.0).alias("_ft"),
+                    F.when(F.col("_st") > 0, F.col("_sv") / F.col("_st") / 10000.0).otherwise(0.0).alias("_su"), "verified")
 
 
 def curate_frames(frames: DataFrame, trusted: DataFrame, half_even: bool = False) -> DataFrame:
@@ -72,7 +75,7 @@ def decision_counts(curated: DataFrame, trusted: DataFrame) -> DataFrame:
     sup = trusted.groupBy("path").agg(F.count(F.when(F.col("supervise"), 1)).alias("cells"))
     return curated.join(sup, "path", "left").groupBy("decision").agg(
         F.count(F.lit(1)).alias("frames"), F.sum(F.coalesce("cells", F.lit(0))).alias("supervised_cells"),
-        (F.sum("frame_trust") / F.count(F.lit(1))).alias("mean_trust"))
+        mean4("frame_trust").alias("mean_trust"))
 
 
 def gate_weights(cells: DataFrame) -> DataFrame:

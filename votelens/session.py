@@ -17,6 +17,7 @@ def build_session(app: str = "votelens", cpus: str = "*", shuffle_partitions: in
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.driver.memory", "12g"))
     for k, v in conf.items():
         b = b.config(k, v)
