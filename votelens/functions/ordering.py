@@ -33,7 +33,8 @@ def prefix_sums(df: DataFrame, by: list[str], key: str, sums: list[str], descend
     """
     n = fanout * fanout
     probs = [i / n for i in range(1, n)]
-    bounds = (df.groupBy(*by)
+    # reading the sums here keeps them in the plan, so border search and main pass share one shuffle of df
+    bounds = (df.filter(F.greatest(*[F.col(s) for s in sums], F.lit(0)) >= 0).groupBy(*by)
               .agg(F.percentile_approx(F.col(key).cast("double"), probs, 20 * n).alias("_bounds")))
     bounds = bounds.withColumn(
         "_coarse", F.transform(F.sequence(F.lit(1), F.lit(fanout - 1)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NA_SPELLINGS = ("not_assessable", "na", "")
@@ -26,23 +26,32 @@ def hash_byte(salt: str, *keys: Column | str) -> Column:
     return F.conv(F.substring(digest, 1, 2), 16, 10).cast("int")
 
 
-def mix32(x: Column) -> Column:
-    """A 32-bit integer mixer on BIGINT columns; stays in codegen and in portable integer SQL."""
+MASK32 = 4294967295
+
+
+def _mixed(df: DataFrame, col: str) -> DataFrame:
+    """32-bit integer mixer as a chain of projections.
+
+    Each step names its result once, so Catalyst fuses the chain into one generated loop; written as a single
+    nested expression the operand would double at every shift."""
+    c = F.col(col)
     for _ in range(2):
-        x = x.bitwiseXOR(F.shiftright(x, 16))
-        x = (x * F.lit(73244475)).bitwiseAND(F.lit(4294967295))
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
-
-def draw_index(seed: int, rep: Column, draw: Column, size: Column) -> Column:
-    """Uniform index in [0, size) for (rep, draw): 53 mixed bits, so pools beyond 2^32 rows stay uniform."""
-    r = mix32((rep.cast("long") + F.lit(seed * 7919 + 1)).bitwiseAND(F.lit(4294967295)))
-    d = draw.cast("long")
-    low = mix32(d.bitwiseAND(F.lit(4294967295)))
-    high = F.shiftright(d, 32)
-    base = mix32(r.bitwiseXOR(low).bitwiseXOR(high))
-    extra = mix32(base.bitwiseXOR(F.lit(2654435769)))
-    return F.pmod(base * F.lit(2097152) + extra.bitwiseAND(F.lit(2097151)), size)
+        df = df.withColumn(col, c.bitwiseXOR(F.shiftright(c, 16)))
+        df = df.withColumn(col, (c * F.lit(73244475)).bitwiseAND(F.lit(MASK32)))
+    return df.withColumn(col, c.bitwiseXOR(F.shiftright(c, 16)))
+
+
+def with_draw_index(df: DataFrame, seed: int, rep: Column, draw: str, size: str, out: str = "idx") -> DataFrame:
+    """Adds a uniform index in [0, size) for (rep, draw): 53 mixed bits, so pools beyond 2^32 rows stay uniform."""
+    d = F.col(draw).cast("long")
+    df = df.withColumn("_r", (rep.cast("long") + F.lit(seed * 7919 + 1)).bitwiseAND(F.lit(MASK32)))
+    df = df.withColumn("_l", d.bitwiseAND(F.lit(MASK32)))
+    df = _mixed(_mixed(df, "_r"), "_l")
+    df = df.withColumn("_b", F.col("_r").bitwiseXOR(F.col("_l")).bitwiseXOR(F.shiftright(d, 32)))
+    df = _mixed(df, "_b")
+    df = _mixed(df.withColumn("_e", F.col("_b").bitwiseXOR(F.lit(2654435769))), "_e")
+    idx = F.pmod(F.col("_b") * F.lit(2097152) + F.col("_e").bitwiseAND(F.lit(2097151)), F.col(size))
+    return df.withColumn(out, idx).drop("_r", "_l", "_b", "_e")
 
 
 def is_not_assessable(raw: Column) -> Column:

@@ -46,7 +46,13 @@ def validate_labels(raw: DataFrame, images: DataFrame | None = None, text: str =
     d = d.select(*keep, "_top", typed.alias("_kinds"), F.when(ok, cell_types).alias("_cells"),
                  F.try_variant_get("_v", "$.decision", "string").alias("_decision"),
                  F.try_variant_get("_v", "$.image", "string").alias("_image"))
-    checks = [F.when(F.col("_top") == "", F.lit("invalid JSON")),
+    if images is None:
+        lost = F.lit(False)
+    else:
+        d = d.join(images.select(F.col("image").alias("_image"), F.lit(1).alias("_hit")).distinct(), "_image", "left")
+        lost = F.col("_image").isNotNull() & F.col("_hit").isNull()
+    checks = [F.when(lost, F.concat(F.lit("image not found "), F.col("_image"))),
+              F.when(F.col("_top") == "", F.lit("invalid JSON")),
               F.when(~ok & (F.col("_top") != ""), F.lit("top level is not an object"))]
     for key, kinds in REQUIRED:
         k = F.col(f"_kinds.{key}")
@@ -69,12 +75,7 @@ def validate_labels(raw: DataFrame, images: DataFrame | None = None, text: str =
     empty = F.array().cast("array<string>")
     problems = F.filter(F.concat(F.array(*checks), F.coalesce(missing, empty), F.coalesce(extra, empty),
                                  F.coalesce(F.flatten(F.transform("_cells", cell_problems)), empty)), lambda p: p.isNotNull())
-    found = d.select(*keep, F.explode(problems).alias("problem"))
-    if images is not None:
-        lost = d.filter(F.col("_image").isNotNull()).join(
-            images.select(F.col("image").alias("_image")).distinct(), "_image", "left_anti")
-        found = found.unionByName(lost.select(*keep, F.concat(F.lit("image not found "), F.col("_image")).alias("problem")))
-    return found
+    return d.select(*keep, F.explode(problems).alias("problem"))
 
 
 def missing_and_orphan(images: DataFrame, labels: DataFrame, strict: bool = False) -> DataFrame:

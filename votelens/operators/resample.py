@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from votelens.functions.ordering import attach, hash_index, prefix_sums
-from votelens.functions.scalars import draw_index, ppv_from_fpr
+from votelens.functions.scalars import ppv_from_fpr, with_draw_index
 from votelens.operators.curves import curve, curve_metrics, group_report, k_at_recall, score_groups, score_metrics
 
 CHUNK = 1 << 16
@@ -60,9 +60,8 @@ def stratified_draws(scored: DataFrame, reps: int, seed: int, prevalence: float
     plan = _reps(_mix_plan(scored, prevalence), reps)
     tag = F.when(F.col("label") == 1, 1).otherwise(0)
     code = F.pmod(F.conv(F.substring(F.md5(F.col("stratum")), 1, 7), 16, 10).cast("long"), F.lit(1000003))
-    d = expand(plan, "draws", "draw").select(
-        "rep", "label", "stratum", draw_index(seed, F.col("rep") * 2 + tag + code * 8192, F.col("draw"), F.col("size"))
-        .alias("idx"))
+    d = with_draw_index(expand(plan, "draws", "draw"), seed, F.col("rep") * 2 + tag + code * 8192, "draw", "size")
+    d = d.select("rep", "label", "stratum", "idx")
     pool = _pool(scored.select("name", "label", _stratum().alias("stratum"), *values), ["label", "stratum"], f"pool{seed}")
     pool = pool.select("label", "stratum", "idx", *values)
     return attach(d, pool, ["label", "stratum", "idx"]).groupBy("rep", "label", *values).agg(F.count(F.lit(1)).alias("w"))
@@ -73,8 +72,7 @@ def iid_draws(scored: DataFrame, reps: int, seed: int, values: list[str] = ("sco
     by = list(by)
     pool = _pool(scored.select(*by, "name", "label", *values), by, f"iid{seed}")
     plan = _reps(scored.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).withColumn("draws", F.col("size")), reps)
-    d = expand(plan, "draws", "draw").select(*by, "rep", draw_index(seed, F.col("rep"), F.col("draw"), F.col("size"))
-                                             .alias("idx"))
+    d = with_draw_index(expand(plan, "draws", "draw"), seed, F.col("rep"), "draw", "size").select(*by, "rep", "idx")
     j = attach(d, pool.select(*by, "idx", "label", *values), [*by, "idx"])
     return j.groupBy(*by, "rep", "label", *values).agg(F.count(F.lit(1)).alias("w"))
 
@@ -84,11 +82,10 @@ def replicate_metrics(draws: DataFrame, by: list[str] = ("rep",), target: float
     return curve_metrics(curve(score_groups(draws, by, score, weight="w"), by), by, target)
 
 
-def summary(values: DataFrame, col: str, prefix: str, by: list[str] = ()) -> DataFrame:
+def summary(col: str, prefix: str) -> list[Column]:
     """Median, 95 % interval and mean over replicates (one row per replicate, NULLs skipped)."""
-    return values.groupBy(*by).agg(
-        F.percentile(col, 0.5).alias(f"{prefix}_median"), F.percentile(col, 0.025).alias(f"{prefix}_lo"),
-        F.percentile(col, 0.975).alias(f"{prefix}_hi"), (F.sum(col) / F.count(col)).alias(f"{prefix}_mean"))
+    return [F.percentile(col, 0.5).alias(f"{prefix}_median"), F.percentile(col, 0.025).alias(f"{prefix}_lo"),
+            F.percentile(col, 0.975).alias(f"{prefix}_hi"), (F.sum(col) / F.count(col)).alias(f"{prefix}_mean")]
 
 
 def bootstrap(scored: DataFrame, reps: int = 1000, seed: int = 12345, target: float = 0.9, prevalence: float = 0.01,
@@ -102,11 +99,9 @@ def bootstrap(scored: DataFrame, reps: int = 1000, seed: int = 12345, target: fl
         hit = F.col("score") >= fixed_thr
         f = draws.filter(hit).groupBy("rep").agg((F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)) / F.sum("w")).alias("fixed"))
         m = m.join(f, "rep", "left").withColumn("fixed", F.coalesce("fixed", F.lit(0.0)))
-    out = m.agg(F.count(F.lit(1)).alias("reps"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
-                F.percentile("fpr_incl", 0.5).alias("fpr_median"))
-    for col, prefix in (("ppv", "curve"), ("ppv_oracle", "oracle"), ("fixed", "fixed")):
-        out = out.crossJoin(summary(m, col, prefix))  # one-row summaries
-    return out
+    return m.agg(F.count(F.lit(1)).alias("reps"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
+                 F.percentile("fpr_incl", 0.5).alias("fpr_median"), *summary("ppv", "curve"),
+                 *summary("ppv_oracle", "oracle"), *summary("fixed", "fixed"))
 
 
 def challenge_replicates(scored: DataFrame, reps: int, seed: int, target: float = 0.9, ratio: int = 100) -> DataFrame:
@@ -122,8 +117,7 @@ def challenge_replicates(scored: DataFrame, reps: int, seed: int, target: float
                        F.count(F.when(F.col("label") == 0, 1)).alias("_n"))
     plan = sizes.select("size", F.greatest(F.lit(1), F.bround(F.col("_n") / float(ratio), 0)).cast("long").alias("draws"))
     plan = _reps(plan.filter("size > 0").withColumn("n_draw", F.col("draws")), reps)
-    d = expand(plan, "draws", "draw").select(
-        "rep", "n_draw", draw_index(seed, F.col("rep"), F.col("draw"), F.col("size")).alias("idx"))
+    d = with_draw_index(expand(plan, "draws", "draw"), seed, F.col("rep"), "draw", "size").select("rep", "n_draw", "idx")
     g = attach(d, pool, ["idx"]).groupBy("rep", "score", "neg_above", "n_draw").agg(F.count(F.lit(1)).alias("pos"))
     p = prefix_sums(g, ["rep"], "score", ["pos"])
     k = k_at_recall(F.col("n_draw"), target)
@@ -247,12 +241,11 @@ def grouped_bootstrap(scored: DataFrame, group: str, reps: int, seed: int, targe
                    F.col("_P").cast("long").alias("draws"))
     code = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", group, "stratum", "label")), 1, 7), 16, 10).cast("long"),
                   F.lit(1000003))
-    d = expand(_reps(neg.unionByName(pos), reps), "draws", "draw").select(
-        group, "rep", "label", "stratum",
-        draw_index(seed, F.col("rep") + code * 8192, F.col("draw"), F.col("size")).alias("idx"))
+    d = expand(_reps(neg.unionByName(pos), reps), "draws", "draw")
+    d = with_draw_index(d, seed, F.col("rep") + code * 8192, "draw", "size").select(group, "rep", "label", "stratum", "idx")
     pool = _pool(scored.select(group, "name", "label", _stratum().alias("stratum"), "score"),
                  [group, "label", "stratum"], f"pool{seed}").select(group, "label", "stratum", "idx", "score")
     w = attach(d, pool, [group, "label", "stratum", "idx"]).groupBy(group, "rep", "label", "score").agg(
         F.count(F.lit(1)).alias("w"))
     m = replicate_metrics(w, [group, "rep"], target)
-    return summary(m, "ppv", "boot", [group])
+    return m.groupBy(group).agg(*summary("ppv", "boot"))
