@@ -25,22 +25,24 @@ def _bucket(key: Column, bounds: Column, coarse: Column, fanout: int) -> Column:
 
 
 def prefix_sums(df: DataFrame, by: list[str], key: str, sums: list[str], descending: bool = True,
-                fanout: int = FANOUT) -> DataFrame:
+                fanout: int = FANOUT, axis_by: list[str] | None = None) -> DataFrame:
     """Inclusive prefix sums of ``sums`` along ``key`` inside each ``by`` group.
 
     ``df`` holds one row per (by, key), so a key value shared by a third of the raw rows is already
-    one row here. Adds ``cum_<s>`` and the group total ``tot_<s>``.
+    one row here. Adds ``cum_<s>`` and the group total ``tot_<s>``. ``axis_by`` names the keys that need
+    their own bucket borders (default: all of ``by``); bootstrap replicates share the borders of their pool.
     """
+    axis_by = by if axis_by is None else axis_by
     n = fanout * fanout
     probs = [i / n for i in range(1, n)]
     # reading the sums here keeps them in the plan, so border search and main pass share one shuffle of df
-    bounds = (df.filter(F.greatest(*[F.col(s) for s in sums], F.lit(0)) >= 0).groupBy(*by)
+    bounds = (df.filter(F.greatest(*[F.col(s) for s in sums], F.lit(0)) >= 0).groupBy(*axis_by)
               .agg(F.percentile_approx(F.col(key).cast("double"), probs, 20 * n).alias("_bounds")))
     bounds = bounds.withColumn(
         "_coarse", F.transform(F.sequence(F.lit(1), F.lit(fanout - 1)),
                                lambda i: F.element_at("_bounds", i * fanout)))
-    if by:
-        cut = attach(df, bounds, by)
+    if axis_by:
+        cut = attach(df, bounds, axis_by)
     else:
         cut = df.crossJoin(F.broadcast(bounds))  # one row of n doubles by construction
     k = F.col(key).cast("double")

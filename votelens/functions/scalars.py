@@ -51,7 +51,8 @@ def with_draw_index(df: DataFrame, seed: int, rep: Column, draw: str, size: str,
     df = _mixed(df, "_b")
     df = _mixed(df.withColumn("_e", F.col("_b").bitwiseXOR(F.lit(2654435769))), "_e")
     idx = F.pmod(F.col("_b") * F.lit(2097152) + F.col("_e").bitwiseAND(F.lit(2097151)), F.col(size))
-    return df.withColumn(out, idx).drop("_r", "_l", "_b", "_e")
+    # never NULL: otherwise a join on the index pushes an is-not-null test, with the whole chain inlined, below it
+    return df.withColumn(out, F.coalesce(idx, F.lit(0).cast("long"))).drop("_r", "_l", "_b", "_e")
 
 
 def is_not_assessable(raw: Column) -> Column:

@@ -37,10 +37,11 @@ def pooled_and_each(groups: DataFrame, group: str = "center") -> DataFrame:
     return d.groupBy(*keys).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def curve(groups: DataFrame, by: list[str], bounded: bool = False) -> DataFrame:
+def curve(groups: DataFrame, by: list[str], bounded: bool = False, axis_by: list[str] | None = None) -> DataFrame:
     """Prefix counts from the highest score down: cum_pos, cum_neg, tot_pos, tot_neg per distinct score."""
-    step = bounded_prefix_sums if bounded else prefix_sums
-    return step(groups, by, "score", ["pos", "neg"])
+    if bounded:
+        return bounded_prefix_sums(groups, by, "score", ["pos", "neg"])
+    return prefix_sums(groups, by, "score", ["pos", "neg"], axis_by=axis_by)
 
 
 def k_at_recall(total: Column, target: float) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from votelens.functions.ordering import attach, hash_index, prefix_sums
 from votelens.functions.scalars import ppv_from_fpr, with_draw_index
+from votelens.session import cut_lineage
 from votelens.operators.curves import curve, curve_metrics, group_report, k_at_recall, score_groups, score_metrics
 
 CHUNK = 1 << 16
@@ -64,7 +65,8 @@ def stratified_draws(scored: DataFrame, reps: int, seed: int, prevalence: float
     d = d.select("rep", "label", "stratum", "idx")
     pool = _pool(scored.select("name", "label", _stratum().alias("stratum"), *values), ["label", "stratum"], f"pool{seed}")
     pool = pool.select("label", "stratum", "idx", *values)
-    return attach(d, pool, ["label", "stratum", "idx"]).groupBy("rep", "label", *values).agg(F.count(F.lit(1)).alias("w"))
+    w = attach(d, pool, ["label", "stratum", "idx"]).groupBy("rep", "label", *values).agg(F.count(F.lit(1)).alias("w"))
+    return cut_lineage(w)  # every metric reads the drawn table more than once
 
 
 def iid_draws(scored: DataFrame, reps: int, seed: int, values: list[str] = ("score",), by: list[str] = ()) -> DataFrame:
@@ -74,12 +76,13 @@ def iid_draws(scored: DataFrame, reps: int, seed: int, values: list[str] = ("sco
     plan = _reps(scored.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).withColumn("draws", F.col("size")), reps)
     d = with_draw_index(expand(plan, "draws", "draw"), seed, F.col("rep"), "draw", "size").select(*by, "rep", "idx")
     j = attach(d, pool.select(*by, "idx", "label", *values), [*by, "idx"])
-    return j.groupBy(*by, "rep", "label", *values).agg(F.count(F.lit(1)).alias("w"))
+    return cut_lineage(j.groupBy(*by, "rep", "label", *values).agg(F.count(F.lit(1)).alias("w")))
 
 
 def replicate_metrics(draws: DataFrame, by: list[str] = ("rep",), target: float = 0.9, score: str = "score") -> DataFrame:
     by = list(by)
-    return curve_metrics(curve(score_groups(draws, by, score, weight="w"), by), by, target)
+    axis = [b for b in by if b not in ("rep", "model")]
+    return curve_metrics(curve(score_groups(draws, by, score, weight="w"), by, axis_by=axis), by, target)
 
 
 def summary(col: str, prefix: str) -> list[Column]:
@@ -119,7 +122,7 @@ def challenge_replicates(scored: DataFrame, reps: int, seed: int, target: float
     plan = _reps(plan.filter("size > 0").withColumn("n_draw", F.col("draws")), reps)
     d = with_draw_index(expand(plan, "draws", "draw"), seed, F.col("rep"), "draw", "size").select("rep", "n_draw", "idx")
     g = attach(d, pool, ["idx"]).groupBy("rep", "score", "neg_above", "n_draw").agg(F.count(F.lit(1)).alias("pos"))
-    p = prefix_sums(g, ["rep"], "score", ["pos"])
+    p = prefix_sums(g, ["rep"], "score", ["pos"], axis_by=[])
     k = k_at_recall(F.col("n_draw"), target)
     fp = F.min(F.when(F.col("cum_pos") >= k, F.col("neg_above")))
     return p.groupBy("rep").agg(F.max("n_draw").alias("n_draw"), F.max(k).alias("k"), fp.alias("fp")).withColumn(
@@ -245,7 +248,7 @@ def grouped_bootstrap(scored: DataFrame, group: str, reps: int, seed: int, targe
     d = with_draw_index(d, seed, F.col("rep") + code * 8192, "draw", "size").select(group, "rep", "label", "stratum", "idx")
     pool = _pool(scored.select(group, "name", "label", _stratum().alias("stratum"), "score"),
                  [group, "label", "stratum"], f"pool{seed}").select(group, "label", "stratum", "idx", "score")
-    w = attach(d, pool, [group, "label", "stratum", "idx"]).groupBy(group, "rep", "label", "score").agg(
-        F.count(F.lit(1)).alias("w"))
+    w = cut_lineage(attach(d, pool, [group, "label", "stratum", "idx"]).groupBy(group, "rep", "label", "score").agg(
+        F.count(F.lit(1)).alias("w")))
     m = replicate_metrics(w, [group, "rep"], target)
     return m.groupBy(group).agg(*summary("ppv", "boot"))
