@@ -43,4 +43,4 @@ def stream_curate(i):
     src, out = scratch_path(i.spark, "votes"), scratch_path(i.spark, "curated")
     i.votes.write.json(src)
     M.stream_curate(i.spark, src, i.frames, out, scratch_path(i.spark, "state")).awaitTermination()
-    return i.spark.read.parquet(out).drop("epoch")
+    return M.latest_curated(i.spark, out)

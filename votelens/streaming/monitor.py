@@ -48,17 +48,25 @@ def quarantine(labels: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
 
 
 def stream_curate(spark: SparkSession, votes_path: str, frames: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Votes in, curated rows out. Each batch rewrites only its own folder, and frames already stored by an
-    earlier batch are skipped, so a replayed batch changes nothing."""
+    """Votes in, curated rows out. Votes of a frame may arrive over several batches: each batch adds its votes to
+    the stored ones and curates the frames it touched again from all of them. Batches rewrite only their own
+    folders, so a replayed batch changes nothing; :func:`latest_curated` gives the current row per frame."""
     v = spark.readStream.schema(VOTE_ROWS).option("recursiveFileLookup", True).json(votes_path)
 
     def curate(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        if epoch > 0:
-            done = [f"{out}/epoch={e}" for e in range(epoch)]
-            stored = session.read.parquet(*done).select("path")
-            batch = batch.join(stored, "path", "left_anti")
-        rows = TR.curate_frames(frames, TR.cell_trust(VO.aggregate_votes(batch)))
-        rows.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        batch.write.mode("overwrite").parquet(f"{out}/votes/epoch={epoch}")
+        stored = session.read.option("basePath", f"{out}/votes").parquet(*[f"{out}/votes/epoch={e}" for e in range(epoch + 1)])
+        touched = stored.filter(F.col("epoch") == epoch).select("path").distinct()
+        votes = stored.join(touched, "path", "left_semi").dropDuplicates(["path", "expert", "lens", "concept"]).drop("epoch")
+        rows = TR.curate_frames(frames, TR.cell_trust(VO.aggregate_votes(votes)))
+        rows.write.mode("overwrite").parquet(f"{out}/curated/epoch={epoch}")
 
     return (v.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(curate).start())
+
+
+def latest_curated(spark: SparkSession, out: str) -> DataFrame:
+    d = spark.read.parquet(f"{out}/curated")
+    cols = [c for c in d.columns if c not in ("path", "epoch")]
+    g = d.groupBy("path").agg(F.max_by(F.struct(*cols), "epoch").alias("_r"))
+    return g.select("path", *[F.col(f"_r.{c}").alias(c) for c in cols])
