@@ -269,10 +269,11 @@ def concept_ceiling(values: DataFrame, subsets: dict[str, tuple[list[str], bool]
 
 
 def ridge(train: DataFrame, alpha: float, label: str):
-    """Ridge regression on (features, label): summed squares with alpha equals regParam = alpha / n."""
-    n = train.count()
-    return LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0, regParam=alpha / max(n, 1),
-                            standardization=False, solver="normal").fit(train)
+    """Ridge regression on (features, label): summed squares plus alpha * |w|^2. Spark averages the squares and
+    divides its penalty by the label's standard deviation, hence regParam = alpha * std / n."""
+    r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
+    return LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0,
+                            regParam=alpha * max(r["sd"] or 0.0, 1e-12) / max(r["n"], 1), standardization=False, solver="normal").fit(train)
 
 
 def residualize(emb: DataFrame, nuisance: list[str], source: str, target: str) -> DataFrame:
