@@ -35,11 +35,13 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_votes(spark: SparkSession, sf_dir: str, alt: bool = False) -> DataFrame:
     """Long annotator votes (path, expert, lens, concept, raw). ``alt`` is a re-extraction in which a
     quarter of the cells was read differently."""
-    vocab = F.array(*[F.struct(F.lit(r[0]).alias("concept"), F.lit(r[4]).alias("kind"), _texts(r[5]).alias("allowed"),
-                               _texts(r[6]).alias("abnormal")) for r in V.vocabulary_rows()])
+    vocab = F.array(*[F.struct(F.lit(r[0]).alias("concept"), F.lit(len(r[5])).alias("_n")) for r in V.vocabulary_rows()])
     panel = F.array(*[F.struct(F.lit(e).alias("expert"), F.lit(i).alias("lens"))
                       for e in V.EXPERT_ORDER for i in range(V.EXPERT_VOTES[e])])
-    f = frames(spark, sf_dir).select("path", "name", "label")
+    # Spread the frames by path before they fan out into votes: the later aggregations by (path, concept) and by
+    # path keep this partitioning, so the votes themselves are never shuffled.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    f = frames(spark, sf_dir).select("path", "name", "label").repartition(n, "path")
     cells = f.select("*", F.explode(vocab).alias("_c")).select("*", "_c.*").drop("_c")
     own = hash_byte("b", "name", "concept")
     if alt:
@@ -47,22 +49,20 @@ def raw_votes(spark: SparkSession, sf_dir: str, alt: bool = False) -> DataFrame:
     cells = (cells.withColumn("_base", own).withColumn("_lift", hash_byte("t", "name", "concept"))
              .select("*", F.explode(panel).alias("_p")).select("*", "_p.expert", "_p.lens"))
     hv = hash_byte("v", "name", "expert", "lens", "concept")
-    n = F.size("allowed")
+    n = F.col("_n")
     idx = F.when(F.col("_hv") < 64, F.col("_hv") % n).otherwise(F.col("_base") % n)
     lifted = (F.when(F.col("kind") == "ordinal", F.least(F.lit(4), F.col("_i") + 2).cast("string"))
               .when(F.col("kind") == "binary", "yes")
               .otherwise(F.coalesce(F.get("abnormal", F.lit(0)), F.get("allowed", F.col("_i")))))
     cells = cells.withColumn("_hv", hv).withColumn("_i", idx)
+    dim = F.broadcast(V.vocabulary(spark).select("concept", "kind", "allowed", "abnormal"))  # 35 rows
+    cells = cells.join(dim, "concept")
     raw = (F.when(F.col("_hv") < 32, V.NA)
            .when((F.col("label") == 1) & (F.col("_lift") < 128), lifted)
            .otherwise(F.get("allowed", F.col("_i"))))
     return cells.select("path", "expert", "lens", "concept", raw.alias("raw"))
 
 
-def _texts(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
-
-
 def _score(value: Column, positive: Column) -> Column:
     v = F.when(positive, value * 3.0).otherwise(value)
     return v / (v + F.lit(50.0))
