@@ -23,7 +23,9 @@ def expand(plan: DataFrame, count: str, out: str) -> DataFrame:
     keep = [c for c in plan.columns if c != count]
     chunks = plan.filter(F.col(count) > 0).select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK))).alias("_chunk"))
-    chunks = chunks.repartition(*keep, "_chunk")
+    # an explicit count: chunk rows are tiny, so AQE would otherwise merge them and explode everything in one task
+    n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = chunks.repartition(n, *keep, "_chunk")
     lo = F.col("_chunk") * CHUNK
     hi = F.least(lo + CHUNK, F.col(count)) - 1
     return chunks.select(*keep, F.explode(F.sequence(lo, hi)).alias(out))
