@@ -102,6 +102,11 @@ def loco_report(i):
     return M.loco_report(M.loco_all(i.embedding_pools, 1.0))
 
 
+@query("loco_leg")
+def loco_leg(i):
+    return M.loco_scores(i.embedding_pools, "center_1", "center_2", 1.0)
+
+
 @query("center_auroc")
 def center_auroc(i):
     e = i.embedding_pools

@@ -90,8 +90,12 @@ def decision_counts(i):
     return TR.decision_counts(i.curated, i.trusted)
 
 
-@query("trust_band", """SELECT CASE WHEN frame_trust >= 0.75 THEN 'high' WHEN frame_trust >= 0.5 THEN 'medium' ELSE 'low' END AS band,
-  count(*) AS n FROM curated GROUP BY 1""", "curated")
+BAND_SQL = """SELECT CASE WHEN frame_trust >= 0.75 THEN 'high' WHEN frame_trust >= 0.5 THEN 'medium' ELSE 'low' END AS band,
+  count(*) AS n FROM curated GROUP BY 1"""
+
+
+@query("trust_band", BAND_SQL, "curated")
+@query("expected_band", BAND_SQL, "curated")
 def expected_band(i):
     return i.curated.groupBy(TR.trust_band(F.col("frame_trust")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
