@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from votelens.session import scratch_path
 
@@ -89,6 +92,12 @@ def _drop_all() -> None:
             return
 
 
+def share(spark: SparkSession, value):
+    """Broadcasts a value together with the code of its class; call the result inside a task to get it."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.value)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of ``arange(start, start + length)`` over all pairs."""
     lengths = np.asarray(lengths, np.int64)
@@ -97,3 +106,18 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     ends = np.cumsum(lengths)
     return np.arange(total) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
+
+
+def map_rows(docs: DataFrame, run, fields: str) -> DataFrame:
+    """``run`` over Arrow batches of (row, text): the whole row travels as one struct, so its columns clash with nothing.
+
+    The result has the columns row and those of ``fields``, which ``run`` yields in this order; a null text comes as empty."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(fields).fields])
+
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays([row, pc.fill_null(pc.struct_field(row, "text"), "")], names=["row", "text"])
+
+    return rows.mapInArrow(lambda batches: run(with_text(batches)), schema)
