@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from votelens.llm import bpe, decontaminate, lines, simhash, toxicity
+from votelens.llm import bpe, decontaminate, lines, secrets, simhash, toxicity
 from votelens.llm.common import table
 
 #: Vocabulary of the tokenizer.
@@ -22,6 +22,11 @@ def query(fn):
     return fn
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op2_secrets(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(table(spark, sf_dir, "documents"))
