@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from votelens.llm import bpe, decontaminate, lines, secrets, simhash, toxicity
+from votelens.llm import balltree, bpe, decontaminate, lines, secrets, simhash, toxicity
 from votelens.llm.common import table
 
 #: Vocabulary of the tokenizer.
@@ -17,6 +17,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+SQL["op5_ball_tree"] = balltree.SQL
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -32,6 +35,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.op5_search(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op7_lines(table(spark, sf_dir, "documents"))
