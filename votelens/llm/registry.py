@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from votelens.llm import balltree, bpe, decontaminate, lines, secrets, simhash, toxicity
+from votelens.llm import balltree, bpe, decontaminate, lines, ppm, secrets, simhash, toxicity
 from votelens.llm.common import table
 
 #: Vocabulary of the tokenizer.
@@ -25,6 +25,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.op1_ppm(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op2_secrets(table(spark, sf_dir, "documents"))
