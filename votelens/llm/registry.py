@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from votelens.llm import balltree, bpe, decontaminate, lines, ppm, secrets, simhash, toxicity
+from votelens.llm import balltree, bpe, decontaminate, lines, ppm, repeats, secrets, simhash, toxicity
 from votelens.llm.common import table
 
 #: Vocabulary of the tokenizer.
@@ -35,6 +35,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op2_secrets(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.op3_repeats(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(table(spark, sf_dir, "documents"))
