@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from votelens.llm import balltree, bpe, decontaminate, lines, ppm, repeats, secrets, simhash, toxicity
+from votelens.llm import balltree, bpe, decontaminate, lines, pii, ppm, repeats, secrets, simhash, toxicity
 from votelens.llm.common import table
 
 #: Vocabulary of the tokenizer.
@@ -50,6 +50,11 @@ def op5_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balltree.op5_search(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op6_crf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op6_pii(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.op7_lines(table(spark, sf_dir, "documents"))
