@@ -29,8 +29,11 @@ RATIO_ROWS = 20_000
 #: Of these, rows of each class to which the head is fitted.
 FIT_ROWS = 2_000
 SMOOTHING = 1.0
-PENALTY = 1e-5
-STEPS = 80
+PENALTY = 1e-6
+STEPS = 150
+RATE = 20.0
+#: Buckets whose log-count ratio is nearer to zero tell the classes apart too little to count as features.
+WEAK = 0.5
 THRESHOLD = 0.3
 
 
@@ -101,28 +104,41 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (-1, *rows)], names=["bucket", "clean", "toxic"])
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, limit=1 << 18):
-            owner, bucket = grams(part.column("text").to_pylist())
-            ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), lists], names=["toxic", "buckets"])
+def _features(strong):
+    """The buckets of each text that are features; ``strong`` gives a flag for each bucket."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = strong()
+        for batch in batches:
+            for part in slices(batch, limit=1 << 18):
+                owner, bucket = grams(part.column("text").to_pylist())
+                owner, bucket = owner[flags[bucket]], bucket[flags[bucket]]
+                ends = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), lists], names=["toxic", "buckets"])
+
+    return run
+
 
+def _head(ends: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, ratio: np.ndarray, share: float) -> tuple[float, np.ndarray]:
+    """Logistic loss with both classes weighing the same, by accelerated descent; the bias then takes the true share.
 
-def _head(owner: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, ratio: np.ndarray, share: float) -> tuple[float, np.ndarray]:
-    """Logistic loss with both classes weighing the same, by accelerated descent; the bias then takes the true share."""
-    value = ratio[bucket].astype(np.float64)
-    value /= np.maximum(np.sqrt(np.bincount(owner, value * value, len(toxic))), 1e-9)[owner]
-    value = value.astype(np.float32)
+    Text i has the buckets [ends[i], ends[i + 1]). Texts are passed over in groups, so that nothing but their buckets is held."""
     weigh = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum()))
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(1 << 20, int(ends[-1]), 1 << 20)), len(toxic)])
     w = seen = np.zeros(len(ratio))
     bias = bias_seen = 0.0
     for step in range(STEPS):
-        z = bias_seen + np.bincount(owner, seen[bucket] * value, len(toxic))
-        slope = weigh * (1 / (1 + np.exp(-z)) - toxic)
-        new = seen - 3.5 * (np.bincount(bucket, slope[owner] * value, len(ratio)) + PENALTY * seen)
-        new_bias = bias_seen - 3.5 * slope.sum()
+        slope_bias, slope = 0.0, PENALTY * seen
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            at = bucket[ends[a]:ends[b]]
+            owner = np.repeat(np.arange(b - a), np.diff(ends[a:b + 1]))
+            value = ratio[at].astype(np.float64)
+            value /= np.maximum(np.sqrt(np.bincount(owner, value * value, b - a)), 1e-9)[owner]
+            z = bias_seen + np.bincount(owner, seen[at] * value, b - a)
+            error = weigh[a:b] * (1 / (1 + np.exp(-z)) - toxic[a:b])
+            slope += np.bincount(at, error[owner] * value, len(ratio))
+            slope_bias += error.sum()
+        new, new_bias = seen - RATE * slope, bias_seen - RATE * slope_bias
         push = step / (step + 3)
         seen, bias_seen = new + push * (new - w), new_bias + push * (new_bias - bias)
         w, bias = new, new_bias
@@ -146,17 +162,17 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, ratio
     p[bucket[some]] += toxic[some]
     q[bucket[some]] += clean[some]
     ratio = (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
-    ratio[(p + q) == 2 * SMOOTHING] = 0  # never seen: says nothing
+    ratio[((p + q) == 2 * SMOOTHING) | (np.abs(ratio) < WEAK)] = 0  # never seen, or too weak: says nothing
     few = None
     for c in (0, 1):
         one = found.filter(F.col("toxic") == c).orderBy("h", "doc_id").limit(fit_rows).select("text", "toxic")
         few = one if few is None else few.unionByName(one)
-    rows = few.mapInArrow(_features, "toxic int, buckets array<int>").toArrow().combine_chunks()
+    strong = share(docs.sparkSession, ratio != 0)
+    rows = few.mapInArrow(_features(strong), "toxic int, buckets array<int>").toArrow().combine_chunks()
     lists = rows.column("buckets").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    lengths = np.diff(lists.offsets.to_numpy())
-    share = marked.agg(F.avg("toxic")).first()[0]
-    bias, w = _head(np.repeat(np.arange(len(lists)), lengths), lists.flatten().to_numpy(), rows.column("toxic").to_numpy(), ratio, min(max(share, 1e-3), 0.999))
+    toxic_share = marked.agg(F.avg("toxic")).first()[0]
+    bias, w = _head(lists.offsets.to_numpy(), lists.values.to_numpy(), rows.column("toxic").to_numpy(), ratio, min(max(toxic_share, 1e-3), 0.999))
     return Model(bias, ratio, (w * ratio).astype(np.float32))
 
 
