@@ -91,14 +91,6 @@ def safe_div(num: Column, den: Column, default: float | None = None) -> Column:
     return F.when(den != 0, num / den).otherwise(F.lit(default).cast("double"))
 
 
-def count_where(cond: Column) -> Column:
-    return F.count(F.when(cond, F.lit(1)))
-
-
-def names_in(members) -> Column:
-    return F.array(*[F.lit(m) for m in members])
-
-
 def units4(col: Column | str) -> Column:
     """A value stored with four decimals as a whole number of 1e-4 units."""
     c = F.col(col) if isinstance(col, str) else col

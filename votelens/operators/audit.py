@@ -15,11 +15,6 @@ from votelens.operators.votes import with_vocabulary
 AGREE_MIN, ASSESS_MIN, LEAK_MAX, WITHIN_MIN, CI_FLOOR = 0.60, 0.50, 0.70, 0.55, 0.50
 
 
-def labelled_cells(cells: DataFrame, frames: DataFrame) -> DataFrame:
-    f = frames.filter(F.col("label").isin(0, 1)).select("path", "label", "center", "split")
-    return cells.join(f, "path")
-
-
 def concept_auroc(lc: DataFrame, by: list[str] = ("concept",), value: str = "c", folded: bool = False) -> DataFrame:
     """AUROC of cell values. A cell averages at most a handful of votes, so a concept has few distinct values
     and one window per concept is small."""

@@ -309,7 +309,3 @@ def nuisance_audit(values: DataFrame) -> DataFrame:
     vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     corr = F.when((vx > 1e-9) & (vy > 1e-9), F.abs(cov / F.sqrt(vx * vy)))
     return g.select("concept", "n", corr.alias("corr_label"), F.abs(F.col("_m1") - F.col("_m2")).alias("center_shift"))
-
-
-def latency_quantiles(log: DataFrame) -> DataFrame:
-    return exact_quantiles(log, ["level"], "latency", {"p50": 0.5, "p95": 0.95})

@@ -91,16 +91,12 @@ MINE_BUCKETS = ("HARD_NEG_CANDIDATE", "ABSTAIN")
 
 def pseudo_positive_mine(trusted: DataFrame, curated: DataFrame, manifest: DataFrame, scores: DataFrame | None, n: int,
                          pos_pct: float = 50.0, susp_min: float = 0.9, model_min: float = 0.5,
-                         buckets: tuple[str, ...] = MINE_BUCKETS, max_score: int | None = None,
-                         listing: DataFrame | None = None) -> DataFrame:
-    """Frames passing the concept, bucket, suspicion and model gates, best model score first. The cheap gates and
-    the optional cap on scored candidates run before the model gate."""
+                         buckets: tuple[str, ...] = MINE_BUCKETS, listing: DataFrame | None = None) -> DataFrame:
+    """Frames passing the concept, bucket, suspicion and model gates, best model score first."""
     g = _gated(trusted, curated, manifest, scores, pos_pct, buckets, susp_min, model_min)
     cand = g.filter(F.col("gate_a") & F.col("gate_c") & F.col("gate_d"))
     if listing is not None:
         cand = cand.join(listing.select("path").distinct(), "path", "left_semi")
-    if max_score:
-        cand = cand.orderBy(F.col("decisive").desc(), "path").limit(max_score)
     kept = cand.filter("gate_b")
     rank = [F.col("score").desc()] if scores is not None else [F.col("decisive").desc()]
     return kept.orderBy(*rank, "path").limit(n).select("path", "decisive", "score")

@@ -4,6 +4,8 @@ reach the driver."""
 
 from __future__ import annotations
 
+import json
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -14,7 +16,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,18 +113,42 @@ def fit_pipe(emb: DataFrame, pools: list[str] | None = None, whiten_dim: int = 0
 
 
 def center_debias(pipe: FeaturePipe, emb: DataFrame, k: int) -> None:
-    """k times: fit a center classifier on the current features, keep its unit weight vector, project it out."""
+    """k times: fit a center classifier on the current features, keep its unit weight vector, project it out.
+
+    The standardised features are written once; each round projects them inside its own plan."""
+    if not k:
+        return
+    base = cut_lineage(pipe.transform(emb.filter(F.col("center").isin("center_1", "center_2")))
+                       .select("x", (F.col("center") == "center_1").cast("double").alias("y")))
+    fresh: list[np.ndarray] = []
     for _ in range(k):
-        d = pipe.transform(emb.filter(F.col("center").isin("center_1", "center_2")))
-        d = d.select(array_to_vector("x").alias("features"), (F.col("center") == "center_1").cast("double").alias("y"))
-        w = balanced_logistic(cut_lineage(d), 1.0, balanced=False).coefficients.toArray()
-        pipe.directions.append(w / (np.linalg.norm(w) + 1e-9))
+        d = _project(base, fresh).select(array_to_vector("x").alias("features"), "y")
+        w = balanced_logistic(d, 1.0, balanced=False).coefficients.toArray()
+        fresh.append(w / (np.linalg.norm(w) + 1e-9))
+    pipe.directions += fresh
 
 
-def balanced_logistic(train: DataFrame, c: float, balanced: bool = True, max_iter: int = 100) -> LogisticRegressionModel:
+def _project(df: DataFrame, directions: list[np.ndarray]) -> DataFrame:
+    """Removes each unit direction in turn from column ``x``."""
+    if not directions:
+        return df
+    held = np.array(directions)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def apply(batch: pd.Series) -> pd.Series:
+        x = np.stack(batch.to_numpy())
+        for d in held:
+            x = x - np.outer(x @ d, d)
+        return pd.Series(list(x))
+
+    return df.withColumn("x", apply("x"))
+
+
+def balanced_logistic(train: DataFrame, c: float, balanced: bool = True, max_iter: int = 5000) -> LogisticRegressionModel:
     """L2 logistic regression on (features, y) with inverse penalty ``c`` and optional class balancing.
 
-    A summed loss with penalty |w|^2/2 equals Spark's mean loss with regParam = 1 / (c * sum of weights)."""
+    A summed loss with penalty |w|^2/2 equals Spark's mean loss with regParam = 1 / (c * sum of weights). Warns when
+    ``max_iter`` ends the fit before the loss settles."""
     n = train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows
     total = sum(r["n"] for r in n)
     weight = F.lit(1.0)
@@ -131,25 +157,37 @@ def balanced_logistic(train: DataFrame, c: float, balanced: bool = True, max_ite
             weight = F.when(F.col("y") == r["y"], total / (2.0 * r["n"])).otherwise(weight)
     lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (c * total),
                             standardization=False, maxIter=max_iter, tol=1e-8)
-    return lr.fit(train.withColumn("w", weight))
+    model = lr.fit(train.withColumn("w", weight))
+    if model.summary.totalIterations >= max_iter:
+        warnings.warn(f"logistic fit has not converged after {max_iter} iterations", stacklevel=2)
+    return model
 
 
 def positive_probability(model: LogisticRegressionModel, df: DataFrame, out: str = "score") -> DataFrame:
-    d = model.transform(df)
-    return d.withColumn(out, F.element_at(vector_to_array("probability"), 2)).drop("probability", "rawPrediction", "prediction")
+    """Scores from the coefficients alone: a fitted model holds its session, which no task can carry."""
+    d = df.withColumn("_x", vector_to_array("features"))
+    return linear_score(d, model.coefficients.toArray().tolist(), float(model.intercept), "_x", out).drop("_x")
 
 
 def _xy(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.select("name", "center", "label", array_to_vector("x").alias("features"), F.col(label).cast("double").alias("y"))
+    extra = ["source"] if "source" in df.columns else []
+    return df.select("name", "center", "label", array_to_vector("x").alias("features"), F.col(label).cast("double").alias("y"), *extra)
 
 
-def with_folds(df: DataFrame, k: int, label: str = "y", key: str = "name", salt: str = "fold0") -> DataFrame:
-    return hash_index(df, [label], key, salt, "_i").withColumn("fold", F.pmod("_i", F.lit(k)).cast("int")).drop("_i")
+def with_folds(df: DataFrame, k: int, label: str = "y", key: str = "name", salt: str = "fold0", group: str | None = None) -> DataFrame:
+    """Adds a fold: a hash split within the class. With ``group`` all rows of one group (copies of a source) share a
+    fold; the class of a group is its largest label."""
+    if group is None:
+        return hash_index(df, [label], key, salt, "_i").withColumn("fold", F.pmod("_i", F.lit(k)).cast("int")).drop("_i")
+    groups = df.groupBy(F.col(group).alias("_g")).agg(F.max(label).alias("_l"))
+    folds = hash_index(groups, ["_l"], "_g", salt, "_i").select("_g", F.pmod("_i", F.lit(k)).cast("int").alias("fold"))
+    return df.join(folds, F.col(group) == F.col("_g")).drop("_g")
 
 
 def oof_scores(xy: DataFrame, c: float, k: int = 5, balanced: bool = True) -> DataFrame:
-    """Out-of-fold probabilities (name, label, center, y, fold, score); folds are a hash split within the class."""
-    d = cut_lineage(with_folds(xy, k))
+    """Out-of-fold probabilities (name, label, center, y, fold, score). Where ``xy`` has a column source, all rows of a
+    source are in one fold."""
+    d = cut_lineage(with_folds(xy, k, group="source" if "source" in xy.columns else None))
     out = None
     for f in range(k):
         m = balanced_logistic(d.filter(F.col("fold") != f), c, balanced)
@@ -205,7 +243,8 @@ def loco_report(scores: DataFrame, target: float = 0.9) -> DataFrame:
 
 def center_auroc(x: DataFrame, k: int = 5) -> DataFrame:
     """Adversarial gate: out-of-fold AUROC of predicting the center from the final features."""
-    d = x.select("name", "label", "center", array_to_vector("x").alias("features"), (F.col("center") == "center_1").cast("double").alias("y"))
+    extra = ["source"] if "source" in x.columns else []
+    d = x.select("name", "label", "center", array_to_vector("x").alias("features"), (F.col("center") == "center_1").cast("double").alias("y"), *extra)
     o = oof_scores(d, 1.0, k).withColumn("is_c1", F.col("y").cast("int"))
     a = C.score_metrics(o, [], label="is_c1").select(F.col("auroc").alias("center_auroc"))
     return a.withColumn("verdict", F.when(F.col("center_auroc").isNull() | (F.col("center_auroc") <= 0.58), "PASS").otherwise("FAIL"))
@@ -227,11 +266,35 @@ class Ensemble:
         return mean.withColumn("score", sigmoid(F.lit(a) * F.col("mean_prob") + F.lit(b)))
 
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One JSON line per member and one for the calibration; coefficients at full precision."""
+        rows = [(i, json.dumps({"pools": p.pools, "mu": p.mu.tolist(), "sd": p.sd.tolist(), "w": w.tolist(), "b": b,
+                                "whiten": None if p.whiten is None else [x.tolist() for x in p.whiten],
+                                "directions": [d.tolist() for d in p.directions]})) for i, (p, w, b) in enumerate(self.members)]
+        rows.append((-1, json.dumps({"platt": list(self.platt)})))
+        spark.createDataFrame(rows, "member int, value string").coalesce(1).write.mode("overwrite").json(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Ensemble:
+        got = {r.member: json.loads(r.value) for r in spark.read.schema("member int, value string").json(path).collect()}  # a row per member
+        members = []
+        for i in sorted(k for k in got if k >= 0):
+            m = got[i]
+            whiten = None if m["whiten"] is None else tuple(np.array(x) for x in m["whiten"])
+            pipe = FeaturePipe(m["pools"], np.array(m["mu"]), np.array(m["sd"]), whiten, [np.array(d) for d in m["directions"]])
+            members.append((pipe, np.array(m["w"]), m["b"]))
+        return Ensemble(members, tuple(got[-1]["platt"]))
+
+
 def linear_score(df: DataFrame, coef: list[float], intercept: float, feats: str = "feats", out: str = "score") -> DataFrame:
     """sigmoid(w.x + b) with built-in array functions."""
+    return df.withColumn(out, sigmoid(linear(coef, intercept, feats)))
+
+
+def linear(coef: list[float], intercept: float, feats: str) -> Column:
     w = F.array(*[F.lit(float(v)) for v in coef])
     dot = F.aggregate(F.zip_with(F.transform(F.col(feats), lambda v: v.cast("double")), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return df.withColumn(out, sigmoid(dot + F.lit(float(intercept))))
+    return dot + F.lit(float(intercept))
 
 
 def ship_ensemble(emb: DataFrame, members: list[tuple[list[str], float]], debias_k: int = 0, k: int = 5) -> Ensemble:
@@ -268,35 +331,37 @@ def concept_ceiling(values: DataFrame, subsets: dict[str, tuple[list[str], bool]
     return t.join(au, keys).select("subset", "source", "target", "auroc", "ppv", "recall")
 
 
-def ridge(train: DataFrame, alpha: float, label: str):
-    """Ridge regression on (features, label): summed squares plus alpha * |w|^2. Spark averages the squares and
+def ridge(train: DataFrame, alpha: float, label: str) -> tuple[list[float], float]:
+    """Coefficients and intercept of a ridge regression on (features, label): summed squares plus alpha * |w|^2. Spark averages the squares and
     divides its penalty by the label's standard deviation, hence regParam = alpha * std / n."""
     r = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
-    return LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0,
-                            regParam=alpha * max(r["sd"] or 0.0, 1e-12) / max(r["n"], 1), standardization=False, solver="normal").fit(train)
+    m = LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0,
+                         regParam=alpha * max(r["sd"] or 0.0, 1e-12) / max(r["n"], 1), standardization=False, solver="normal").fit(train)
+    return m.coefficients.toArray().tolist(), float(m.intercept)
 
 
-def residualize(emb: DataFrame, nuisance: list[str], source: str, target: str) -> DataFrame:
+def residualize(emb: DataFrame, nuisance: list[str], source: str, target: str, held_out: Column | None = None) -> DataFrame:
     """Detector logits against their residual after removing predicted nuisance concepts: negative drift (KS),
     recall and FPR of the source threshold on the target, target AUROC; one row for raw, one for residual.
 
-    ``emb`` has (name, label, center, feats, <nuisance columns>)."""
-    pipe = fit_pipe(emb)
+    ``emb`` has (name, label, center, feats, <nuisance columns>). With ``held_out`` every fit sees the other rows and
+    the report covers the held-out ones; without it both see all rows."""
+    emb = emb.withColumn("_held", F.lit(False) if held_out is None else held_out)
+    fit_rows = ~F.col("_held")
+    pipe = fit_pipe(emb.filter(fit_rows))
     x = pipe.transform(emb).withColumn("features", array_to_vector("x")).withColumn("y", F.col("label").cast("double"))
-    x = cut_lineage(x.select("name", "label", "center", "features", "y", *nuisance))
-    det = balanced_logistic(x.filter(F.col("center") == source).select("features", "y"), 1.0)
+    x = cut_lineage(x.select("name", "label", "center", "features", "y", "x", "_held", *nuisance))
+    det = balanced_logistic(x.filter(fit_rows & (F.col("center") == source)).select("features", "y"), 1.0)
     d = positive_probability(det, x, "p").withColumn("s", logit(F.col("p")))
-    for n in nuisance:
-        h = ridge(x, 10.0, n)
-        d = h.setPredictionCol(f"hat_{n}").transform(d)
-    d = d.withColumn("nh", array_to_vector(F.array(*[F.col(f"hat_{n}") for n in nuisance])))
-    d = cut_lineage(d.select("name", "label", "center", "s", "nh"))
-    base = d.filter((F.col("center") == source) & (F.col("label") == 0)).select(F.col("nh").alias("features"), "s")
-    mu0 = ridge(base, 1.0, "s")
-    sd = mu0.transform(base).select(F.stddev_pop(F.col("s") - F.col("prediction")).alias("sd")).first()["sd"] + 1e-6
-    r = mu0.transform(d.withColumnRenamed("nh", "features"))
+    heads = [ridge(x.filter(fit_rows), 10.0, n) for n in nuisance]
+    d = d.withColumn("nh", F.array(*[linear(w, b, "x") for w, b in heads]))
+    d = cut_lineage(d.select("name", "label", "center", "s", "nh", "_held"))
+    base = d.filter(fit_rows & (F.col("center") == source) & (F.col("label") == 0))
+    expected = linear(*ridge(base.select(array_to_vector("nh").alias("features"), "s"), 1.0, "s"), "nh")
+    sd = base.select(F.stddev_pop(F.col("s") - expected).alias("sd")).first()["sd"] + 1e-6
+    r = d if held_out is None else d.filter("_held")
     kinds = F.array(F.struct(F.lit("raw").alias("kind"), F.col("s").alias("score")),
-                    F.struct(F.lit("residual").alias("kind"), ((F.col("s") - F.col("prediction")) / F.lit(sd)).alias("score")))
+                    F.struct(F.lit("residual").alias("kind"), ((F.col("s") - expected) / F.lit(sd)).alias("score")))
     v = cut_lineage(r.select("label", "center", F.explode(kinds).alias("_k")).select("label", "center", "_k.*"))
     ks = C.ks_two_sample(v.filter(F.col("label") == 0), "score", F.col("center") == source, ["kind"]).select("kind", "ks")
     t = C.threshold_transfer(v, ["kind"]).filter((F.col("source") == source) & (F.col("target") == target)).select("kind", "recall", "fpr")

@@ -208,11 +208,11 @@ def boot_ppv(scored: DataFrame, reps: int = 1000, seed: int = 0, target: float =
 
 
 def report_full(scored: DataFrame, reps: int = 2000, seed: int = 12345, target: float = 0.9,
-                prevalence: float = 0.01) -> DataFrame:
-    """The trusted numbers of one score table in one row."""
+                prevalence: float = 0.01, challenge_reps: int | None = None) -> DataFrame:
+    """The trusted numbers of one score table in one row; ``challenge_reps`` defaults to ``reps``."""
     b = bootstrap(scored, reps, seed, target, prevalence).select(
         F.col("curve_median").alias("ppv90"), F.col("curve_lo").alias("ci_lo"), F.col("curve_hi").alias("ci_hi"))
-    g = bootstrap_challenge(scored, min(reps, 1000), seed, target).select(
+    g = bootstrap_challenge(scored, reps if challenge_reps is None else challenge_reps, seed, target).select(
         F.col("ppv_median").alias("ppv90_gc"), F.col("ppv_lo").alias("gc_lo"), F.col("ppv_hi").alias("gc_hi"))
     m = score_metrics(scored, [], target).select(F.col("fpr_incl").alias("fpr90"), "auroc", "auprc",
                                                  (F.col("n_pos") + F.col("n_neg")).alias("n"), F.col("n_pos").alias("pos"))

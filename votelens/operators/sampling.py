@@ -136,13 +136,14 @@ def stratified_subset(frames: DataFrame, core: DataFrame, n: int, seed: int = 0)
 
 
 def balanced_batches(rows: DataFrame, pos_per_batch: int, batch_size: int, seed: int = 0,
-                     key: str = "name") -> DataFrame:
+                     key: str = "name", drop_last: bool = False) -> DataFrame:
     """Batch plan (batch, slot, name, label): q negatives per batch without repeats, p positives each drawn
-    with replacement by hash. Only full batches are planned, as many as the negatives fill."""
+    with replacement by hash. The last batch holds the negatives that are left; ``drop_last`` plans full batches only."""
     q = max(1, batch_size - pos_per_batch)
     neg = hash_index(rows.filter(F.col("label") == 0), [], key, f"n{seed}", "_i", "_n")
-    neg = neg.withColumn("batch", F.floor(F.col("_i") / q)).filter(
-        F.col("batch") < F.greatest(F.lit(1), F.floor(F.col("_n") / q)))
+    neg = neg.withColumn("batch", F.floor(F.col("_i") / q))
+    if drop_last:
+        neg = neg.filter(F.col("batch") < F.greatest(F.lit(1), F.floor(F.col("_n") / q)))
     neg = neg.select("batch", (F.col("_i") % q + pos_per_batch).cast("int").alias("slot"), key, "label")
     pos = hash_index(rows.filter(F.col("label") > 0), [], key, f"p{seed}", "_i", "_n").select("_i", "_n", key, "label")
     size = rows.filter(F.col("label") > 0).agg(F.count(F.lit(1)).alias("_size"))
@@ -156,12 +157,9 @@ def balanced_batches(rows: DataFrame, pos_per_batch: int, batch_size: int, seed:
 
 def pool_sample(pool: DataFrame, listing: DataFrame, n: int, seed: int, buckets: list[str] | None = None,
                 lo: float = 0.3, use_decision: bool = True) -> DataFrame:
-    """2n random pool rows, those whose file exists, first n of them; the confident-negative mask travels along.
-    Sampling runs before the existence join, so only 2n paths are checked."""
+    """n random pool rows whose file exists; the confident-negative mask travels along."""
     p = pool.filter(F.col("decision").isin(buckets)) if buckets else pool
-    s = p.orderBy(*hash_order("path", f"q{seed}")).limit(2 * n)
-    s = s.join(listing.select("path").distinct(), "path", "left_semi")
-    s = s.orderBy(*hash_order("path", f"q{seed}")).limit(n)
+    s = p.join(listing.select("path"), "path", "left_semi").orderBy(*hash_order("path", f"q{seed}")).limit(n)
     return s.select("path", "decision", "suspicion", confident_negative(lo, use_decision).alias("conf_neg"))
 
 

@@ -123,7 +123,3 @@ def ab_group_means(ab: DataFrame) -> DataFrame:
     mean = lambda c: F.sum(c) / F.count(c)
     g = d.groupBy("grp").agg(mean("auroc_ass_a").alias("mean_a"), mean("auroc_ass_b").alias("mean_b"))
     return g.withColumn("delta", F.col("mean_b") - F.col("mean_a"))
-
-
-def confirmed_trust(cells: DataFrame, cross: DataFrame) -> DataFrame:
-    return cell_trust(cells, cross)

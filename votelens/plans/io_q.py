@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from votelens.functions.scalars import hash_byte
 from votelens.operators import trust as TR
-from votelens.operators import votes as VO
 from votelens.plans import sqlviews as S
 from votelens.plans.registry import query
 from votelens.session import scratch_path
@@ -22,10 +21,10 @@ def written_labels(i):
     return path
 
 
-@query("read_labels", "SELECT name, label, center, decision, frame_trust, suspicion, verified, 35 AS n_concepts FROM curated WHERE label >= 0", "curated", r="frame_trust suspicion")
+@query("read_labels", "SELECT name, split, label, center, decision, frame_trust, suspicion, verified, 35 AS n_concepts FROM curated WHERE label >= 0", "curated", r="frame_trust suspicion")
 def read_labels(i):
     d = RD.read_labels(i.spark, written_labels(i), labeled_only=True)
-    return d.select("name", "label", "center", "decision", "frame_trust", "suspicion", "verified", F.size("concepts").alias("n_concepts"))
+    return d.select("name", "split", "label", "center", "decision", "frame_trust", "suspicion", "verified", F.size("concepts").alias("n_concepts"))
 
 
 @query("write_labels", "SELECT split, count(*) AS n, count(*) FILTER (decision = 'ABSTAIN') AS abstain FROM curated GROUP BY split", "curated")
@@ -40,8 +39,9 @@ def read_labels_bad_records(i):
     text = F.to_json(F.struct("image", "name", "split", "label", "center", "decision", "frame_trust", "suspicion", "verified"))
     cut = F.when(hash_byte("trunc", "name") < 5, F.expr("substring(value, 1, 20)")).otherwise(F.col("value"))
     i.curated.withColumn("image", F.col("path")).select("name", text.alias("value")).select(cut.alias("value")).write.text(path)
-    d = RD.read_labels(i.spark, path, keep_bad=True).cache()  # Spark asks for a cache before corrupt records are counted alone
-    return d.groupBy(F.col(RD.BAD).isNotNull().alias("bad")).agg(F.count(F.lit(1)).alias("n"))
+    d = RD.read_labels(i.spark, path, keep_bad=True)
+    # every record has a name or is corrupt; Spark reads the corrupt column only together with another one
+    return d.groupBy(F.col(RD.BAD).isNotNull().alias("bad")).agg(F.count(F.coalesce("name", RD.BAD)).alias("n"))
 
 
 @query("read_frames_csv", f"SELECT path, label, center FROM frames WHERE label >= 0 AND {S.h('aug', 'path')} < 180", "frames")
@@ -63,7 +63,7 @@ def vote_records(i):
 @query("read_votes", "SELECT expert, lens, concept, count(*) AS n, count(DISTINCT raw) AS n_values FROM votes GROUP BY 1, 2, 3", "votes")
 def read_votes(i):
     path = scratch_path(i.spark, "votes")
-    vote_records(i).write.partitionBy("strategy").json(path)
+    vote_records(i).write.partitionBy("expert").json(path)
     d = RD.read_votes(i.spark, path)
     return d.groupBy("expert", "lens", "concept").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw").alias("n_values"))
 
@@ -78,7 +78,7 @@ def append_votes(i):
     names = i.frames.filter(hash_byte("stored", "name") < 100).select("path")
     vr.join(names, "path", "left_semi").filter("expert = 'proagent'").write.parquet(stored_path)
     WR.append_votes(vr, i.spark.read.parquet(stored_path), out)
-    return i.spark.read.json(out).select("path", "expert")
+    return RD.read_votes(i.spark, out).select("path", "expert").distinct()
 
 
 @query("read_scores", "SELECT name, score, label, center, source FROM scored", "scored", r="score")
@@ -134,7 +134,7 @@ def file_tree(i):
     return root
 
 
-@query("list_files")
+@query("list_files", f"SELECT DISTINCT 'dir=' || dir || '/kind=' || CASE WHEN {S.h('kind', 'dir')} < 170 THEN 'labels' ELSE 'images' END AS folder, -1 AS label FROM frames", "frames")
 def list_files(i):
     d = RD.list_files(i.spark, file_tree(i), "*.json")
     return d.select(F.regexp_extract("path", r"(dir=[^/]+/kind=[^/]+)/", 1).alias("folder"), "label").distinct()
@@ -199,5 +199,5 @@ def concat_shards(i):
 @query("stored_votes_by_model", "SELECT expert, count(DISTINCT path) AS frames FROM votes GROUP BY expert", "votes")
 def stored_votes_by_model(i):
     path = scratch_path(i.spark, "mvotes")
-    VO.truncate_votes(i.votes, 1).write.partitionBy("expert").parquet(path)
+    i.votes.write.partitionBy("expert").parquet(path)
     return i.spark.read.parquet(path).groupBy("expert").agg(F.count_distinct("path").alias("frames"))

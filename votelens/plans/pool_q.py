@@ -155,8 +155,7 @@ def stratified_subset(i):
 
 
 @query("pool_sample", """SELECT path, decision, suspicion, suspicion < 0.4 AND decision = 'CONFIDENT_NEGATIVE' AS conf_neg FROM (
-  SELECT * FROM (SELECT * FROM curated WHERE label < 0 AND decision IN ('CONFIDENT_NEGATIVE', 'HARD_NEG_CANDIDATE') ORDER BY md5(path || '|q0'), path LIMIT 200)
-  WHERE """ + S.h("noimg", "name") + """ >= 60) ORDER BY md5(path || '|q0'), path LIMIT 100""", "curated", r="suspicion")
+  SELECT * FROM curated WHERE label < 0 AND decision IN ('CONFIDENT_NEGATIVE', 'HARD_NEG_CANDIDATE') AND """ + S.h("noimg", "name") + """ >= 60) ORDER BY md5(path || '|q0'), path LIMIT 100""", "curated", r="suspicion")
 def pool_sample(i):
     listing = i.frames.filter(hash_byte("noimg", "name") >= 60)
     return SA.pool_sample(i.curated.filter("label < 0"), listing, 100, 0, ["CONFIDENT_NEGATIVE", "HARD_NEG_CANDIDATE"], 0.4)
@@ -203,8 +202,8 @@ BATCH = {
     "neg": """SELECT name, score, label, floor(i / 24)::bigint AS batch, (i % 24 + 8)::int AS slot, n FROM (SELECT name, score, label, row_number() OVER (ORDER BY md5(name || '|n0'), name) - 1 AS i,
       count(*) OVER () AS n FROM scored_rare WHERE label = 0)""",
     "pos": "SELECT name, score, label, row_number() OVER (ORDER BY md5(name || '|p0'), name) - 1 AS i, count(*) OVER () AS n FROM scored_rare WHERE label = 1",
-    "slots": "SELECT DISTINCT batch, s.slot::int AS slot FROM neg, range(8) s(slot) WHERE batch < greatest(1, floor(n / 24))",
-    "batches": """SELECT batch, slot, name, score, label FROM neg WHERE batch < greatest(1, floor(n / 24)) UNION ALL
+    "slots": "SELECT DISTINCT batch, s.slot::int AS slot FROM neg, range(8) s(slot)",
+    "batches": """SELECT batch, slot, name, score, label FROM neg UNION ALL
       SELECT batch, slot, name, score, label FROM slots JOIN pos ON i = cast('0x' || substr(md5(batch || '|' || slot || '|d0'), 1, 12) as bigint) % pos.n""",
     "bl": "SELECT *, ln(greatest(1e-6, least(1.0 - 1e-6, score)) / (1.0 - greatest(1e-6, least(1.0 - 1e-6, score)))) AS logit FROM batches",
 }

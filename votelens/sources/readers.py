@@ -11,21 +11,21 @@ VOTE_SCHEMA = ("path string, expert string, anchor_sig string, strategy string,
                "meta array<struct<stages:array<string>,confidence:map<string,double>,masked:array<string>>>")
 FRAME_SCHEMA = "path string, label int, center string, class string, source_path string, aug string"
 ANCHOR_SCHEMA = "path string, kind string, cls string, center string, hard boolean"
-INDEX_SCHEMA = "path string, label int, caches map<string,string>"
 BAD = "_corrupt"
 
 
-def _json(spark: SparkSession, schema: str, path: str, multi_line: bool, corrupt: bool = True) -> DataFrame:
-    full = f"{schema}, {BAD} string" if corrupt else schema
-    return (spark.read.schema(full).option("multiLine", multi_line).option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", BAD).option("recursiveFileLookup", True).json(path))
+def _json(spark: SparkSession, schema: str, path: str, multi_line: bool, recursive: bool = False) -> DataFrame:
+    """JSON records. A store partitioned by key=value folders gives these columns back; ``recursive`` reads plain nested
+    folders instead, whose names are no columns."""
+    return (spark.read.schema(f"{schema}, {BAD} string").option("multiLine", multi_line).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", BAD).option("recursiveFileLookup", recursive).json(path))
 
 
 def read_labels(spark: SparkSession, path: str, labeled_only: bool = False, multi_line: bool = False,
-                keep_bad: bool = False) -> DataFrame:
+                keep_bad: bool = False, recursive: bool = False) -> DataFrame:
     """Label records: one JSON per line, or one (pretty-printed) JSON per file with ``multi_line``. Bad records are
-    skipped unless ``keep_bad``; suspicion stays NULL where it is missing."""
-    d = _json(spark, LABEL_SCHEMA, path, multi_line).withColumn("file", F.col("_metadata.file_path"))
+    skipped unless ``keep_bad``; suspicion stays NULL where it is missing. ``recursive`` is for plain nested folders."""
+    d = _json(spark, LABEL_SCHEMA, path, multi_line, recursive).withColumn("file", F.col("_metadata.file_path"))
     if not keep_bad:
         d = d.filter(F.col(BAD).isNull()).drop(BAD)
     return d.filter(F.col("label") >= 0) if labeled_only else d
@@ -40,12 +40,10 @@ def keep_originals(df: DataFrame) -> DataFrame:
     return df.filter(F.col("aug").isNull() | F.col("aug").isin("", "orig"))
 
 
-def list_files(spark: SparkSession, root: str, pattern: str = "*", limit: int | None = None) -> DataFrame:
+def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Recursive file listing; contents are never read because only the path column is selected."""
-    d = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-         .load(root).select("path", "length", F.lit(-1).alias("label")))
-    d = d.orderBy("path")
-    return d.limit(limit) if limit else d
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+            .load(root).select("path", "length", F.lit(-1).alias("label")))
 
 
 def read_votes(spark: SparkSession, path: str) -> DataFrame:
@@ -76,13 +74,9 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
                                                   "aug string, pool_names array<string>")
 
 
-def read_path_list(spark: SparkSession, path: str, cap: int = 0) -> DataFrame:
-    """Trimmed, non-blank lines. A missing file fails at once (Spark raises PATH_NOT_FOUND); ``cap`` keeps the first
-    lines in file order."""
-    d = spark.read.text(path).select(F.trim("value").alias("path"), F.monotonically_increasing_id().alias("_line"))
-    d = d.filter(F.col("path") != "")
-    d = d.orderBy("_line").limit(cap) if cap else d
-    return d.select("path")
+def read_path_list(spark: SparkSession, path: str) -> DataFrame:
+    """Trimmed, non-blank lines. A missing file fails at once (Spark raises PATH_NOT_FOUND)."""
+    return spark.read.text(path).select(F.trim("value").alias("path")).filter(F.col("path") != "")
 
 
 def discover_datasets(files: DataFrame) -> DataFrame:

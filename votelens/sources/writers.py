@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from votelens import vocabulary as V
 from votelens.operators.labels import gap_fill
 from votelens.operators.trust import concept_arrays
+from votelens.sources.readers import read_labels
 
 
 def write_labels(records: DataFrame, path: str, fmt: str = "json", mode: str = "overwrite") -> None:
@@ -18,16 +19,13 @@ def write_labels(records: DataFrame, path: str, fmt: str = "json", mode: str = "
 
 
 def write_run_manifest(records: DataFrame, path: str, run_id: str, experts: list[str], data_path: str) -> None:
-    """Write the records and, from the same pass, a one-row run manifest with their counts."""
-    obs = Observation(f"run_{run_id}")
+    """Write the records, then a one-row run manifest with the counts of what was written."""
+    write_labels(records, data_path)
+    stored = read_labels(records.sparkSession, data_path)
     n_sup = F.size(F.map_filter("concepts", lambda k, v: v["supervise"]))
-    counted = records.observe(obs, F.count(F.lit(1)).alias("curated"), F.sum(n_sup).alias("supervised_cells"),
-                              *[F.count(F.when(F.col("decision") == d, 1)).alias(d) for d in V.DECISIONS])
-    write_labels(counted, data_path)
-    got = obs.get
-    row = {"run_id": run_id, "experts": ",".join(experts), **{k: int(v or 0) for k, v in got.items()}}
-    spark = records.sparkSession
-    spark.createDataFrame([tuple(row.values())], list(row)).write.mode("overwrite").json(path)
+    counts = stored.agg(F.count(F.lit(1)).alias("curated"), F.coalesce(F.sum(n_sup), F.lit(0)).alias("supervised_cells"),
+                        *[F.count(F.when(F.col("decision") == d, 1)).alias(d) for d in V.DECISIONS])
+    counts.select(F.lit(run_id).alias("run_id"), F.lit(",".join(experts)).alias("experts"), "*").write.mode("overwrite").json(path)
 
 
 def foundation_manifest(records: DataFrame) -> DataFrame:

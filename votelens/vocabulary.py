@@ -61,8 +61,6 @@ SURFACE_COLOR = ["mucosal_pattern_type", "mucosal_irregularity", "nodularity", "
                  "surface_effacement", "focal_erythema", "color_heterogeneity", "whitish_focal_area",
                  "color_change_locality"]
 VASCULAR = ["vascular_irregularity", "dilated_vessels", "focal_abnormal_vessels"]
-FOCAL_LESION = ["demarcation", "border_sharpness", "colocalization", "lesion_present", "paris_type", "lesion_size",
-                "overall_suspicion"]
 MORPHOLOGY = ["paris_type", "lesion_size"]
 CURATED9 = ["demarcation", "mucosal_irregularity", "focal_erythema", "lesion_present", "nodularity",
             "colocalization", "surface_effacement", "color_change_locality", "depression_ulceration"]
