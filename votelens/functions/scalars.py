@@ -41,18 +41,26 @@ def _mixed(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, c.bitwiseXOR(F.shiftright(c, 16)))
 
 
-def with_draw_index(df: DataFrame, seed: int, rep: Column, draw: str, size: str, out: str = "idx") -> DataFrame:
-    """Adds a uniform index in [0, size) for (rep, draw): 53 mixed bits, so pools beyond 2^32 rows stay uniform."""
+def with_draw_index(df: DataFrame, seed: int, rep: Column, draw: str, size: str, out: str = "idx", stratum: Column | None = None) -> DataFrame:
+    """Adds a uniform index in [0, size) for (stratum, rep, draw): 53 mixed bits, so pools beyond 2^32 rows stay uniform.
+
+    Two lanes carry the stream. In each the replicate is mixed, joined with 32 of the 64 bits of the stratum's digest and
+    mixed again: replicates of one stratum never share a lane's value, and two strata share a stream only if both lanes
+    meet."""
     d = F.col(draw).cast("long")
-    df = df.withColumn("_r", (rep.cast("long") + F.lit(seed * 7919 + 1)).bitwiseAND(F.lit(MASK32)))
-    df = df.withColumn("_l", d.bitwiseAND(F.lit(MASK32)))
-    df = _mixed(_mixed(df, "_r"), "_l")
+    first = (rep.cast("long") + F.lit(seed * 7919 + 1)).bitwiseAND(F.lit(MASK32))
+    df = df.withColumn("_s", F.md5(stratum) if stratum is not None else F.lit("0" * 32))
+    half = lambda at: F.conv(F.substring("_s", at, 8), 16, 10).cast("long")
+    df = _mixed(df.withColumn("_r", first).withColumn("_q", first.bitwiseXOR(F.lit(2654435769))).withColumn("_l", d.bitwiseAND(F.lit(MASK32))), "_r")
+    df = _mixed(df.withColumn("_r", F.col("_r").bitwiseXOR(half(1))), "_r")
+    df = _mixed(df, "_q")
+    df = _mixed(_mixed(df.withColumn("_q", F.col("_q").bitwiseXOR(half(9))), "_q"), "_l")
     df = df.withColumn("_b", F.col("_r").bitwiseXOR(F.col("_l")).bitwiseXOR(F.shiftright(d, 32)))
     df = _mixed(df, "_b")
-    df = _mixed(df.withColumn("_e", F.col("_b").bitwiseXOR(F.lit(2654435769))), "_e")
+    df = _mixed(df.withColumn("_e", F.col("_b").bitwiseXOR(F.col("_q"))), "_e")
     idx = F.pmod(F.col("_b") * F.lit(2097152) + F.col("_e").bitwiseAND(F.lit(2097151)), F.col(size))
     # never NULL: otherwise a join on the index pushes an is-not-null test, with the whole chain inlined, below it
-    return df.withColumn(out, F.coalesce(idx, F.lit(0).cast("long"))).drop("_r", "_l", "_b", "_e")
+    return df.withColumn(out, F.coalesce(idx, F.lit(0).cast("long"))).drop("_s", "_r", "_q", "_l", "_b", "_e")
 
 
 def is_not_assessable(raw: Column) -> Column:

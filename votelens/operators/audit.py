@@ -107,6 +107,12 @@ def confirm_gates(train: DataFrame, val: DataFrame, boot_ci: DataFrame) -> DataF
                     F.when(disc, F.array_join(why, "; ")).otherwise("").alias("reasons"))
 
 
+def confirm_summary(gates: DataFrame) -> DataFrame:
+    """Per status of :func:`confirm_gates`: how many discriminative concepts, and which (35 at most)."""
+    return gates.filter(F.col("status") != "n/a").groupBy("status").agg(
+        F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("concept")), ",").alias("concepts"))
+
+
 def concept_ppv(trusted: DataFrame, frames: DataFrame, target: float = 0.9) -> DataFrame:
     """Tie-inclusive precision at the recall threshold per concept: pooled, per center, and both transfers."""
     d = trusted.join(frames.filter(F.col("label").isin(0, 1)).select("path", "label", "center"), "path").select(

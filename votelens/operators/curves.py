@@ -254,6 +254,20 @@ def spearman(scored: DataFrame, a: str, b: str) -> DataFrame:
         n * (y - mean) * (y - mean)))).alias("rho"))
 
 
+def spearman_matrix(scored: DataFrame, members: list[str]) -> DataFrame:
+    """(a, b, rho) for every pair of score columns: all members are ranked once, all pairs are sums over one pass."""
+    long = scored.select("name", F.explode(F.array(*[F.struct(F.lit(m).alias("member"), F.col(m).cast("double").alias("v")) for m in members])).alias("_m")).select("name", "_m.*")
+    counts = long.groupBy("member", "v").agg(F.count(F.lit(1)).alias("n"))
+    c = prefix_sums(counts, ["member"], "v", ["n"], descending=False)
+    # ranks centred on their known mean (n + 1) / 2 keep the sums well conditioned
+    ranks = c.select("member", "v", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2.0 - (F.col("tot_n") + 1) / 2.0).alias("r"))
+    wide = attach(long, ranks, ["member", "v"]).groupBy("name").agg(*[F.max(F.when(F.col("member") == m, F.col("r"))).alias(f"r{i}") for i, m in enumerate(members)])
+    pairs = [(i, j) for i in range(len(members)) for j in range(i + 1, len(members))]
+    sums = wide.agg(*[F.sum(F.col(f"r{i}") * F.col(f"r{i}")).alias(f"q{i}") for i in range(len(members))], *[F.sum(F.col(f"r{i}") * F.col(f"r{j}")).alias(f"p{i}_{j}") for i, j in pairs])
+    rows = F.array(*[F.struct(F.lit(members[i]).alias("a"), F.lit(members[j]).alias("b"), (F.col(f"p{i}_{j}") / F.sqrt(F.col(f"q{i}") * F.col(f"q{j}"))).alias("rho")) for i, j in pairs])
+    return sums.select(F.explode(rows).alias("_r")).select("_r.*")
+
+
 def ks_two_sample(df: DataFrame, value: str, in_a: Column, by: list[str] = ()) -> DataFrame:
     """Largest distance between the two empirical distributions, per group."""
     by = list(by)

@@ -78,8 +78,9 @@ def validate_labels(raw: DataFrame, images: DataFrame | None = None, text: str =
     return d.select(*keep, F.explode(problems).alias("problem"))
 
 
-def missing_and_orphan(images: DataFrame, labels: DataFrame, strict: bool = False) -> DataFrame:
-    """Per folder: images without a label, labels without an image, and whether the folder passes."""
+def missing_and_orphan(images: DataFrame, labels: DataFrame, strict: bool = False, invalid: DataFrame | None = None) -> DataFrame:
+    """Per folder: images without a label, labels without an image, and whether the folder passes. With ``invalid``
+    (dir, name of records with problems) a folder that holds one fails and their number is reported."""
     i = images.select("dir", "name", F.lit(1).alias("_img"))
     l = labels.select("dir", "name", F.lit(1).alias("_lab"))
     j = i.join(l, ["dir", "name"], "full")
@@ -87,6 +88,10 @@ def missing_and_orphan(images: DataFrame, labels: DataFrame, strict: bool = Fals
                              F.count(F.when(F.col("_lab").isNull(), 1)).alias("missing_labels"),
                              F.count(F.when(F.col("_img").isNull(), 1)).alias("orphan_labels"))
     ok = F.col("orphan_labels") == 0
+    if invalid is not None:
+        bad = invalid.select("dir", "name").distinct().groupBy("dir").agg(F.count(F.lit(1)).alias("invalid_labels"))
+        g = g.join(bad, "dir", "left").withColumn("invalid_labels", F.coalesce("invalid_labels", F.lit(0).cast("long")))
+        ok = ok & (F.col("invalid_labels") == 0)
     return g.withColumn("ok", ok & (F.col("missing_labels") == 0) if strict else ok)
 
 

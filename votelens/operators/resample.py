@@ -61,9 +61,7 @@ def stratified_draws(scored: DataFrame, reps: int, seed: int, prevalence: float
                      values: list[str] = ("score",)) -> DataFrame:
     """(rep, label, *values, w): drawn rows with multiplicity, positives pooled, negatives stratified by center."""
     plan = _reps(_mix_plan(scored, prevalence), reps)
-    tag = F.when(F.col("label") == 1, 1).otherwise(0)
-    code = F.pmod(F.conv(F.substring(F.md5(F.col("stratum")), 1, 7), 16, 10).cast("long"), F.lit(1000003))
-    d = with_draw_index(expand(plan, "draws", "draw"), seed, F.col("rep") * 2 + tag + code * 8192, "draw", "size")
+    d = with_draw_index(expand(plan, "draws", "draw"), seed, F.col("rep"), "draw", "size", stratum=F.concat_ws("|", "label", "stratum"))
     d = d.select("rep", "label", "stratum", "idx")
     pool = _pool(scored.select("name", "label", _stratum().alias("stratum"), *values), ["label", "stratum"], f"pool{seed}")
     pool = pool.select("label", "stratum", "idx", *values)
@@ -244,10 +242,8 @@ def grouped_bootstrap(scored: DataFrame, group: str, reps: int, seed: int, targe
         F.bround(want * (F.col("size") / F.col("_N")), 0).cast("long").alias("draws"))
     pos = t.select(group, F.lit(1).alias("label"), F.lit("*").alias("stratum"), F.col("_P").alias("size"),
                    F.col("_P").cast("long").alias("draws"))
-    code = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", group, "stratum", "label")), 1, 7), 16, 10).cast("long"),
-                  F.lit(1000003))
     d = expand(_reps(neg.unionByName(pos), reps), "draws", "draw")
-    d = with_draw_index(d, seed, F.col("rep") + code * 8192, "draw", "size").select(group, "rep", "label", "stratum", "idx")
+    d = with_draw_index(d, seed, F.col("rep"), "draw", "size", stratum=F.concat_ws("|", group, "stratum", "label")).select(group, "rep", "label", "stratum", "idx")
     pool = _pool(scored.select(group, "name", "label", _stratum().alias("stratum"), "score"),
                  [group, "label", "stratum"], f"pool{seed}").select(group, "label", "stratum", "idx", "score")
     w = cut_lineage(attach(d, pool, [group, "label", "stratum", "idx"]).groupBy(group, "rep", "label", "score").agg(

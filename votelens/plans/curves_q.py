@@ -164,12 +164,15 @@ def stratified_folds(i):
     return C.stratified_folds(i.frames.filter("label >= 0"), 5).select("path", "label", "center", "fold")
 
 
-@query("spearman_matrix", """SELECT corr(ra, rb) AS rho FROM (SELECT
-  rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::double AS ra,
-  rank() OVER (ORDER BY score_b) + (count(*) OVER (PARTITION BY score_b) - 1) / 2.0::double AS rb FROM scored_rare)""",
-       "scored_rare", r="rho")
+MEMBERS = {"a": "score", "b": "score_b", "mean": "(score + score_b) / 2.0::double"}
+_RANK = ", ".join(f"rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2.0::double AS r_{k}" for k, m in MEMBERS.items())
+
+
+@query("spearman_matrix", " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, corr(r_{x}, r_{y}) AS rho FROM ranked" for x, y in (("a", "b"), ("a", "mean"), ("b", "mean"))),
+       "scored_rare", {"ranked": f"SELECT {_RANK} FROM scored_rare"}, "rho")
 def spearman_matrix(i):
-    return C.spearman(i.scored_rare, "score", "score_b")
+    d = i.scored_rare.select("name", F.col("score").alias("a"), F.col("score_b").alias("b"), ((F.col("score") + F.col("score_b")) / 2.0).alias("mean"))
+    return C.spearman_matrix(d, ["a", "b", "mean"])
 
 
 @query("ks_two_sample", """SELECT max(na) AS n_a, max(nb) AS n_b, max(abs(ca / na - cb / nb)) AS ks FROM (

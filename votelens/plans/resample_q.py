@@ -22,18 +22,19 @@ def mix(src: str, x: str, out: str) -> str:
     return f"SELECT * EXCLUDE (_m), xor(_m, _m >> 16) AS {out} FROM ({q})"
 
 
-def indexed(src: str, rep: str, seed: int) -> str:
-    """Adds idx for rows (…, d, n) of ``src``: the draw index of (rep, d) in a pool of n."""
-    a = mix(src, f"(({rep}) + {seed * 7919 + 1})::bigint & {M32}", "_r")
-    b = mix(f"({a})", f"(d::bigint) & {M32}", "_l")
-    c = mix(f"({b})", "xor(xor(_r, _l), (d::bigint) >> 32)", "_b")
-    e = mix(f"({c})", "xor(_b, 2654435769::bigint)", "_e")
-    return f"SELECT *, (_b * 2097152 + (_e & 2097151)) % n AS idx FROM ({e})"
-
-
-def code(*keys: str) -> str:
-    joined = keys[0] if len(keys) == 1 else "concat_ws('|', " + ", ".join(keys) + ")"
-    return f"(cast('0x' || substr(md5({joined}), 1, 7) as bigint) % 1000003)"
+def indexed(src: str, rep: str, seed: int, *stratum: str) -> str:
+    """Adds idx for rows (…, d, n) of ``src``: the draw index of (stratum, rep, d) in a pool of n."""
+    joined = "concat_ws('|', " + ", ".join(stratum) + ")"
+    half = lambda at: f"cast('0x' || substr(md5({joined}), {at}, 8) as bigint)" if stratum else "0::bigint"
+    first = f"(({rep}) + {seed * 7919 + 1})::bigint & {M32}"
+    q = mix(src, first, "_r0")
+    q = mix(f"({q})", f"xor(_r0, {half(1)})", "_r")
+    q = mix(f"({q})", f"xor({first}, 2654435769::bigint)", "_q0")
+    q = mix(f"({q})", f"xor(_q0, {half(9)})", "_q")
+    q = mix(f"({q})", f"(d::bigint) & {M32}", "_l")
+    q = mix(f"({q})", "xor(xor(_r, _l), (d::bigint) >> 32)", "_b")
+    q = mix(f"({q})", "xor(_b, _q)", "_e")
+    return f"SELECT *, (_b * 2097152 + (_e & 2097151)) % n AS idx FROM ({q})"
 
 
 STRAT = {
@@ -42,7 +43,7 @@ STRAT = {
     "plan": """SELECT label, stratum, n, CASE WHEN label = 1 THEN n ELSE round_even(round_even(P * (0.99::double / 0.01::double), 0) * (n::double / T), 0)::bigint END AS draws FROM (
       SELECT label, stratum, count(*) AS n, (SELECT count(*) FROM tagged WHERE label = 1) AS P, (SELECT count(*) FROM tagged WHERE label = 0) AS T FROM tagged GROUP BY 1, 2)""",
     "d0": f"SELECT p.*, r.rep, d.d FROM plan p, range({REPS}) r(rep), range((SELECT max(draws) FROM plan)) d(d) WHERE d.d < p.draws",
-    "d1": indexed("d0", f"rep * 2 + label + {code('stratum')} * 8192", SEED),
+    "d1": indexed("d0", "rep", SEED, "label", "stratum"),
     "drawn": "SELECT d1.rep, d1.label, pool.score, pool.score_b FROM d1 JOIN pool ON pool.label = d1.label AND pool.stratum = d1.stratum AND pool.idx = d1.idx",
 }
 REP_M = S.metrics_of(S.curve_of("drawn", "rep"), "rep")
@@ -147,7 +148,7 @@ GROUPS = {
     "plan": """SELECT grp, label, stratum, n, CASE WHEN label = 1 THEN n ELSE round_even(round_even(P * (0.99::double / 0.01::double), 0) * (n::double / T), 0)::bigint END AS draws FROM (
       SELECT grp, label, stratum, count(*) AS n, sum(sum(label)) OVER (PARTITION BY grp) AS P, sum(sum(1 - label)) OVER (PARTITION BY grp) AS T FROM tagged GROUP BY 1, 2, 3)""",
     "d0": f"SELECT p.*, r.rep, d.d FROM plan p, range({REPS}) r(rep), range((SELECT max(draws)::bigint FROM plan)) d(d) WHERE d.d < p.draws",
-    "d1": indexed("d0", f"rep + {code('grp', 'stratum', 'label')} * 8192", SEED),
+    "d1": indexed("d0", "rep", SEED, "grp", "stratum", "label"),
     "drawn": "SELECT d1.grp, d1.rep, d1.label, pool.score FROM d1 JOIN pool ON pool.grp = d1.grp AND pool.label = d1.label AND pool.stratum = d1.stratum AND pool.idx = d1.idx",
     "m": S.metrics_of(S.curve_of("drawn", "grp, rep"), "grp, rep"), "point": S.metrics_of(S.curve_of("rows1", "grp"), "grp")}
 
@@ -163,9 +164,45 @@ def confirm_inputs(i):
     return lc.filter("split = 'train'"), lc.filter("split = 'val'")
 
 
-@query("confirm_gates")
+_CAND = f"concept IN ({S.quoted(V.DISCRIMINATIVE)})"
+
+
+def _auc(src, by, score="c", label="label"):
+    return S.metrics_of(S.curve_of(src, by, score, label), by)
+
+
+CONFIRM = {
+    "tr": f"SELECT * FROM lcells WHERE {_CAND} AND split = 'train'", "va": f"SELECT * FROM lcells WHERE {_CAND} AND split = 'val'",
+    "mt": _auc("tr", "concept"),
+    "sgn": "SELECT concept, CASE WHEN auroc < 0.5 THEN -1.0::double ELSE 1.0::double END AS sign, CASE WHEN auroc < 0.5 THEN 1.0 - auroc ELSE auroc END AS auroc_train FROM mt",
+    "ov": "SELECT va.* EXCLUDE (c), va.c * sign AS c FROM va JOIN sgn USING (concept)",
+    "mi": """SELECT concept, sum((n / nt) * ln((n * nt) / (nb * nl))) AS mi FROM (
+      SELECT concept, n::double AS n, sum(n) OVER (PARTITION BY concept)::double AS nt, sum(n) OVER (PARTITION BY concept, bin)::double AS nb, sum(n) OVER (PARTITION BY concept, label)::double AS nl FROM (
+      SELECT concept, least(floor(c * 8), 7) AS bin, label, count(*) AS n FROM tr GROUP BY 1, 2, 3)) GROUP BY concept""",
+    "mw": _auc("ov", "concept, center"), "wi": "SELECT concept, min(auroc) AS within_min FROM mw WHERE n_pos + n_neg >= 10 AND auroc IS NOT NULL GROUP BY concept",
+    "ml": _auc("(SELECT *, (center = 'center_2')::int AS is_c2 FROM tr)", "concept", "c", "is_c2"), "lk": "SELECT concept, greatest(auroc, 1 - auroc) AS leak FROM ml",
+    "rel": "SELECT concept, sum(r) / count(r) AS agree, sum(m) / count(m) AS assess FROM va GROUP BY concept",
+    "cpool": "SELECT concept, label, c AS score, row_number() OVER (PARTITION BY concept ORDER BY md5(path || '|iid0'), path) - 1 AS idx FROM ov",
+    "c0": f"SELECT s.concept, s.n, r.rep, d.d FROM (SELECT concept, count(*) AS n FROM ov GROUP BY concept) s, range({REPS}) r(rep), range((SELECT count(*) FROM lab)) d(d) WHERE d.d < s.n",
+    "c1": indexed("c0", "rep", 0), "cdrawn": "SELECT c1.concept, c1.rep, cpool.label, cpool.score FROM c1 JOIN cpool ON cpool.concept = c1.concept AND cpool.idx = c1.idx",
+    "mc": S.metrics_of(S.curve_of("cdrawn", "concept, rep"), "concept, rep"),
+    "ci": "SELECT concept, sum(auroc) / count(auroc) AS auroc_val, quantile_cont(auroc, 0.025) AS ci_lo, quantile_cont(auroc, 0.975) AS ci_hi FROM mc GROUP BY concept",
+    "gates0": """SELECT concept, tier, role, agree, assess, mi, auroc_train, auroc_val, ci_lo, ci_hi, within_min, leak, ci_lo IS NULL OR ci_lo <= 0.5::double AS dead,
+      list_filter([CASE WHEN agree < 0.6::double THEN 'agreement' END, CASE WHEN assess < 0.5::double THEN 'assessable' END, CASE WHEN leak >= 0.7::double THEN 'center_leak' END,
+        CASE WHEN within_min < 0.55::double THEN 'within_center' END], lambda x: x IS NOT NULL) AS why
+      FROM sgn JOIN vocab USING (concept) LEFT JOIN mi USING (concept) LEFT JOIN wi USING (concept) LEFT JOIN lk USING (concept) LEFT JOIN rel USING (concept) LEFT JOIN ci USING (concept)""",
+    "gates": """SELECT * EXCLUDE (dead, why), CASE WHEN role <> 'discriminative' THEN 'n/a' WHEN dead THEN 'FAIL' WHEN len(why) = 0 THEN 'PASS' ELSE 'REVIEW' END AS status,
+      CASE WHEN role <> 'discriminative' THEN '' WHEN dead THEN 'no held-out signal' ELSE array_to_string(why, '; ') END AS reasons FROM gates0"""}
+
+
+@query("confirm_gates", "SELECT * FROM gates", "lcells lab vocab", CONFIRM, "agree assess mi auroc_train auroc_val ci_lo ci_hi within_min leak")
 def confirm_gates(i):
     train, val = confirm_inputs(i)
     o = A.orient(train, val).select("concept", F.col("path").alias("name"), F.col("c").alias("score"), "label")
     ci = R.auroc_ci(o, REPS, 0, ["concept"]).select("concept", F.col("auroc_mean").alias("auroc_val"), "ci_lo", "ci_hi")
     return A.confirm_gates(train, val, ci)
+
+
+@query("confirm_summary", "SELECT status, count(*) AS n, string_agg(concept, ',' ORDER BY concept) AS concepts FROM gates WHERE status <> 'n/a' GROUP BY status", "lcells lab vocab", CONFIRM)
+def confirm_summary(i):
+    return A.confirm_summary(confirm_gates(i))

@@ -17,7 +17,7 @@ VOTE_ROWS = "path string, expert string, lens int, concept string, raw string"
 def label_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """New label files as they arrive; the source's checkpoint is the set of files already seen."""
     r = (spark.readStream.schema(f"{LABEL_SCHEMA}, {BAD} string").option("mode", "PERMISSIVE")
-         .option("columnNameOfCorruptRecord", BAD).option("recursiveFileLookup", True))
+         .option("columnNameOfCorruptRecord", BAD))
     if files_per_trigger:
         r = r.option("maxFilesPerTrigger", files_per_trigger)
     return r.json(path)
@@ -33,7 +33,7 @@ def running_counts(labels: DataFrame) -> DataFrame:
 
 
 def monitor(labels: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep the latest running table in ``out`` (one row per decision, rewritten each batch)."""
+    """A running table per batch (one row per decision) in its own folder of ``out``; the largest epoch is the latest."""
     def save(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
     return (running_counts(labels).writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
@@ -47,18 +47,29 @@ def quarantine(labels: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
             .outputMode("append").trigger(availableNow=True).start())
 
 
-def stream_curate(spark: SparkSession, votes_path: str, frames: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+BUCKETS = 256
+
+
+def stream_curate(spark: SparkSession, votes_path: str, frames: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS,
+                  files_per_trigger: int | None = None) -> StreamingQuery:
     """Votes in, curated rows out. Votes of a frame may arrive over several batches: each batch adds its votes to
-    the stored ones and curates the frames it touched again from all of them. Batches rewrite only their own
-    folders, so a replayed batch changes nothing; :func:`latest_curated` gives the current row per frame."""
-    v = spark.readStream.schema(VOTE_ROWS).option("recursiveFileLookup", True).json(votes_path)
+    the stored ones and curates the frames it touched again from all of them. Votes are stored by a hash of their
+    path, and a batch reads only the buckets it touches. Batches rewrite only their own folders, so a replayed
+    batch changes nothing; :func:`latest_curated` gives the current row per frame."""
+    r = spark.readStream.schema(VOTE_ROWS).option("recursiveFileLookup", True)
+    v = (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).json(votes_path)
 
     def curate(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{out}/votes/epoch={epoch}")
-        stored = session.read.option("basePath", f"{out}/votes").parquet(*[f"{out}/votes/epoch={e}" for e in range(epoch + 1)])
+        bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+        (batch.withColumn("bucket", bucket).withColumn("epoch", F.lit(epoch)).repartition("bucket").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(f"{out}/votes"))
+        numbers = sorted(b.bucket for b in batch.select(bucket.alias("bucket")).distinct().collect())  # at most ``buckets``
+        if not numbers:
+            return
+        stored = session.read.option("basePath", f"{out}/votes").parquet(*[f"{out}/votes/bucket={b}" for b in numbers])
         touched = stored.filter(F.col("epoch") == epoch).select("path").distinct()
-        votes = stored.join(touched, "path", "left_semi").dropDuplicates(["path", "expert", "lens", "concept"]).drop("epoch")
+        votes = stored.join(touched, "path", "left_semi").dropDuplicates(["path", "expert", "lens", "concept"]).drop("epoch", "bucket")
         rows = TR.curate_frames(frames, TR.cell_trust(VO.aggregate_votes(votes)))
         rows.write.mode("overwrite").parquet(f"{out}/curated/epoch={epoch}")
 
