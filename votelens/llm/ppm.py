@@ -9,9 +9,9 @@ are just the symbols of the next longer context, so totals without them come fro
 
 The trie is a table of distinct (ORDER + 1)-grams, partitioned by the three bytes before the symbol. Orders 3 and up are summed
 inside a partition; lower orders form a head of at most 256^3 edges that every task gets. The score of a symbol depends on its
-gram alone, so each distinct gram is scored once. Grams with more than 1 / ``FREQUENT_GRAMS`` of all occurrences (fewer than
-FREQUENT_GRAMS, whatever the corpus) are broadcast with their scores; the others, and words alike, are joined, and as each holds
-no more than that share of the rows, no key of these joins is hot.
+gram alone, so each distinct gram is scored once. The most frequent grams, ``FREQUENT_GRAMS`` of them at most whatever the
+corpus, are broadcast with their scores; the others, and words alike, are joined, and as each of them has less than one part in
+FREQUENT_GRAMS of all occurrences, no key of these joins is hot.
 
 Rows: a null text is empty (one end symbol); repeated rows count as often as they occur in training and get equal scores; a row
 with a null doc_id is scored like any other, and is trained on (its id counts as the empty text)."""
@@ -31,7 +31,7 @@ from votelens.llm.common import drop, id_crc, share, slices, utf8, written
 
 ORDER = 5
 FREQUENT_GRAMS = 1 << 20
-FREQUENT_WORDS = 1 << 18
+FREQUENT_WORDS = 1 << 19
 #: Distinct keys that a counting task holds before it hands them on.
 HELD = 3_000_000
 SLICE = 4 << 20
@@ -243,6 +243,20 @@ class Slots:
         return value, there
 
 
+def _floor(counts: DataFrame, column: str, most: int) -> int:
+    """The least count that at most ``most`` rows reach; rows below it each hold less than one part in ``most`` of the sum."""
+    width = counts.select(F.col(column).alias("c"), F.greatest(F.length(F.bin(column)) - 11, F.lit(0)).alias("w"))
+    # counts rounded down to eleven bits: a few ten thousand different ones at most, and none is rounded past another
+    steps = width.groupBy(F.expr("shiftleft(shiftright(c, w), w)").alias("c")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).collect()
+    reached, floor = 0, 1 << 62
+    for row in steps:
+        reached += row.n
+        if reached > most:
+            break
+        floor = row.c
+    return floor
+
+
 def _partials(docs: DataFrame, frequent_grams, frequent_words) -> DataFrame:
     """Over (row, doc_id, learn, text). kind 0: a row of each text, with sums over frequent words and grams; kinds 1 and 2:
     its other words and grams with their counts."""
@@ -299,14 +313,13 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     counted, counted_path = written(count_grams(texts), "ppm-grams")
     scores, _ = written(score_grams(counted), "ppm-scores")
     drop(spark, counted_path)
-    seen = scores.agg(F.sum("seen")).first()[0] or 0
-    often = F.col("seen") * FREQUENT_GRAMS > seen
+    often = F.col("seen") >= _floor(scores, "seen", FREQUENT_GRAMS)
     top = scores.filter(often).toArrow()
     slots = share(spark, Slots(*(top.column(c).to_numpy() for c in ("gram", "score", "seen"))))
 
     vocabulary, _ = written(count_words(texts), "ppm-words")
     size, total = vocabulary.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    common = F.col("n") * FREQUENT_WORDS > total
+    common = F.col("n") >= _floor(vocabulary, "n", FREQUENT_WORDS)
     top = vocabulary.filter(common).toArrow()
     words = share(spark, dict(zip(top.column("word").to_pylist(), np.log10(top.column("n").to_numpy() + 1.0).tolist())))
 
