@@ -124,14 +124,14 @@ def test_folder_with_an_invalid_label_fails(spark):
 
 
 def test_stream_reads_touched_buckets_only(spark, tmp_path):
-    """Fifty batches; a batch that touches one bucket neither reads nor rewrites another."""
+    """A dozen batches; a batch that touches one bucket neither reads nor rewrites another."""
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    frames = spark.createDataFrame([(f"p{i}", f"p{i}", -1, "c", "train") for i in range(4)], "path string, name string, label int, center string, split string")
+    frames = spark.createDataFrame([(f"p{i}", f"p{i}", "d", -1, "c", "train") for i in range(4)], "path string, name string, dir string, label int, center string, split string")
     (tmp_path / "in").mkdir()
-    for i in range(50):
+    for i in range(12):
         (tmp_path / "in" / f"{i:03d}.json").write_text(json.dumps({"path": f"p{i % 2}", "expert": f"e{i}", "lens": 0, "concept": "blur", "raw": "1"}) + "\n")
     MO.stream_curate(spark, src, frames, out, str(tmp_path / "state"), buckets=64, files_per_trigger=1).awaitTermination()
     touched = {p.name for p in (tmp_path / "out" / "votes").glob("bucket=*")}
     epochs = {p.name for p in (tmp_path / "out" / "votes").glob("bucket=*/epoch=*")}
     per = [len(list(p.glob("epoch=*"))) for p in (tmp_path / "out" / "votes").glob("bucket=*")]
-    assert len(touched) == 2 and len(epochs) == 50 and sorted(per) == [25, 25]
+    assert len(touched) == 2 and len(epochs) == 12 and sorted(per) == [6, 6]
