@@ -27,6 +27,8 @@ from votelens.llm.common import drop, id_and_text, slices, text_key, written
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Rows of one key that a partition holds back before it hands the key on.
 BUFFER = 100_000
+#: Keys judged late that are sent to all tasks; more are joined by an exchange.
+BROADCAST_ROWS = 100_000
 BLANKS = " \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
 
@@ -127,6 +129,9 @@ def lost_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     still = judged.filter("open")
     verdict = (still.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2")
                .agg(F.count("one").alias("docs"), F.max("doc_id").alias("top")).filter(F.col("docs") >= min_docs))
+    verdict, _ = written(verdict, "line-open-keys")
+    # keys cut by a partition's end, two at most for each, and overlong ones: as a rule few enough to send to all tasks
+    verdict = F.broadcast(verdict) if verdict.count() <= BROADCAST_ROWS else verdict
     late = still.join(verdict, ["h1", "h2"]).filter(F.col("doc_id") != F.col("top"))
     both = judged.filter("NOT open").select("doc_id", "text_key", "line").unionByName(late.select("doc_id", "text_key", "line"))
     return both.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
