@@ -33,8 +33,11 @@ from votelens.llm.common import id_and_text, slices, text_key, utf8, written
 
 MIN_BYTES, GRAM = 400, 128
 BUCKET_BYTES = 32 << 20
+#: Spans in a row at most.
+SPANS = 4096
 _PLACE_BITS = 28  # a text may hold 256 MB
 _ODD = 0x9E3779B97F4A7C15
+_SPAN = ["doc_id", "text_key", "start", "end"]
 _OCCURRENCE = ["anchor", "hull", "doc_id", "text_key", "at", "low", "high"]
 
 
@@ -86,7 +89,9 @@ def anchors(data: np.ndarray, at: np.ndarray, min_bytes: int, roller: Roller) ->
 
 
 def occurrences(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """A row for each anchor: its gram's hash, its hull's hash, its place, first and last window start (in the text)."""
+    """A row for each hull and slice of texts: its anchor gram's hash, its hash, how often it occurs in the slice, and for the
+    first time its place and first and last window start (in the text). A hull that occurs again in the slice brings the
+    spans of all its occurrences, overlapping ones merged, so a line that a text repeats a thousand times is one row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, digest = Roller(), xxhash.xxh3_128_digest
         for batch in batches:
@@ -96,15 +101,38 @@ def occurrences(docs: DataFrame, min_bytes: int) -> DataFrame:
                 row = np.searchsorted(at, place, "right") - 1
                 begin = np.maximum(place - (min_bytes - GRAM), at[row])
                 end = np.minimum(place + min_bytes, at[row + 1])
-                whole = data.tobytes()
-                hulls = [digest(whole[b:e], p - b) for b, e, p in zip(begin.tolist(), end.tolist(), place.tolist())]
-                take, base = pa.array(row), at[row]
+                whole, groups = data.tobytes(), {}
+                for i, (b, e, p) in enumerate(zip(begin.tolist(), end.tolist(), place.tolist())):
+                    groups.setdefault(digest(whole[b:e], p - b), []).append(i)
+                base, first, hulls, counts, ends, spans = at[row], [], [], [], [0], []
+                for hull, group in groups.items():
+                    merged: list[list[int]] = []
+                    for i in group if len(group) > 1 else ():
+                        start, stop = int(low[i] - base[i]), int(high[i] - base[i]) + min_bytes
+                        if merged and merged[-1][0] == row[i] and start <= merged[-1][2]:
+                            merged[-1][2] = stop
+                        else:
+                            merged.append([int(row[i]), start, stop])
+                    for a in range(0, max(1, len(merged)), SPANS):
+                        first.append(group[0])
+                        hulls.append(hull)
+                        counts.append(0 if a else len(group))
+                        spans += merged[a:a + SPANS]
+                        ends.append(len(spans))
+                first = np.asarray(first, np.int64)
+                held = np.asarray(spans, np.int64).reshape(-1, 3)
+                ids, keys = part.column("doc_id"), part.column("text_key")
+                of = pa.array(held[:, 0])
+                fields = pa.StructArray.from_arrays([ids.take(of), keys.take(of), pa.array(held[:, 1]), pa.array(held[:, 2])], names=_SPAN)
+                take = pa.array(row[first])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram), pa.array(hulls, pa.binary()), part.column("doc_id").take(take), part.column("text_key").take(take),
-                     pa.array(place - base), pa.array(low - base), pa.array(high - base)], names=_OCCURRENCE)
+                    [pa.array(gram[first]), pa.array(hulls, pa.binary()), ids.take(take), keys.take(take),
+                     *[pa.array((x - base)[first]) for x in (place, low, high)], pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), fields)],
+                    names=[*_OCCURRENCE, "times", "spans"])
 
     keyed = id_and_text(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
-    return keyed.mapInArrow(run, "anchor long, hull binary, doc_id long, text_key long, at long, low long, high long")
+    return keyed.mapInArrow(run, "anchor long, hull binary, doc_id long, text_key long, at long, low long, high long, times long, "
+                                 "spans array<struct<doc_id: long, text_key: long, start: long, end: long>>")
 
 
 def _padded(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,17 +260,24 @@ def _bucket_spans(min_bytes: int, bucket_bytes: int):
     return run
 
 
-def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(repeat, doc_id, text_key, start, end): occurrences of repeated strings, in bytes; rows with one ``repeat`` are one group.
-    Their union covers every byte of every string of ``min_bytes`` bytes that starts in more than one place."""
+def _judged(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """Rows of :func:`occurrences` whose hull or anchor occurs again: repeat, equal (occurrences with this hull) and head
+    (whether this row stands for its hull in a bucket of several hulls)."""
     by_anchor, by_hull = Window.partitionBy("anchor"), Window.partitionBy("anchor", "hull")
-    judged, _ = written(
-        occurrences(docs, min_bytes).repartition("anchor")
-        .withColumn("n", F.row_number().over(by_hull.orderBy("doc_id", "text_key", "at"))).withColumn("equal", F.count(F.lit(1)).over(by_hull))
-        .withColumn("several", F.min("hull").over(by_anchor) != F.max("hull").over(by_anchor))
-        .filter("equal > 1 OR several")
-        .select(F.xxhash64("anchor", "hull").alias("repeat"), *[c for c in _OCCURRENCE if c != "hull"], "equal", (F.col("several") & (F.col("n") == 1)).alias("head")), "repeat-anchors")
-    whole = judged.filter("equal > 1").select("repeat", "doc_id", "text_key", F.col("low").alias("start"), (F.col("high") + min_bytes).alias("end"))
+    return (occurrences(docs, min_bytes).repartition("anchor")
+            .withColumn("n", F.row_number().over(by_hull.orderBy(F.col("times") == 0, "doc_id", "text_key", "at"))).withColumn("equal", F.sum("times").over(by_hull))
+            .withColumn("several", F.min("hull").over(by_anchor) != F.max("hull").over(by_anchor))
+            .filter("equal > 1 OR several")
+            .select(F.xxhash64("anchor", "hull").alias("repeat"), *[c for c in _OCCURRENCE if c != "hull"], "spans", "equal", (F.col("several") & (F.col("n") == 1)).alias("head")))
+
+
+def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(repeat, doc_id, text_key, start, end): occurrences of repeated strings, in bytes; rows with one ``repeat`` are one group;
+    occurrences of it that overlap in a text may come as one row, from the first start to the last end.
+    The union of all rows covers every byte of every string of ``min_bytes`` bytes that starts in more than one place."""
+    judged, _ = written(_judged(docs, min_bytes), "repeat-anchors")
+    alone = F.array(F.struct("doc_id", "text_key", F.col("low").alias("start"), (F.col("high") + min_bytes).alias("end")))
+    whole = judged.filter("equal > 1").select("repeat", F.explode(F.when(F.size("spans") > 0, F.col("spans")).otherwise(alone)).alias("s")).select("repeat", "s.*")
     heads = judged.filter("head").withColumn("lone", F.col("equal") == 1)
     fetched = _fetch(docs, heads, min_bytes).repartition("anchor").sortWithinPartitions("anchor")
     spans, _ = written(fetched.mapInArrow(_bucket_spans(min_bytes, bucket_bytes), "repeat long, doc_id long, text_key long, start long, end long, window binary"), "repeat-spans")
