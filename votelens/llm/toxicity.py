@@ -77,13 +77,14 @@ def _marked(labels: DataFrame, allowed: Column) -> DataFrame:
 
 
 def _examples(docs: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic, h, doc_id): up to ``rows`` labelled texts of each class, in hash order."""
+    """(text, toxic) of up to ``rows`` labelled ids of each class, the first in hash order. Only ids are ordered; texts stay
+    where they are."""
     picked = None
     for toxic in (0, 1):
         one = marked.filter(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(rows)
         picked = one if picked is None else picked.unionByName(one)
     # at most 2 x rows ids: small enough for every executor
-    return id_and_text(docs).join(F.broadcast(picked), "doc_id").select("text", "toxic", "h", "doc_id")
+    return id_and_text(docs).join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +149,7 @@ def _head(ends: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, ratio: np.nda
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, ratio_rows: int = RATIO_ROWS, fit_rows: int = FIT_ROWS) -> Model:
     """Trains on labelled texts whose doc_id meets ``allowed``."""
     marked = _marked(labels, F.lit(True) if allowed is None else allowed)
-    found = _examples(docs, marked, ratio_rows)
-    counts = (found.select("text", "toxic").mapInArrow(_counts, "bucket long, clean long, toxic long")
+    counts = (_examples(docs, marked, ratio_rows).mapInArrow(_counts, "bucket long, clean long, toxic long")
               .groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow())
     size, empty = 1 << BUCKET_BITS, np.zeros(1 << BUCKET_BITS, np.float32)
     bucket, clean, toxic = (counts.column(c).to_numpy() for c in ("bucket", "clean", "toxic"))
@@ -163,10 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, ratio
     q[bucket[some]] += clean[some]
     ratio = (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
     ratio[((p + q) == 2 * SMOOTHING) | (np.abs(ratio) < WEAK)] = 0  # never seen, or too weak: says nothing
-    few = None
-    for c in (0, 1):
-        one = found.filter(F.col("toxic") == c).orderBy("h", "doc_id").limit(fit_rows).select("text", "toxic")
-        few = one if few is None else few.unionByName(one)
+    few = _examples(docs, marked, min(fit_rows, ratio_rows))
     strong = share(docs.sparkSession, ratio != 0)
     rows = few.mapInArrow(_features(strong), "toxic int, buckets array<int>").toArrow().combine_chunks()
     lists = rows.column("buckets").combine_chunks()
