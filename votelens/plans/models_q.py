@@ -88,7 +88,7 @@ def balanced_logistic(i):
 @query("oof_scores")
 def oof_scores(i):
     e = i.embedding_pools
-    return M.oof_scores(M._xy(M.fit_pipe(e).transform(e)), 1.0, 3).select("name", "label", "fold", "score")
+    return M.oof_scores(M._xy(M.fit_pipe(e).transform(e)), 1.0).select("name", "label", "fold", "score")
 
 
 @query("select_C")
@@ -110,13 +110,13 @@ def loco_leg(i):
 @query("center_auroc")
 def center_auroc(i):
     e = i.embedding_pools
-    return M.center_auroc(M.fit_pipe(e).transform(e), k=3)
+    return M.center_auroc(M.fit_pipe(e).transform(e))
 
 
 @query("ship_ensemble")
 def ship_ensemble(i):
     e = i.embedding_pools
-    ens = M.ship_ensemble(e, [(V.POOLS, 1.0), (["cls", "patch_mean"], 0.3)], k=2)
+    ens = M.ship_ensemble(e, [(V.POOLS, 1.0), (["cls", "patch_mean"], 0.3), (["reg_mean", "patch_max"], 1.0)])
     return ens.score(e).select("name", "label", "mean_prob", "score")
 
 
@@ -146,4 +146,4 @@ def encoder_gate(i):
 @query("encoder_table")
 def encoder_table(i):
     e = i.embedding_pools
-    return M.encoder_table({"full": e, "squared": e.withColumn("feats", F.transform("feats", lambda x: (x * x).cast("float")))}, k=2)
+    return M.encoder_table({"full": e, "squared": e.withColumn("feats", F.transform("feats", lambda x: (x * x).cast("float")))})

@@ -148,10 +148,10 @@ def stratified_holdout(i):
 @query("stratified_subset", """SELECT path, dir, true AS pos_like FROM pos UNION ALL SELECT path, dir, false FROM (
   SELECT path, dir, row_number() OVER (ORDER BY i, dir) AS rn FROM (SELECT path, dir, row_number() OVER (PARTITION BY dir ORDER BY md5(path || '|s0'), path) AS i FROM d WHERE core_max <= 0.4))
   WHERE rn <= 200 - (SELECT count(*) FROM pos)""", "frames trusted",
-       {"cm": f"SELECT path, max(value) AS core_max FROM trusted WHERE concept IN ('demarcation') GROUP BY path", "d": "SELECT path, dir, core_max FROM frames JOIN cm USING (path) WHERE label < 0",
+       {"cm": CM, "d": "SELECT path, dir, core_max FROM frames JOIN cm USING (path) WHERE label < 0",
         "pos": "SELECT path, dir FROM d WHERE core_max > 0.4 ORDER BY md5(path || '|s0'), path LIMIT 100"})
 def stratified_subset(i):
-    return SA.stratified_subset(i.frames, SA.core_max(i.trusted, ["demarcation"]), 200)
+    return SA.stratified_subset(i.frames, SA.core_max(i.trusted, V.CURATED9), 200)
 
 
 @query("pool_sample", """SELECT path, decision, suspicion, suspicion < 0.4 AND decision = 'CONFIDENT_NEGATIVE' AS conf_neg FROM (
