@@ -227,6 +227,13 @@ class Slots:
         by = np.argsort(keys)
         self.rest, self.rest_value = rest, values[by][np.searchsorted(keys[by], rest)]
 
+    @staticmethod
+    def restored(state: dict) -> Slots:
+        """From the plain attributes, which are what is broadcast: no second copy stays beside them."""
+        out = Slots.__new__(Slots)
+        out.__dict__.update(state)
+        return out
+
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -263,7 +270,7 @@ def _partials(docs: DataFrame, frequent_grams, frequent_words) -> DataFrame:
     names = ["kind", "row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "gram", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, words = frequent_grams(), frequent_words()
+        slots, words = Slots.restored(frequent_grams.value), frequent_words.value
 
         def out(size: int, **columns) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in schema], schema=schema)
@@ -315,13 +322,13 @@ def score_texts(docs: DataFrame, learn: Column) -> DataFrame:
     drop(spark, counted_path)
     often = F.col("seen") >= _floor(scores, "seen", FREQUENT_GRAMS)
     top = scores.filter(often).toArrow()
-    slots = share(spark, Slots(*(top.column(c).to_numpy() for c in ("gram", "score", "seen"))))
+    slots = spark.sparkContext.broadcast(vars(Slots(*(top.column(c).to_numpy() for c in ("gram", "score", "seen")))))
 
     vocabulary, _ = written(count_words(texts), "ppm-words")
     size, total = vocabulary.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
     common = F.col("n") >= _floor(vocabulary, "n", FREQUENT_WORDS)
     top = vocabulary.filter(common).toArrow()
-    words = share(spark, dict(zip(top.column("word").to_pylist(), np.log10(top.column("n").to_numpy() + 1.0).tolist())))
+    words = spark.sparkContext.broadcast(dict(zip(top.column("word").to_pylist(), np.log10(top.column("n").to_numpy() + 1.0).tolist())))
 
     numbered = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "learn", "text")
     parts, _ = written(_partials(numbered, slots, words), "ppm-partials")
