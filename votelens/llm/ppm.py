@@ -34,7 +34,7 @@ FREQUENT_GRAMS = 1 << 20
 FREQUENT_WORDS = 1 << 19
 #: Distinct keys that a counting task holds before it hands them on.
 HELD = 3_000_000
-SLICE = 4 << 20
+SLICE = 2 << 20
 _GRAM = "gram long, trained long, seen long"
 
 
