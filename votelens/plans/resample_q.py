@@ -8,7 +8,8 @@ from votelens.operators import resample as R
 from votelens.plans import sqlviews as S
 from votelens.plans.registry import query
 
-REPS = 25
+#: Replicates of the reference: 1000 where phase3/evaluate.py says B=1000, 2000 for its gate, mde and report and for BOOT of confirm.py.
+REPS, REPS_WIDE = 1000, 2000
 SEED = 12345
 M32 = 4294967295
 
@@ -37,12 +38,16 @@ def indexed(src: str, rep: str, seed: int, *stratum: str) -> str:
     return f"SELECT *, (_b * 2097152 + (_e & 2097151)) % n AS idx FROM ({q})"
 
 
+def strat(reps: int) -> dict[str, str]:
+    return STRAT | {"d0": STRAT["d0"].format(reps=reps)}
+
+
 STRAT = {
     "tagged": "SELECT *, CASE WHEN label = 1 THEN '*' ELSE center END AS stratum FROM scored_rare",
     "pool": f"SELECT *, row_number() OVER (PARTITION BY label, stratum ORDER BY md5(name || '|pool{SEED}'), name) - 1 AS idx, count(*) OVER (PARTITION BY label, stratum) AS n FROM tagged",
     "plan": """SELECT label, stratum, n, CASE WHEN label = 1 THEN n ELSE round_even(round_even(P * (0.99::double / 0.01::double), 0) * (n::double / T), 0)::bigint END AS draws FROM (
       SELECT label, stratum, count(*) AS n, (SELECT count(*) FROM tagged WHERE label = 1) AS P, (SELECT count(*) FROM tagged WHERE label = 0) AS T FROM tagged GROUP BY 1, 2)""",
-    "d0": f"SELECT p.*, r.rep, d.d FROM plan p, range({REPS}) r(rep), range((SELECT max(draws) FROM plan)) d(d) WHERE d.d < p.draws",
+    "d0": "SELECT p.*, r.rep, d.d FROM plan p, range({reps}) r(rep), range((SELECT max(draws) FROM plan)) d(d) WHERE d.d < p.draws",
     "d1": indexed("d0", "rep", SEED, "label", "stratum"),
     "drawn": "SELECT d1.rep, d1.label, pool.score, pool.score_b FROM d1 JOIN pool ON pool.label = d1.label AND pool.stratum = d1.stratum AND pool.idx = d1.idx",
 }
@@ -56,7 +61,7 @@ def summ(col, prefix):
 
 @query("bootstrap", f"""SELECT count(*) AS reps, max(n_pos) AS n_pos, max(n_neg) AS n_neg, quantile_cont(fpr_incl, 0.5) AS fpr_median, {summ('ppv', 'curve')}, {summ('ppv_oracle', 'oracle')},
   {summ('fixed', 'fixed')} FROM m JOIN fx USING (rep)""", "scored_rare",
-       STRAT | {"m": REP_M, "fx": "SELECT rep, coalesce(sum(label) FILTER (score >= 0.6)::double / nullif(count(*) FILTER (score >= 0.6), 0), 0.0) AS fixed FROM drawn GROUP BY rep"},
+       strat(REPS) | {"m": REP_M, "fx": "SELECT rep, coalesce(sum(label) FILTER (score >= 0.6)::double / nullif(count(*) FILTER (score >= 0.6), 0), 0.0) AS fixed FROM drawn GROUP BY rep"},
        "fpr_median curve_median curve_lo curve_hi curve_mean oracle_median oracle_lo oracle_hi oracle_mean fixed_median fixed_lo fixed_hi fixed_mean")
 def bootstrap(i):
     return R.bootstrap(i.scored_rare, REPS, SEED, fixed_thr=0.6)
@@ -85,25 +90,25 @@ PR = "p_gt0 median_delta mean_delta lo hi"
 MB = S.metrics_of(S.curve_of("drawn", "rep", "score_b"), "rep")
 for _mode, _col in (("curve", "ppv"), ("auroc", "auroc"), ("auprc", "auprc")):
     query(f"paired_bootstrap_{_mode}", PAIR_SUM.format(f"SELECT rep, a.{_col} - b.{_col} AS delta FROM ma a JOIN mb b USING (rep)"), "scored_rare",
-          STRAT | {"ma": REP_M, "mb": MB}, PR)(lambda i, m=_mode: R.paired_bootstrap(i.scored_rare, "score", "score_b", REPS, SEED, m))
+          strat(REPS) | {"ma": REP_M, "mb": MB}, PR)(lambda i, m=_mode: R.paired_bootstrap(i.scored_rare, "score", "score_b", REPS, SEED, m))
 _FX = "sum(label) FILTER ({c} >= {t})::double / greatest(count(*) FILTER ({c} >= {t}), 1)"
 
 
 @query("paired_bootstrap_fixed", PAIR_SUM.format(f"SELECT rep, coalesce({_FX.format(c='score', t=0.6)}, 0.0) - coalesce({_FX.format(c='score_b', t=0.55)}, 0.0) AS delta FROM drawn GROUP BY rep"),
-       "scored_rare", STRAT, PR)
+       "scored_rare", strat(REPS), PR)
 def paired_bootstrap_fixed(i):
     return R.paired_bootstrap(i.scored_rare, "score", "score_b", REPS, SEED, "fixed", thr_a=0.6, thr_b=0.55)
 
 
 @query("gate", "SELECT *, CASE WHEN lo > 0 THEN 'PASS' WHEN hi < 0 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS verdict FROM (" +
-       PAIR_SUM.format("SELECT rep, a.auroc - b.auroc AS delta FROM ma a JOIN mb b USING (rep)") + ")", "scored_rare", STRAT | {"ma": REP_M, "mb": MB}, PR)
+       PAIR_SUM.format("SELECT rep, a.auroc - b.auroc AS delta FROM ma a JOIN mb b USING (rep)") + ")", "scored_rare", strat(REPS_WIDE) | {"ma": REP_M, "mb": MB}, PR)
 def gate(i):
-    return R.gate(R.paired_bootstrap(i.scored_rare, "score", "score_b", REPS, SEED, "auroc"))
+    return R.gate(R.paired_bootstrap(i.scored_rare, "score", "score_b", REPS_WIDE, SEED, "auroc"))
 
 
-@query("mde", "SELECT count(ppv) AS reps, quantile_cont(ppv, 0.5) AS median, stddev_pop(ppv) AS sd, 2.0 * stddev_pop(ppv) AS mde FROM m", "scored_rare", STRAT | {"m": REP_M}, "median sd mde")
+@query("mde", "SELECT count(ppv) AS reps, quantile_cont(ppv, 0.5) AS median, stddev_pop(ppv) AS sd, 2.0 * stddev_pop(ppv) AS mde FROM m", "scored_rare", strat(REPS_WIDE) | {"m": REP_M}, "median sd mde")
 def mde(i):
-    return R.mde(i.scored_rare, "curve", REPS, SEED)
+    return R.mde(i.scored_rare, "curve", REPS_WIDE, SEED)
 
 
 @query("seed_summary", "SELECT count(auroc) AS n_seeds, sum(auroc) / count(auroc) AS mean, stddev_pop(auroc) AS sd FROM m", "scored_rare",
@@ -115,19 +120,23 @@ def seed_summary(i):
     return R.seed_summary(i.scored_rare.select("label", F.explode(arms).alias("_a")).select("label", "_a.*"))
 
 
+def iid(reps: int) -> dict[str, str]:
+    return IID | {"i0": IID["i0"].format(reps=reps)}
+
+
 IID = {
     "ipool": "SELECT *, row_number() OVER (ORDER BY md5(name || '|iid0'), name) - 1 AS idx, count(*) OVER () AS n FROM scored_rare",
-    "i0": f"SELECT c.n, r.rep, d.d FROM (SELECT count(*) AS n FROM scored_rare) c, range({REPS}) r(rep), range((SELECT count(*) FROM scored_rare)) d(d)",
+    "i0": "SELECT c.n, r.rep, d.d FROM (SELECT count(*) AS n FROM scored_rare) c, range({reps}) r(rep), range((SELECT count(*) FROM scored_rare)) d(d)",
     "i1": indexed("i0", "rep", 0), "idrawn": "SELECT i1.rep, ipool.label, ipool.score FROM i1 JOIN ipool USING (idx)",
     "m": S.metrics_of(S.curve_of("idrawn", "rep"), "rep")}
 
 
-@query("auroc_ci", "SELECT count(auroc) AS reps, sum(auroc) / count(auroc) AS auroc_mean, quantile_cont(auroc, 0.025) AS ci_lo, quantile_cont(auroc, 0.975) AS ci_hi FROM m", "scored_rare", IID, "auroc_mean ci_lo ci_hi")
+@query("auroc_ci", "SELECT count(auroc) AS reps, sum(auroc) / count(auroc) AS auroc_mean, quantile_cont(auroc, 0.025) AS ci_lo, quantile_cont(auroc, 0.975) AS ci_hi FROM m", "scored_rare", iid(REPS_WIDE), "auroc_mean ci_lo ci_hi")
 def auroc_ci(i):
-    return R.auroc_ci(i.scored_rare, REPS, 0)
+    return R.auroc_ci(i.scored_rare, REPS_WIDE, 0)
 
 
-@query("boot_ppv", "SELECT count(v) AS reps, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM (SELECT 0.9 / (0.9 + 100.0 * fpr_strict) AS v FROM m)", "scored_rare", IID, "median lo hi")
+@query("boot_ppv", "SELECT count(v) AS reps, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM (SELECT 0.9 / (0.9 + 100.0 * fpr_strict) AS v FROM m)", "scored_rare", iid(REPS), "median lo hi")
 def boot_ppv(i):
     return R.boot_ppv(i.scored_rare, REPS, 0)
 
@@ -135,9 +144,9 @@ def boot_ppv(i):
 @query("report_full", """SELECT quantile_cont(m.ppv, 0.5) AS ppv90, quantile_cont(m.ppv, 0.025) AS ci_lo, quantile_cont(m.ppv, 0.975) AS ci_hi, any_value(g.p) AS ppv90_gc, any_value(g.l) AS gc_lo, any_value(g.h) AS gc_hi,
   any_value(b.fpr_incl) AS fpr90, any_value(b.auroc) AS auroc, any_value(b.auprc) AS auprc, any_value(b.n_pos + b.n_neg) AS n, any_value(b.n_pos) AS pos
   FROM m, base b, (SELECT quantile_cont(ppv, 0.5) AS p, quantile_cont(ppv, 0.025) AS l, quantile_cont(ppv, 0.975) AS h FROM gc) g""", "scored_rare",
-       STRAT | GC | {"m": REP_M, "base": S.metrics_of(S.curve_of("scored_rare"))}, "ppv90 ci_lo ci_hi ppv90_gc gc_lo gc_hi fpr90 auroc auprc")
+       strat(REPS_WIDE) | GC | {"m": REP_M, "base": S.metrics_of(S.curve_of("scored_rare"))}, "ppv90 ci_lo ci_hi ppv90_gc gc_lo gc_hi fpr90 auroc auprc")
 def report_full(i):
-    return R.report_full(i.scored_rare, REPS, SEED)
+    return R.report_full(i.scored_rare, REPS_WIDE, SEED, challenge_reps=REPS)
 
 
 GROUPS = {
@@ -183,7 +192,7 @@ CONFIRM = {
     "ml": _auc("(SELECT *, (center = 'center_2')::int AS is_c2 FROM tr)", "concept", "c", "is_c2"), "lk": "SELECT concept, greatest(auroc, 1 - auroc) AS leak FROM ml",
     "rel": "SELECT concept, sum(r) / count(r) AS agree, sum(m) / count(m) AS assess FROM va GROUP BY concept",
     "cpool": "SELECT concept, label, c AS score, row_number() OVER (PARTITION BY concept ORDER BY md5(path || '|iid0'), path) - 1 AS idx FROM ov",
-    "c0": f"SELECT s.concept, s.n, r.rep, d.d FROM (SELECT concept, count(*) AS n FROM ov GROUP BY concept) s, range({REPS}) r(rep), range((SELECT count(*) FROM lab)) d(d) WHERE d.d < s.n",
+    "c0": f"SELECT s.concept, s.n, r.rep, d.d FROM (SELECT concept, count(*) AS n FROM ov GROUP BY concept) s, range({REPS_WIDE}) r(rep), range((SELECT count(*) FROM lab)) d(d) WHERE d.d < s.n",
     "c1": indexed("c0", "rep", 0), "cdrawn": "SELECT c1.concept, c1.rep, cpool.label, cpool.score FROM c1 JOIN cpool ON cpool.concept = c1.concept AND cpool.idx = c1.idx",
     "mc": S.metrics_of(S.curve_of("cdrawn", "concept, rep"), "concept, rep"),
     "ci": "SELECT concept, sum(auroc) / count(auroc) AS auroc_val, quantile_cont(auroc, 0.025) AS ci_lo, quantile_cont(auroc, 0.975) AS ci_hi FROM mc GROUP BY concept",
@@ -199,7 +208,7 @@ CONFIRM = {
 def confirm_gates(i):
     train, val = confirm_inputs(i)
     o = A.orient(train, val).select("concept", F.col("path").alias("name"), F.col("c").alias("score"), "label")
-    ci = R.auroc_ci(o, REPS, 0, ["concept"]).select("concept", F.col("auroc_mean").alias("auroc_val"), "ci_lo", "ci_hi")
+    ci = R.auroc_ci(o, REPS_WIDE, 0, ["concept"]).select("concept", F.col("auroc_mean").alias("auroc_val"), "ci_lo", "ci_hi")
     return A.confirm_gates(train, val, ci)
 
 
