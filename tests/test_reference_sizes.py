@@ -4,6 +4,7 @@ import inspect
 
 import pytest
 
+from votelens.operators import models as M
 from votelens.operators import resample as R
 
 REPS = {"bootstrap": 1000, "bootstrap_challenge": 1000, "paired_bootstrap_curve": 1000, "paired_bootstrap_auroc": 1000, "paired_bootstrap_auprc": 1000,
@@ -32,3 +33,34 @@ def test_replicates(spark, sf_dir, entry, monkeypatch, name):
 
 def test_intervals_come_from_all_replicates(spark, sf_dir, entry):
     assert entry[0]["bootstrap_challenge"](spark, sf_dir).first()["reps"] == 1000
+
+
+class Stop(Exception):
+    pass
+
+
+def _stop(f):
+    def stop(*a, **k):
+        b = inspect.signature(f).bind(*a, **k)
+        b.apply_defaults()
+        raise Stop(b.arguments)
+    return stop
+
+
+@pytest.mark.parametrize("name, at, want", [
+    ("select_C", "select_c", {"grid": [0.01, 0.03, 0.1, 0.3, 1.0], "reps": 500, "k": 5}), ("center_debias", "fit_pipe", {"debias_k": 32}),
+    ("center_debias", "center_auroc", {"k": 5}), ("feature_pipe", "fit_pipe", {"whiten_dim": 256, "debias_k": 32}), ("encoder_gate", "encoder_gate", {"reps": 1000})])
+def test_fits(spark, sf_dir, entry, monkeypatch, name, at, want):
+    fit = M.fit_pipe
+    monkeypatch.setattr(M, "fit_pipe", lambda e, *a, **k: fit(e))
+    monkeypatch.setattr(M, at, _stop(fit if at == "fit_pipe" else getattr(M, at)))
+    with pytest.raises(Stop) as got:
+        entry[0][name](spark, sf_dir)
+    assert {k: got.value.args[0][k] for k in want} == want
+
+
+def test_feature_pipe_returns_the_vector(spark, sf_dir, entry, monkeypatch):
+    fit = M.fit_pipe
+    monkeypatch.setattr(M, "fit_pipe", lambda e, *a, **k: fit(e))
+    row = entry[0]["feature_pipe"](spark, sf_dir).first()
+    assert len(row["x"]) == row["dims"] == 64

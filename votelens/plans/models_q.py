@@ -9,6 +9,8 @@ from votelens.operators import models as M
 from votelens.plans import sqlviews as S
 from votelens.plans.registry import query
 
+#: The reference's sizes (phase3/train.py).
+WHITEN_DIM, DEBIAS_K, C_GRID = 256, 32, [0.01, 0.03, 0.1, 0.3, 1.0]
 COEF = M.fixed_coefficients(64)
 _C = "[" + ", ".join(f"{c}::double" for c in COEF) + "]"
 _R = "[" + ", ".join(f"{c}::double" for c in reversed(COEF)) + "]"
@@ -67,15 +69,15 @@ def batch_score(i):
 @query("feature_pipe")
 def feature_pipe(i):
     e = i.embedding_pools
-    pipe = M.fit_pipe(e, whiten_dim=16, debias_k=1)
-    return pipe.transform(e).select("name", F.size("x").alias("dims"), F.element_at("x", 1).alias("x_first"))
+    pipe = M.fit_pipe(e, whiten_dim=WHITEN_DIM, debias_k=DEBIAS_K)
+    return pipe.transform(e).select("name", F.size("x").alias("dims"), "x")
 
 
 @query("center_debias")
 def center_debias(i):
     e = i.embedding_pools
-    pipe = M.fit_pipe(e, debias_k=2)
-    return M.center_auroc(pipe.transform(e), k=3)
+    pipe = M.fit_pipe(e, debias_k=DEBIAS_K)
+    return M.center_auroc(pipe.transform(e))
 
 
 @query("balanced_logistic")
@@ -94,7 +96,7 @@ def oof_scores(i):
 @query("select_C")
 def select_c(i):
     e = i.embedding_pools
-    return M.select_c(M._xy(M.fit_pipe(e).transform(e)), [0.01, 0.1], reps=20, k=2)
+    return M.select_c(M._xy(M.fit_pipe(e).transform(e)), C_GRID)
 
 
 @query("loco_report")
@@ -140,7 +142,7 @@ def residualize(i):
 def encoder_gate(i):
     e = i.embedding_pools
     mirrored = e.withColumn("feats", F.transform("feats", lambda x: (x * x).cast("float")))
-    return M.encoder_gate(e, mirrored, reps=20)
+    return M.encoder_gate(e, mirrored)
 
 
 @query("encoder_table")
