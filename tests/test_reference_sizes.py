@@ -4,8 +4,10 @@ import inspect
 
 import pytest
 
+from votelens import vocabulary as V
 from votelens.operators import models as M
 from votelens.operators import resample as R
+from votelens.plans import models_q
 
 REPS = {"bootstrap": 1000, "bootstrap_challenge": 1000, "paired_bootstrap_curve": 1000, "paired_bootstrap_auroc": 1000, "paired_bootstrap_auprc": 1000,
         "paired_bootstrap_fixed": 1000, "gate": 2000, "mde": 2000, "auroc_ci": 2000, "boot_ppv": 1000, "report_full": 2000, "full_report": 1000, "confirm_gates": 2000}
@@ -64,3 +66,18 @@ def test_feature_pipe_returns_the_vector(spark, sf_dir, entry, monkeypatch):
     monkeypatch.setattr(M, "fit_pipe", lambda e, *a, **k: fit(e))
     row = entry[0]["feature_pipe"](spark, sf_dir).first()
     assert len(row["x"]) == row["dims"] == 64
+
+
+def test_residualize_reads_every_nuisance(spark, sf_dir, entry, monkeypatch):
+    monkeypatch.setattr(models_q, "cut_lineage", lambda d: d)
+    monkeypatch.setattr(M, "residualize", _stop(M.residualize))
+    with pytest.raises(Stop) as got:
+        entry[0]["residualize"](spark, sf_dir)
+    assert got.value.args[0]["nuisance"] == V.NUISANCE and got.value.args[0]["held_out"] is not None
+
+
+def test_every_concept_and_model(spark, sf_dir, entry):
+    q = entry[0]
+    assert len(q["cell_matrix"](spark, sf_dir).columns) == 3 + 3 * len(V.NAMES)
+    assert q["generalization_gap"](spark, sf_dir).count() == 3 * len(V.NAMES)
+    assert "flash35_vs_flash3" in q["feature_reeval"](spark, sf_dir).columns

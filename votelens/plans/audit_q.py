@@ -200,19 +200,26 @@ def labeler_summary(i):
     return A.labeler_summary(i.model_cells, i.frames, 3)
 
 
-@query("feature_reeval", """SELECT concept, """ + ", ".join(f"max({c}) FILTER (model = '{m}') AS {m}_{c}" for m in ("flash3", "proagent") for c in ("agreement", "auroc", "core")) +
-       """, CASE WHEN max(core) FILTER (model = 'proagent') AND NOT max(core) FILTER (model = 'flash3') THEN 'rescued'
-         WHEN NOT max(core) FILTER (model = 'proagent') AND max(core) FILTER (model = 'flash3') THEN 'dropped' ELSE 'same' END AS proagent_vs_flash3
+REEVAL = ("flash3", "proagent", "flash35")
+
+
+def _against(m: str, base: str) -> str:
+    core = lambda x: f"max(core) FILTER (model = '{x}')"
+    return f"CASE WHEN {core(m)} AND NOT {core(base)} THEN 'rescued' WHEN NOT {core(m)} AND {core(base)} THEN 'dropped' ELSE 'same' END AS {m}_vs_{base}"
+
+
+@query("feature_reeval", """SELECT concept, """ + ", ".join(f"max({c}) FILTER (model = '{m}') AS {m}_{c}" for m in REEVAL for c in ("agreement", "auroc", "core")) +
+       ", " + ", ".join(_against(m, REEVAL[0]) for m in REEVAL[1:]) + """
   FROM (SELECT model, concept, greatest(auroc, 1 - auroc) AS auroc, agreement, agreement >= 0.6 AND mi > 1e-9 AS core FROM m
     JOIN (SELECT model, concept, sum(r) / count(*) AS agreement FROM ml GROUP BY 1, 2) USING (model, concept) JOIN (
     SELECT model, concept, sum((n / nt) * ln((n * nt) / (nb * nl))) AS mi FROM (
       SELECT model, concept, n::double AS n, sum(n) OVER (PARTITION BY model, concept)::double AS nt, sum(n) OVER (PARTITION BY model, concept, bin)::double AS nb,
         sum(n) OVER (PARTITION BY model, concept, label)::double AS nl FROM (SELECT model, concept, least(floor(c * 8), 7) AS bin, label, count(*) AS n FROM ml GROUP BY 1, 2, 3, 4))
       GROUP BY 1, 2) USING (model, concept)) GROUP BY concept""", "model_cells lab",
-       {"ml": f"SELECT c.*, l.label FROM model_cells c JOIN lab l USING (path) WHERE concept IN ({q(V.DISCRIMINATIVE)}) AND model <> 'flash35'", "m": auc("ml", "model, concept")},
-       "flash3_agreement flash3_auroc proagent_agreement proagent_auroc")
+       {"ml": f"SELECT c.*, l.label FROM model_cells c JOIN lab l USING (path) WHERE concept IN ({q(V.DISCRIMINATIVE)})", "m": auc("ml", "model, concept")},
+       " ".join(f"{m}_{c}" for m in REEVAL for c in ("agreement", "auroc")))
 def feature_reeval(i):
-    return A.feature_reeval(i.model_cells.filter("model <> 'flash35'"), i.frames, ["flash3", "proagent"], "flash3")
+    return A.feature_reeval(i.model_cells, i.frames, list(REEVAL), REEVAL[0])
 
 
 _NOISE = "cast('0x' || substr(md5(path || '|' || concept || '|pred'), 1, 2) as int) / 512.0::double"
@@ -224,10 +231,9 @@ def macro_concept_auroc(i):
     return A.macro_concept_auroc(i.trusted.withColumn("pred", F.col("value") / 2.0 + hash_byte("pred", "path", "concept") / F.lit(512.0)))
 
 
-@query("generalization_gap", """SELECT model AS arm, max(auroc) FILTER (split = 'train') AS inside, max(auroc) FILTER (split = 'val') AS outside,
-  max(auroc) FILTER (split = 'train') - max(auroc) FILTER (split = 'val') AS gap FROM m WHERE concept = 'demarcation' GROUP BY model""", "model_cells lab",
-       {"ml": "SELECT c.*, l.label, l.split FROM model_cells c JOIN lab l USING (path) WHERE concept = 'demarcation'", "m": auc("ml", "model, concept, split")}, "inside outside gap")
+@query("generalization_gap", """SELECT model || '/' || concept AS arm, max(auroc) FILTER (split = 'train') AS inside, max(auroc) FILTER (split = 'val') AS outside,
+  max(auroc) FILTER (split = 'train') - max(auroc) FILTER (split = 'val') AS gap FROM m GROUP BY model, concept""", "model_cells lab",
+       {"ml": "SELECT c.*, l.label, l.split FROM model_cells c JOIN lab l USING (path)", "m": auc("ml", "model, concept, split")}, "inside outside gap")
 def generalization_gap(i):
-    d = i.model_cells.filter("concept = 'demarcation'").join(i.lab, "path")
-    m = A.concept_auroc(d, ["model", "split"])
-    return A.generalization_gap(m.select(F.col("model").alias("arm"), F.col("split").alias("regime"), F.col("auroc").alias("metric")), "train", "val")
+    m = A.concept_auroc(i.model_cells.join(i.lab, "path"), ["model", "concept", "split"])
+    return A.generalization_gap(m.select(F.concat_ws("/", "model", "concept").alias("arm"), F.col("split").alias("regime"), F.col("auroc").alias("metric")), "train", "val")

@@ -8,6 +8,7 @@ from votelens.functions.scalars import hash_byte
 from votelens.operators import models as M
 from votelens.plans import sqlviews as S
 from votelens.plans.registry import query
+from votelens.session import cut_lineage
 
 #: The reference's sizes (phase3/train.py).
 WHITEN_DIM, DEBIAS_K, C_GRID = 256, 32, [0.01, 0.03, 0.1, 0.3, 1.0]
@@ -130,11 +131,12 @@ def concept_ceiling(i):
 
 @query("residualize")
 def residualize(i):
-    t = i.trusted.filter(F.col("concept").isin("blur", "glare", "debris"))
-    n = t.groupBy("path").pivot("concept", ["blur", "glare", "debris"]).agg(F.first("value"))
-    f = i.frames.join(n, "path").select("name", "blur", "glare", "debris")
-    e = i.embedding_pools.join(f, "name")
-    parts = [M.residualize(e, ["blur", "glare", "debris"], a, b) for a, b in M.LEGS]
+    t = i.trusted.filter(F.col("concept").isin(V.NUISANCE))
+    n = t.groupBy("path").pivot("concept", V.NUISANCE).agg(F.first("value"))
+    f = i.frames.join(n, "path").select("name", *V.NUISANCE)
+    e = cut_lineage(i.embedding_pools.join(f, "name"))  # both legs read it several times
+    held = hash_byte("split", "name") >= 192  # the split of the frames, for unlabelled frames too
+    parts = [M.residualize(e, V.NUISANCE, a, b, held) for a, b in M.LEGS]
     return parts[0].unionByName(parts[1])
 
 

@@ -247,11 +247,11 @@ def concept_arrays(i):
 
 
 @query("cell_matrix", "SELECT path, label, center, " + ", ".join(
-    f"max({x}) FILTER (concept = '{n}') AS {n}_{x}" for n in V.ROBUST_CORE for x in "crm") + " FROM lcells GROUP BY 1, 2, 3", "lcells",
-       r=" ".join(f"{n}_{x}" for n in V.ROBUST_CORE for x in "crm"))
+    f"max({x}) FILTER (concept = '{n}') AS {n}_{x}" for n in V.NAMES for x in "crm") + " FROM lcells GROUP BY 1, 2, 3", "lcells",
+       r=" ".join(f"{n}_{x}" for n in V.NAMES for x in "crm"))
 def cell_matrix(i):
     m = L.cell_matrix(i.cells, i.lab)
-    return m.select("path", "label", "center", *[f"{n}_{x}" for n in V.ROBUST_CORE for x in "crm"])
+    return m.select("path", "label", "center", *[f"{n}_{x}" for n in V.NAMES for x in "crm"])
 
 
 def stored_readings(i):
