@@ -85,6 +85,24 @@ def test_secrets_allow_list(docs_frame):
     assert [bool(r.spans) for r in secrets.find_secrets(docs_frame(rows)).orderBy("doc_id").collect()] == [False, True, False]
 
 
+def test_secrets_after_names_and_folders(docs_frame):
+    """Neither what stands before = or / nor the class of letters hides a random string."""
+    rng = random.Random(8)
+    hexes, lower, mixed, b64 = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJabcdefghij0123456789+/"
+    made = [(head, "".join(rng.choices(abc, k=n))) for abc, n in ((hexes, 20), (hexes, 31), (lower, 32), (mixed, 20), (mixed, 32), (b64, 40))
+            for head in ("", "key=", "digest=", "EXAMPLE_KEY=", "/examples/some/folder/") for _ in range(20)]
+    rows = [(i, f"see {head}{x} here") for i, (head, x) in enumerate(made)]
+    got = {r.doc_id for r in secrets.find_secrets(docs_frame(rows)).collect() if any(s.kind == "entropy" for s in r.spans)}
+    for head in ("", "key=", "digest=", "EXAMPLE_KEY=", "/examples/some/folder/"):
+        at = [i for i, (h, _) in enumerate(made) if h == head]
+        assert sum(i in got for i in at) >= 0.9 * len(at), head
+
+
+def test_secrets_long_path(docs_frame):
+    rows = [(1, "a/" * 40_000), (2, "/" * 40_000), (3, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"), (4, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ4vT8Lw2N")]
+    assert [bool(r.spans) for r in secrets.find_secrets(docs_frame(rows)).orderBy("doc_id").collect()] == [False, False, False, True]
+
+
 def test_secrets_are_native(docs_frame):
     plan = secrets.op2_secrets(docs_frame([(1, "a")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange hashpartitioning" not in plan

@@ -1,6 +1,6 @@
 """Secret scans in DataFrame functions alone: known forms by pattern, unknown ones by sliding-window Shannon entropy.
 
-Candidate strings are runs of at least ``WINDOW`` token characters. A window of ``WINDOW`` characters slides over each candidate;
+Candidate strings are pieces of at least ``WINDOW`` token characters. A window of ``WINDOW`` characters slides over each candidate;
 it keeps the count of every character and the sum of c log2 c over the counts, and each step changes one count down and one up,
 so a step costs the same whatever the window holds. Windows whose entropy reaches the bound of the candidate's character class
 are flagged, and overlapping ones merge into a span. Candidates that match the allow list are left out. One projection over
@@ -23,16 +23,20 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 ASSIGN_CHARS = 8
 
-#: Candidates for the entropy scan; the look-behind keeps the search linear.
-CANDIDATE = r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{20,}"
+#: Candidates for the entropy scan: = and / end them, so a name or folder before a secret does not change its class. Pieces under
+#: 20 characters between slashes stay together, as a secret may hold slashes. The look-behind keeps the search linear, and the
+#: possessive loop needs no stack.
+_PIECE = r"[A-Za-z0-9+_-]"
+CANDIDATE = rf"(?<!{_PIECE}){_PIECE}{{20,}}|(?<!{_PIECE}){_PIECE}{{0,19}}(?:/{_PIECE}{{0,19}}(?!{_PIECE}))++"
 WINDOW = 20
 #: Steps between chunks of a long candidate.
 CHUNK = 2048
-#: Character classes, tried in this order, and the entropy in bits that makes a window of the class suspicious.
-CLASSES = ((r"^[0-9a-fA-F]+$", 2.8), (r"^[A-Za-z]+$", 4.15), (r"^[a-z0-9_-]+$|^[A-Z0-9_-]+$", 3.75), (r".", 3.85))
+#: Character classes, tried in this order, and the entropy in bits that makes a window of the class suspicious: what 95% of random
+#: strings of 20 characters of the class reach (hex digits: 99%).
+CLASSES = ((r"^[0-9a-fA-F]+$", 2.8), (r"^[a-z]+$|^[A-Z]+$", 3.38), (r"^[A-Za-z]+$", 3.68), (r"^[a-z0-9_-]+$|^[A-Z0-9_-]+$", 3.54), (r".", 3.78))
 #: Candidates that are no secrets: plain numbers, UUIDs, dates and times, rulers, placeholders, paths of words.
-ALLOWED = (r"^[0-9_=+/-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)example|placeholder|changeme|your[_-]",
-           r"^(.)\1+$", r"^/?([A-Za-z]{1,15}[/_-])+[A-Za-z]{1,15}/?$")
+ALLOWED = (r"^[0-9_=+/-]+$", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(?i)(?:example|placeholder|changeme|your[_-])[^/]*$",
+           r"^(.)\1+$", r"^/?(?:[A-Za-z]{1,15}[/_-])++(?:[A-Za-z]{1,15}/?|(?<=/))$")
 
 _FOUND = "array<struct<start:int,match:string>>"
 _SPANS = "array<struct<a:int,b:int>>"
@@ -105,7 +109,7 @@ def entropy_spans(found: Column) -> Column:
                 .otherwise(F.concat(spans, F.array(x))))
 
     allowed = lambda x: F.lit(False) if not ALLOWED else x["match"].rlike("|".join(f"(?:{p})" for p in ALLOWED))
-    each = F.transform(F.filter(found, lambda x: ~allowed(x)), of_one)
+    each = F.transform(F.filter(found, lambda x: (F.length(x["match"]) >= WINDOW) & ~allowed(x)), of_one)
     return F.aggregate(F.flatten(each), F.array().cast(_SPANS), merge)
 
 
