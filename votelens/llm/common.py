@@ -121,3 +121,17 @@ def map_rows(docs: DataFrame, run, fields: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([row, pc.fill_null(pc.struct_field(row, "text"), "")], names=["row", "text"])
 
     return rows.mapInArrow(lambda batches: run(with_text(batches)), schema)
+
+
+def byte_words(texts: pa.Array, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of the bytes that ``kept`` maps to something other than 0, as mapped: their bytes, offsets and rows."""
+    data, at = utf8(texts)
+    data = kept[data]
+    inside = data > 0
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    first = at[:-1][at[:-1] < at[1:]]
+    opens[first] = inside[first]  # words end where a text ends
+    held = data[inside]
+    offsets = np.r_[np.flatnonzero(opens[inside]), len(held)]
+    return held, offsets, np.searchsorted(at, np.flatnonzero(opens), "right") - 1

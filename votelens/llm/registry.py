@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from votelens.llm import balltree, bpe, decontaminate, lines, pii, ppm, repeats, secrets, simhash, toxicity
+from votelens.llm import balltree, bpe, decontaminate, divergence, lexical, lines, pii, ppm, pstable, repeats, secrets, simhash, toxicity
 from votelens.llm.common import table
 
 #: Vocabulary of the tokenizer.
@@ -18,6 +18,8 @@ SQL: dict[str, str] = {}
 
 
 SQL["op5_ball_tree"] = balltree.SQL
+SQL["op11_source_divergence"] = divergence.SQL
+SQL["op12_lexical_search"] = lexical.SQL
 
 
 def query(fn):
@@ -73,3 +75,18 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op10_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.op11_divergence(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.op12_lexical(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_pstable_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pstable.op13_search(table(spark, sf_dir, "embeddings"))
