@@ -108,6 +108,20 @@ class Hashes:
         return self._keys(slot[:, None, :] + steps).reshape(len(queries), self.tables, -1)
 
 
+def _extent(rows: DataFrame) -> tuple[int, int, float]:
+    """Rows, greatest number of components, greatest norm."""
+    def run(batches):
+        n, dims, norm = 0, 0, 0.0
+        for batch in batches:
+            points = matrix(batch.column("vec"))
+            big = np.abs(points).max(axis=1, keepdims=True, initial=0)  # a norm overflows only where it is too great itself
+            n, dims, norm = n + len(points), max(dims, points.shape[1]), max(norm, (big[:, 0] * np.linalg.norm(points / big, axis=1)).max(initial=0))
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([dims]), pa.array([norm])], names=["n", "dims", "norm"])
+
+    one = rows.select("vec").mapInArrow(run, "n long, dims long, norm double").agg(F.sum("n").alias("n"), F.max("dims").alias("dims"), F.max("norm").alias("norm")).first()
+    return one["n"] or 0, one["dims"] or 1, one["norm"] or 1.0
+
+
 def _best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best rows of each query, an id once: by query, falling score, id."""
     order = np.lexsort((-score, ids, query))
@@ -167,14 +181,20 @@ def _visit(k: int):
 
 
 def _merged(parts: DataFrame, k: int) -> DataFrame:
-    """key, found: the k best of all lists of a query; an id that several tables found is one."""
-    every = F.array_distinct(F.flatten(F.collect_list("found")))
-    byid = F.array_sort(every, lambda a, b: F.when(a["score"] != b["score"], F.when(a["score"] > b["score"], -1).otherwise(1)).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
-    both = parts.groupBy("key").agg(byid.alias("found"))
-    ids = F.transform("found", lambda x: x["id"])
-    # equal ids have equal scores but for ids with several vectors: the first place of an id is its best
-    once = F.filter("found", lambda x, i: F.array_position(ids, x["id"]) == i + 1)
-    return both.select("key", F.slice(once, 1, k).alias("found"))
+    """key, found: the k best of all lists of a query, an id that several tables found once. A list has at most k rows, and a
+    query at most as many lists as it visits cells."""
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("found")
+            sizes, rows = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            score, ids = rows.field("score").to_numpy(), rows.field("id").to_numpy()
+            who = np.repeat(np.arange(batch.num_rows), sizes)
+            order = _best(who, ids, score, k)
+            ends = np.searchsorted(who[order], np.arange(batch.num_rows + 1))
+            best = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(score[order]), pa.array(ids[order])], names=["score", "id"]))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), best], names=["key", "found"])
+
+    return parts.groupBy("key").agg(F.flatten(F.collect_list("found")).alias("found")).mapInArrow(run, f"key long, found {FOUND}")
 
 
 class Index:
@@ -306,12 +326,10 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     few = kept(few, "rows")
     # each vector that is asked for, once, under its least id; a vec_id with several vectors needs keys of its own
     asked = kept(queries.groupBy("vec").agg(F.min("id").alias("own"), F.count("*").alias("copies")).withColumn("key", F.xxhash64("vec", "own")), "queries")
-    one = few.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("dims"), F.max(_norm()).alias("norm")).first()
-    n, dims = one["n"], one["dims"] or 1
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    n, dims, norm = _extent(few)
     if not n:
-        return empty
-    hashes, probes = _fit(few, asked, n, dims, one["norm"], k)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    hashes, probes = _fit(few, asked, n, dims, norm, k)
     index = Index(few, hashes, n)
     cells, out, first = index.rows(few), None, max(1, int(probes * FIRST))
     floor = asked.withColumn("floor", F.lit(float("-inf")))
@@ -342,12 +360,6 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     return result
 
 
-def _norm():
-    """Euclidean norm of vec without overflow where it can be avoided."""
-    big = F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double"))))
-    return big * F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.pow(x.cast("double") / big, 2)))
-
-
 def op13_search(vectors: DataFrame) -> DataFrame:
     rows = rows_of(vectors)
     return nearest(rows, rows.filter(F.col("id") % 20 == 0))
