@@ -1,88 +1,322 @@
-"""Bootstrap statistics as joins: a replicate is a key, not a loop.
+"""Bootstrap statistics from counts: no draw is a row, and no replicate reads the pool again.
 
-Draws are rows (rep, stratum, position) whose index comes from an integer hash, so they are reproducible,
-independent of partitioning and cheap to recompute. They meet the dense-indexed pool in one equi-join with
-uniform keys, collapse to counts per (rep, score) map-side, and reuse the curve operators grouped by rep.
+Draws are integer hashes of (stratum, replicate, draw), so they are reproducible and independent of partitioning. A task takes a block
+of replicates and a chunk of one stratum's draws, counts in numpy how often each place of the pool is hit, and hands on those counts
+by cell (``CELL`` neighbouring places). A cell meets its pool rows once and turns them into packed counts: one row for each distinct
+(label, scores) and block of replicates, whose binary column holds one number per replicate.
+
+Metrics need the curve of every replicate. The score axis is cut into buckets of about ``BUCKET_ROWS`` pool rows by exact prefix sums;
+each bucket adds up its counts, a scan over at most ``BUCKETS`` bucket totals gives every bucket what lies above it, and a second look at
+the bucket yields its share of each replicate's metrics. All arrays are bounded by these constants, whatever the pool's size.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from votelens.functions.ordering import attach, hash_index, prefix_sums
-from votelens.functions.scalars import ppv_from_fpr, with_draw_index
-from votelens.session import cut_lineage
-from votelens.operators.curves import curve, curve_metrics, group_report, k_at_recall, score_groups, score_metrics
-
-CHUNK = 1 << 16
-
-
-def expand(plan: DataFrame, count: str, out: str) -> DataFrame:
-    """Rows 0..count-1 for every plan row, in two steps so that no array grows past CHUNK elements."""
-    keep = [c for c in plan.columns if c != count]
-    chunks = plan.filter(F.col(count) > 0).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / CHUNK))).alias("_chunk"))
-    # an explicit count: chunk rows are tiny, so AQE would otherwise merge them and explode everything in one task
-    n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = chunks.repartition(n, *keep, "_chunk")
-    lo = F.col("_chunk") * CHUNK
-    hi = F.least(lo + CHUNK, F.col(count)) - 1
-    return chunks.select(*keep, F.explode(F.sequence(lo, hi)).alias(out))
-
-
-def _pool(scored: DataFrame, strata: list[str], salt: str) -> DataFrame:
-    return hash_index(scored, strata, "name", salt, "idx", "size")
-
-
-def _reps(plan: DataFrame, reps: int) -> DataFrame:
-    return plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-
-
-def _mix_plan(scored: DataFrame, prevalence: float) -> DataFrame:
-    """Draws per stratum: all positives' worth of positives, negatives to the prevalence split by center mix."""
-    c = scored.groupBy("label", "center").agg(F.count(F.lit(1)).alias("size"))
-    t = c.agg(F.sum(F.when(F.col("label") == 1, F.col("size")).otherwise(0)).alias("_P"),
-              F.sum(F.when(F.col("label") == 0, F.col("size")).otherwise(0)).alias("_N"))
-    neg = c.filter(F.col("label") == 0).crossJoin(F.broadcast(t))  # one row of totals
-    want = F.bround(F.col("_P") * ((1.0 - prevalence) / prevalence), 0)
-    neg = neg.select(F.lit(0).alias("label"), F.col("center").alias("stratum"), "size",
-                     F.bround(want * (F.col("size") / F.col("_N")), 0).cast("long").alias("draws"))
-    pos = t.select(F.lit(1).alias("label"), F.lit("*").alias("stratum"), F.col("_P").alias("size"),
-                   F.col("_P").cast("long").alias("draws"))
-    return neg.unionByName(pos)
+from votelens.functions.scalars import MASK32, ppv_from_fpr
+from votelens.operators.curves import group_report, score_groups, score_metrics
+
+#: Replicates whose counts share a row.
+REP_BLOCK = 128
+#: Places of the pool that one cell holds, and pools up to this size are counted without sorting.
+CELL, DENSE = 1 << 14, 1 << 18
+#: Draws of one replicate that are hashed at once.
+CHUNK = 1 << 20
+#: Pool rows of a bucket of the score axis at least, and buckets at most.
+BUCKET_ROWS, BUCKETS = 1 << 14, 1024
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """32-bit integer mixer on 64-bit lanes."""
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * 73244475) & MASK32
+    return x ^ (x >> 16)
+
+
+def draw_indexes(lanes: tuple[int, int], rep: int, first: int, count: int, size: int, seed: int, mixed: np.ndarray | None = None) -> np.ndarray:
+    """Uniform places in [0, size) of draws first..first+count-1: 53 mixed bits. ``lanes`` are two 32-bit parts of the stratum's digest;
+    ``mixed`` may hold the mixed draw numbers, which all replicates share."""
+    d = np.arange(first, first + count, dtype=np.int64)
+    low = _mix(d & MASK32) if mixed is None else mixed
+    start = np.int64((rep + seed * 7919 + 1) & MASK32)
+    r = _mix(_mix(start) ^ np.int64(lanes[0]))
+    q = _mix(_mix(start ^ np.int64(2654435769)) ^ np.int64(lanes[1]))
+    b = _mix(r ^ low ^ (d >> 32) if first + count > MASK32 else r ^ low)
+    return (b * 2097152 + (_mix(b ^ q) & 2097151)) % size
+
+
+def _cells_of(lanes: tuple[int, int], reps: range, first: int, count: int, size: int, seed: int):
+    """(cell, counts): for each cell that is hit, (replicate, place) pairs of the chunk's draws, counted and packed."""
+    d = np.arange(first, first + count, dtype=np.int64)
+    mixed = _mix(d & MASK32)
+    width = -(-size // CELL)
+    if size <= DENSE:
+        hits = np.stack([np.bincount(draw_indexes(lanes, r, first, count, size, seed, mixed), minlength=size) for r in reps])
+        for c in range(width):
+            part = hits[:, c * CELL:(c + 1) * CELL]
+            if part.any():
+                yield c, b"d" + _packed(part)
+        return
+    order = [np.sort(draw_indexes(lanes, r, first, count, size, seed, mixed)) for r in reps]
+    cuts = np.stack([np.searchsorted(o, np.arange(width + 1) * CELL) for o in order])
+    for c in np.flatnonzero((cuts[:, 1:] > cuts[:, :-1]).any(axis=0)).tolist():
+        sizes = (cuts[:, c + 1] - cuts[:, c]).astype(np.int32)
+        places = np.concatenate([o[a:b] - c * CELL for o, a, b in zip(order, cuts[:, c], cuts[:, c + 1])]).astype(np.uint16)
+        yield c, b"s" + sizes.tobytes() + places.tobytes()
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as bytes if they fit, else as 32-bit numbers."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32).tobytes()
+
+
+def _unpacked(held: bytes, slots: int) -> np.ndarray:
+    return np.frombuffer(held, np.uint8 if len(held) == slots else np.int32).astype(np.int64)
+
+
+def _dense(payload: bytes, reps: int, width: int) -> np.ndarray:
+    """What ``_cells_of`` packed, as counts by (replicate, place)."""
+    if payload[:1] == b"d":
+        return _unpacked(payload[1:], reps * width).reshape(reps, width)
+    sizes = np.frombuffer(payload, np.int32, reps, 1)
+    places = np.frombuffer(payload, np.uint16, -1, 1 + 4 * reps).astype(np.int64)
+    return np.bincount(np.repeat(np.arange(reps), sizes) * width + places, minlength=reps * width).reshape(reps, width)
+
+
+def _hits(plan: DataFrame, reps: int, seed: int) -> DataFrame:
+    """skey, cell, width, rb, hits: for every stratum (skey, digest, size, draws) the packed counts of each cell and block."""
+    spark = plan.sparkSession
+    ints = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long"))
+    work = plan.filter((F.col("draws") > 0) & (F.col("size") > 0)).withColumn("rb", F.explode(ints(F.lit((reps - 1) // REP_BLOCK))))
+    work = work.withColumn("chunk", F.explode(ints(F.floor((F.col("draws") - 1) / CHUNK))))
+    # rows are few and each is much work: an explicit count keeps them apart
+    work = work.select("skey", "digest", "size", "draws", "rb", "chunk").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "skey", "rb", "chunk")
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                lanes = (int(row["digest"][:8], 16), int(row["digest"][8:16], 16))
+                first = row["chunk"] * CHUNK
+                mine = range(row["rb"] * REP_BLOCK, min(reps, (row["rb"] + 1) * REP_BLOCK))
+                for cell, hits in _cells_of(lanes, mine, first, min(CHUNK, row["draws"] - first), row["size"], seed):
+                    yield pa.RecordBatch.from_arrays([pa.array([row["skey"]]), pa.array([cell], pa.int64()), pa.array([min(CELL, row["size"] - cell * CELL)], pa.int64()),
+                                                      pa.array([row["rb"]], pa.int64()), pa.array([hits], pa.binary())], names=["skey", "cell", "width", "rb", "hits"])
+
+    return work.mapInArrow(run, "skey string, cell long, width long, rb long, hits binary")
+
+
+def draw_counts(pool: DataFrame, plan: DataFrame, reps: int, seed: int) -> DataFrame:
+    """Packed counts of every replicate for the distinct rows of a pool.
+
+    ``pool``: skey (the stratum), idx (dense places in it) and the columns to keep. ``plan``: skey, digest (16 hex digits of the
+    stream), size and draws. Result: the kept columns, rb (block of replicates), w (one count per replicate of the block)."""
+    keep = [c for c in pool.columns if c not in ("skey", "idx")]
+    schema = ", ".join([f"{c} {pool.schema[c].dataType.simpleString()}" for c in keep] + ["rb long", "w binary"])
+
+    def run(rows: pa.Table, hits: pa.Table) -> pa.Table:
+        held: dict[int, np.ndarray] = {}
+        for i in range(len(hits)):
+            rb, width = hits.column("rb")[i].as_py(), hits.column("width")[i].as_py()
+            counts = _dense(hits.column("hits")[i].as_py(), min(REP_BLOCK, reps - rb * REP_BLOCK), width)
+            held[rb] = held[rb] + counts if rb in held else counts
+        kept = rows.select(keep)
+        groups = kept.append_column("_n", pa.array(np.arange(len(rows)))).group_by(keep).aggregate([("_n", "list")]) if len(rows) else kept
+        out = []
+        if len(rows):
+            places = rows.column("idx").to_numpy() % CELL
+            lists = groups.column("_n_list").combine_chunks()
+            order, starts = places[lists.flatten().to_numpy()], lists.offsets.to_numpy()[:-1]
+            for rb, counts in held.items():
+                w = np.add.reduceat(counts[:, order], starts, axis=1).T
+                some = np.flatnonzero(w.any(axis=1))
+                part = groups.select(keep).take(pa.array(some))
+                part = part.append_column("rb", pa.array(np.full(len(some), rb))).append_column("w", pa.array([_packed(w[i]) for i in some.tolist()], pa.binary()))
+                out.append(part)
+        blank = pa.table({**{c: rows.column(c).slice(0, 0) for c in keep}, "rb": pa.array([], pa.int64()), "w": pa.array([], pa.binary())})
+        return pa.concat_tables(out).combine_chunks() if out else blank
+
+    cells = pool.withColumn("cell", F.floor(F.col("idx") / CELL))
+    return cells.groupBy("skey", "cell").cogroup(_hits(plan, reps, seed).groupBy("skey", "cell")).applyInArrow(run, schema)
+
+
+def _slots(rb: int, reps: int) -> int:
+    return min(REP_BLOCK, reps - rb * REP_BLOCK)
+
+
+def _matrix(rows: pa.Table, slots: int) -> np.ndarray:
+    """(row, replicate) counts: what was drawn, or the same ``base`` in every replicate where there is no w."""
+    out = np.empty((len(rows), slots), np.int64)
+    base = rows.column("base").to_numpy() if "base" in rows.column_names else np.zeros(len(rows), np.int64)
+    for i, w in enumerate(rows.column("w").to_pylist()):
+        out[i] = base[i] if w is None else _unpacked(w, slots)
+    return out
+
+
+def k_of(total: np.ndarray, target: float) -> np.ndarray:
+    """Smallest k with k/total >= target, decided by the division; 0 without positives."""
+    safe = np.maximum(total, 1)
+    k = np.maximum(np.ceil(target * safe) - 1, 1)
+    for _ in range(2):
+        k = np.where(k / safe >= target, k, k + 1)
+    return np.where(total > 0, k, 0).astype(np.int64)
+
+
+def replicate_metrics(counts: DataFrame, reps: int, by: list[str] = (), target: float = 0.9, score: str = "score", bucket: str = "bucket") -> DataFrame:
+    """by, rep and the curve's metrics of each replicate, from packed counts with columns label, ``score`` and ``bucket``.
+
+    ``bucket`` falls as the score rises. Rows without w count ``base`` in all replicates."""
+    by = list(by)
+    cols = [*by, "rb", F.col(bucket).alias("bucket"), "label", F.col(score).cast("double").alias("score"), "w", *(["base"] if "base" in counts.columns else [])]
+    counts = counts.select(*cols)
+    keys = [*by, "rb", "bucket"]
+    kinds = {c: counts.schema[c].dataType.simpleString() for c in keys}
+    head = ", ".join(f"{c} {kinds[c]}" for c in keys)
+
+    def key_of(rows: pa.Table, n: int = 1) -> dict:
+        return {c: pa.array([rows.column(c)[0].as_py()] * n, rows.schema.field(c).type) for c in keys}
+
+    def totals(rows: pa.Table) -> pa.Table:
+        slots = _slots(rows.column("rb")[0].as_py(), reps)
+        w, label = _matrix(rows, slots), rows.column("label").to_numpy()
+        return pa.table(key_of(rows) | {"p": pa.array([w[label == 1].sum(axis=0).tobytes()], pa.binary()), "n": pa.array([w[label == 0].sum(axis=0).tobytes()], pa.binary())})
+
+    def above(rows: pa.Table) -> pa.Table:
+        """Of each bucket what lies above it, and the replicate's totals; a row for each of at most BUCKETS buckets."""
+        rows = rows.sort_by("bucket")
+        out = {c: rows.column(c) for c in keys}
+        for c in ("p", "n"):
+            held = np.stack([np.frombuffer(x, np.int64) for x in rows.column(c).to_pylist()])
+            before = np.cumsum(held, axis=0) - held
+            out["above_" + c] = pa.array([x.tobytes() for x in before], pa.binary())
+            out["all_" + c] = pa.array([held.sum(axis=0).tobytes()] * len(rows), pa.binary())
+        return pa.table(out)
+
+    fields = "rep long, n_pos long, n_neg long, k long, thr double, fp long, fp_incl long, tp_incl long, best double, u double, ap double"
+
+    def curve(rows: pa.Table, around: pa.Table) -> pa.Table:
+        rb = rows.column("rb")[0].as_py()
+        slots = _slots(rb, reps)
+        look = {c: np.frombuffer(around.column(c)[0].as_py(), np.int64) for c in ("above_p", "above_n", "all_p", "all_n")}
+        axis, at = np.unique(-rows.column("score").to_numpy(), return_inverse=True)
+        w, label = _matrix(rows, slots), rows.column("label").to_numpy()
+        pos, neg = np.zeros((len(axis), slots), np.int64), np.zeros((len(axis), slots), np.int64)
+        for c, v in ((pos, 1), (neg, 0)):
+            order = np.flatnonzero(label == v)
+            order = order[np.argsort(at[order], kind="stable")]
+            if len(order):
+                starts = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
+                c[at[order][starts]] = np.add.reduceat(w[order], starts, axis=0)
+        cp, cn = np.cumsum(pos, axis=0) + look["above_p"], np.cumsum(neg, axis=0) + look["above_n"]
+        k = k_of(look["all_p"], target)
+        reached = (cp >= k) & (k > 0)
+        here = reached[-1] & (look["above_p"] < k)
+        first, r = reached.argmax(axis=0), np.arange(slots)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            prec = np.where(cp + cn > 0, cp / (cp + cn), 0.0)
+        best = np.where(reached, prec, -1.0).max(axis=0)
+        u = (pos * (look["all_n"] - cn + neg / 2.0)).sum(axis=0)
+        pick = lambda x: pa.array(x[first, r], mask=~here)
+        return pa.table({c: v for c, v in key_of(rows, slots).items() if c in by} | {
+            "rep": pa.array(rb * REP_BLOCK + r), "n_pos": pa.array(look["all_p"]), "n_neg": pa.array(look["all_n"]), "k": pa.array(k),
+            "thr": pa.array(-axis[first], mask=~here), "fp": pick(cn - neg), "fp_incl": pick(cn), "tp_incl": pick(cp),
+            "best": pa.array(best, mask=best < 0), "u": pa.array(u), "ap": pa.array((pos * prec).sum(axis=0))})
+
+    bys = "".join(f"{c} {kinds[c]}, " for c in by)
+    sums = counts.groupBy(*keys).applyInArrow(totals, f"{head}, p binary, n binary")
+    around = sums.groupBy(*by, "rb").applyInArrow(above, f"{head}, above_p binary, all_p binary, above_n binary, all_n binary")
+    parts = counts.groupBy(*keys).cogroup(around.groupBy(*keys)).applyInArrow(curve, bys + fields)
+    a = parts.groupBy(*by, "rep").agg(*[F.max(c).alias(c) for c in ("n_pos", "n_neg", "k", "thr", "fp", "fp_incl", "tp_incl")], F.max("best").alias("_best"),
+                                      F.sum("u").alias("_u"), F.sum("ap").alias("_ap"))
+    P, N = F.col("n_pos"), F.col("n_neg")
+    both = (P > 0) & (N > 0)
+    return a.select(*by, "rep", "n_pos", "n_neg", "k", "thr", "fp",
+                    F.when(P > 0, F.col("k") / (F.col("k") + F.col("fp"))).alias("ppv"), F.when(P > 0, F.col("fp_incl") / F.greatest(N, F.lit(1))).alias("fpr_incl"),
+                    F.when(both, F.col("fp") / N).alias("fpr_strict"), F.when(P > 0, F.col("_best")).alias("ppv_oracle"),
+                    F.when(both, F.col("_u") / (P.cast("double") * N)).alias("auroc"), F.when(both, F.col("_ap") / P).alias("auprc"))
+
+
+def replicate_ppv(counts: DataFrame, reps: int, at: dict[str, Column]) -> DataFrame:
+    """rep and for each name the precision among drawn rows that meet its condition (0 where none is drawn)."""
+    names = list(at)
+    flagged = counts.select("label", "rb", "w", *[c.alias(n) for n, c in at.items()])
+
+    def run(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            blocks, label = batch.column("rb").to_numpy(), batch.column("label").to_numpy()
+            for rb in np.unique(blocks).tolist():
+                mine = np.flatnonzero(blocks == rb)
+                w = _matrix(pa.Table.from_batches([batch.take(pa.array(mine))]), slots := _slots(rb, reps))
+                sums = held.setdefault(rb, np.zeros((2 * len(names), slots), np.int64))
+                for i, n in enumerate(names):
+                    hit = batch.column(n).to_numpy(zero_copy_only=False)[mine].astype(bool)
+                    sums[2 * i] += w[hit & (label[mine] == 1)].sum(axis=0)
+                    sums[2 * i + 1] += w[hit].sum(axis=0)
+        for rb, sums in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(rb * REP_BLOCK + np.arange(sums.shape[1])), *[pa.array(s) for s in sums]], names=["rep", *[f"{n}_{x}" for n in names for x in ("tp", "all")]])
+
+    fields = ", ".join(f"{n}_tp long, {n}_all long" for n in names)
+    sums = flagged.mapInArrow(run, f"rep long, {fields}").groupBy("rep").agg(*[F.sum(f"{n}_{x}").alias(f"{n}_{x}") for n in names for x in ("tp", "all")])
+    return sums.select("rep", *[(F.col(f"{n}_tp") / F.greatest(F.col(f"{n}_all"), F.lit(1))).alias(n) for n in names])
+
+
+def bucketed(scored: DataFrame, by: list[str], score: str, out: str = "bucket") -> DataFrame:
+    """Adds the bucket of each row's score: equal scores share one, and every bucket but those of hot scores holds about as many rows."""
+    c = prefix_sums(scored.groupBy(*by, F.col(score).alias("_score")).agg(F.count(F.lit(1)).alias("n")), by, "_score", ["n"])
+    wide = F.greatest(F.lit(BUCKET_ROWS), F.ceil(F.col("tot_n") / BUCKETS))
+    axis = c.select(*by, "_score", F.floor((F.col("cum_n") - F.col("n")) / wide).alias(out))
+    return attach(scored, axis.withColumnRenamed("_score", score), [*by, score])
+
+
+def _stream(*parts) -> Column:
+    """16 hex digits that tell a stratum's stream."""
+    d = F.md5(F.concat_ws("|", *parts))
+    return F.concat(F.substring(d, 1, 8), F.substring(d, 9, 8))
 
 
 def _stratum() -> Column:
     return F.when(F.col("label") == 1, F.lit("*")).otherwise(F.col("center"))
 
 
-def stratified_draws(scored: DataFrame, reps: int, seed: int, prevalence: float = 0.01,
-                     values: list[str] = ("score",)) -> DataFrame:
-    """(rep, label, *values, w): drawn rows with multiplicity, positives pooled, negatives stratified by center."""
-    plan = _reps(_mix_plan(scored, prevalence), reps)
-    d = with_draw_index(expand(plan, "draws", "draw"), seed, F.col("rep"), "draw", "size", stratum=F.concat_ws("|", "label", "stratum"))
-    d = d.select("rep", "label", "stratum", "idx")
-    pool = _pool(scored.select("name", "label", _stratum().alias("stratum"), *values), ["label", "stratum"], f"pool{seed}")
-    pool = pool.select("label", "stratum", "idx", *values)
-    w = attach(d, pool, ["label", "stratum", "idx"]).groupBy("rep", "label", *values).agg(F.count(F.lit(1)).alias("w"))
-    return cut_lineage(w)  # every metric reads the drawn table more than once
-
-
-def iid_draws(scored: DataFrame, reps: int, seed: int, values: list[str] = ("score",), by: list[str] = ()) -> DataFrame:
-    """Plain bootstrap of whole rows: (by, rep, label, *values, w)."""
-    by = list(by)
-    pool = _pool(scored.select(*by, "name", "label", *values), by, f"iid{seed}")
-    plan = _reps(scored.groupBy(*by).agg(F.count(F.lit(1)).alias("size")).withColumn("draws", F.col("size")), reps)
-    d = with_draw_index(expand(plan, "draws", "draw"), seed, F.col("rep"), "draw", "size").select(*by, "rep", "idx")
-    j = attach(d, pool.select(*by, "idx", "label", *values), [*by, "idx"])
-    return cut_lineage(j.groupBy(*by, "rep", "label", *values).agg(F.count(F.lit(1)).alias("w")))
-
-
-def replicate_metrics(draws: DataFrame, by: list[str] = ("rep",), target: float = 0.9, score: str = "score") -> DataFrame:
+def _mix_plan(scored: DataFrame, prevalence: float, by: list[str]) -> DataFrame:
+    """by, label, stratum, size, draws: all positives' worth of positives, negatives to the prevalence split by center mix."""
+    c = scored.groupBy(*by, "label", "center").agg(F.count(F.lit(1)).alias("size"))
+    sums = [F.sum(F.when(F.col("label") == v, F.col("size")).otherwise(0)).alias(n) for v, n in ((1, "_P"), (0, "_N"))]
+    t = c.groupBy(*by).agg(*sums) if by else c.agg(*sums)
+    neg = c.filter(F.col("label") == 0)
+    neg = attach(neg, t, by) if by else neg.crossJoin(F.broadcast(t))  # one row of totals
+    want = F.bround(F.col("_P") * ((1.0 - prevalence) / prevalence), 0)
+    neg = neg.select(*by, F.lit(0).alias("label"), F.col("center").alias("stratum"), "size", F.bround(want * (F.col("size") / F.col("_N")), 0).cast("long").alias("draws"))
+    return neg.unionByName(t.select(*by, F.lit(1).alias("label"), F.lit("*").alias("stratum"), F.col("_P").alias("size"), F.col("_P").cast("long").alias("draws")))
+
+
+def stratified_counts(scored: DataFrame, reps: int, seed: int, prevalence: float = 0.01, values: list[str] = ("score",), by: list[str] = ()) -> DataFrame:
+    """Counts of draws at a prevalence: positives pooled, negatives stratified by center. Buckets: bucket, bucket_<value> from the second on."""
+    values, by = list(values), list(by)
+    rows = scored.select(*by, "name", F.col("label").cast("int").alias("label"), "center", *[F.col(v).cast("double").alias(v) for v in values])
+    plan = _mix_plan(rows, prevalence, by)
+    stream = _stream(*by, "stratum", "label") if by else _stream("label", "stratum")
+    skey = F.to_json(F.struct(*by, "label", "stratum"))
+    pool = hash_index(rows.withColumn("stratum", _stratum()), [*by, "label", "stratum"], "name", f"pool{seed}")
+    for i, v in enumerate(values):
+        pool = bucketed(pool, by, v, f"bucket_{v}" if i else "bucket")
+    pool = pool.withColumn("skey", skey).drop("name", "center", "stratum")
+    return draw_counts(pool, plan.select(skey.alias("skey"), stream.alias("digest"), "size", "draws"), reps, seed)
+
+
+def iid_counts(scored: DataFrame, reps: int, seed: int, by: list[str] = ()) -> DataFrame:
+    """Counts of a plain bootstrap of whole rows."""
     by = list(by)
-    axis = [b for b in by if b not in ("rep", "model")]
-    return curve_metrics(curve(score_groups(draws, by, score, weight="w"), by, axis_by=axis), by, target)
+    rows = scored.select(*by, "name", F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"))
+    skey = F.to_json(F.struct(*by)) if by else F.lit("all")
+    pool = bucketed(hash_index(rows, by, "name", f"iid{seed}"), by, "score").withColumn("skey", skey).drop("name")
+    plan = (rows.groupBy(*by) if by else rows.groupBy()).agg(F.count(F.lit(1)).alias("size"))
+    return draw_counts(pool, plan.select(skey.alias("skey"), F.lit("0" * 16).alias("digest"), "size", F.col("size").alias("draws")), reps, seed)
 
 
 def summary(col: str, prefix: str) -> list[Column]:
@@ -94,14 +328,12 @@ def summary(col: str, prefix: str) -> list[Column]:
 def bootstrap(scored: DataFrame, reps: int = 1000, seed: int = 12345, target: float = 0.9, prevalence: float = 0.01,
               fixed_thr: float | None = None) -> DataFrame:
     """Precision at recall under prevalence resampling: curve, oracle, optional fixed threshold, median FPR."""
-    draws = stratified_draws(scored, reps, seed, prevalence)
-    m = replicate_metrics(draws, target=target)
+    counts = stratified_counts(scored, reps, seed, prevalence)
+    m = replicate_metrics(counts, reps, target=target)
     if fixed_thr is None:
         m = m.withColumn("fixed", F.lit(None).cast("double"))
     else:
-        hit = F.col("score") >= fixed_thr
-        f = draws.filter(hit).groupBy("rep").agg((F.sum(F.when(F.col("label") == 1, F.col("w")).otherwise(0)) / F.sum("w")).alias("fixed"))
-        m = m.join(f, "rep", "left").withColumn("fixed", F.coalesce("fixed", F.lit(0.0)))
+        m = m.join(replicate_ppv(counts, reps, {"fixed": F.col("score") >= fixed_thr}), "rep", "left").withColumn("fixed", F.coalesce("fixed", F.lit(0.0)))
     return m.agg(F.count(F.lit(1)).alias("reps"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
                  F.percentile("fpr_incl", 0.5).alias("fpr_median"), *summary("ppv", "curve"),
                  *summary("ppv_oracle", "oracle"), *summary("fixed", "fixed"))
@@ -110,23 +342,18 @@ def bootstrap(scored: DataFrame, reps: int = 1000, seed: int = 12345, target: fl
 def challenge_replicates(scored: DataFrame, reps: int, seed: int, target: float = 0.9, ratio: int = 100) -> DataFrame:
     """Per replicate precision with all negatives kept and positives drawn to negatives/ratio.
 
-    Negatives never move, so each positive score carries its count of negatives above; a replicate needs only
-    its few drawn positives."""
-    c = curve(score_groups(scored, []), [])
-    above = c.filter(F.col("pos") > 0).select("score", (F.col("cum_neg") - F.col("neg")).alias("neg_above"))
-    pos = scored.filter(F.col("label") == 1).select("name", F.col("score").cast("double").alias("score"))
-    pool = attach(_pool(pos, [], f"gc{seed}").select("idx", "score"), above, ["score"])
-    sizes = scored.agg(F.count(F.when(F.col("label") == 1, 1)).alias("size"),
-                       F.count(F.when(F.col("label") == 0, 1)).alias("_n"))
-    plan = sizes.select("size", F.greatest(F.lit(1), F.bround(F.col("_n") / float(ratio), 0)).cast("long").alias("draws"))
-    plan = _reps(plan.filter("size > 0").withColumn("n_draw", F.col("draws")), reps)
-    d = with_draw_index(expand(plan, "draws", "draw"), seed, F.col("rep"), "draw", "size").select("rep", "n_draw", "idx")
-    g = attach(d, pool, ["idx"]).groupBy("rep", "score", "neg_above", "n_draw").agg(F.count(F.lit(1)).alias("pos"))
-    p = prefix_sums(g, ["rep"], "score", ["pos"], axis_by=[])
-    k = k_at_recall(F.col("n_draw"), target)
-    fp = F.min(F.when(F.col("cum_pos") >= k, F.col("neg_above")))
-    return p.groupBy("rep").agg(F.max("n_draw").alias("n_draw"), F.max(k).alias("k"), fp.alias("fp")).withColumn(
-        "ppv", F.col("k") / (F.col("k") + F.col("fp")))
+    Negatives never move: each distinct score of theirs is one row that counts the same in every replicate."""
+    rows = bucketed(scored.select("name", F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score")), [], "score")
+    sizes = scored.agg(F.count(F.when(F.col("label") == 1, 1)).alias("size"), F.count(F.when(F.col("label") == 0, 1)).alias("_n"))
+    plan = sizes.select(F.lit("all").alias("skey"), F.lit("0" * 16).alias("digest"), "size",
+                        F.greatest(F.lit(1), F.bround(F.col("_n") / float(ratio), 0)).cast("long").alias("draws"))
+    pool = hash_index(rows.filter(F.col("label") == 1), [], "name", f"gc{seed}").withColumn("skey", F.lit("all")).drop("name")
+    drawn = draw_counts(pool, plan, reps, seed).withColumn("base", F.lit(0).cast("long"))
+    still = rows.filter(F.col("label") == 0).groupBy("label", "score", "bucket").agg(F.count(F.lit(1)).alias("base"))
+    still = still.select("label", "score", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((reps - 1) // REP_BLOCK).cast("long"))).alias("rb"),
+                         F.lit(None).cast("binary").alias("w"), "base")
+    m = replicate_metrics(drawn.unionByName(still), reps, target=target).filter(F.col("n_pos") > 0)
+    return m.select("rep", F.col("n_pos").alias("n_draw"), "k", "fp", "ppv")
 
 
 def bootstrap_challenge(scored: DataFrame, reps: int = 1000, seed: int = 12345, target: float = 0.9,
@@ -143,20 +370,16 @@ METRIC_COLUMN = {"curve": "ppv", "auroc": "auroc", "auprc": "auprc"}
 
 
 def paired_replicates(scored: DataFrame, a: str, b: str, reps: int, seed: int, mode: str, target: float = 0.9,
-                      prevalence: float = 0.01, thr_a: float | None = None, thr_b: float | None = None,
-                      by: list[str] = ()) -> DataFrame:
+                      prevalence: float = 0.01, thr_a: float | None = None, thr_b: float | None = None) -> DataFrame:
     """metric(a) - metric(b) per replicate on shared draws."""
-    draws = stratified_draws(scored, reps, seed, prevalence, [a, b])
+    counts = stratified_counts(scored, reps, seed, prevalence, [a, b])
     if mode == "fixed":
-        ppv = lambda c, t: F.sum(F.when((F.col(c) >= t) & (F.col("label") == 1), F.col("w")).otherwise(0)) / F.greatest(
-            F.sum(F.when(F.col(c) >= t, F.col("w")).otherwise(0)), F.lit(1))
-        return draws.groupBy("rep").agg((ppv(a, thr_a) - ppv(b, thr_b)).alias("delta"))
-    both = F.array(F.struct(F.lit("a").alias("model"), F.col(a).alias("score")),
-                   F.struct(F.lit("b").alias("model"), F.col(b).alias("score")))
-    long = draws.select("rep", "label", "w", F.explode(both).alias("_m")).select("rep", "label", "w", "_m.*")
-    m = replicate_metrics(long, ["rep", "model"], target).select("rep", "model", F.col(METRIC_COLUMN[mode]).alias("v"))
-    pick = lambda x: F.max(F.when(F.col("model") == x, F.col("v")))
-    return m.groupBy("rep").agg((pick("a") - pick("b")).alias("delta"))
+        m = replicate_ppv(counts, reps, {"_a": F.col(a) >= thr_a, "_b": F.col(b) >= thr_b})
+        return m.select("rep", (F.col("_a") - F.col("_b")).alias("delta"))
+    v = METRIC_COLUMN[mode]
+    ma = replicate_metrics(counts, reps, target=target, score=a).select("rep", F.col(v).alias("_a"))
+    mb = replicate_metrics(counts, reps, target=target, score=b, bucket=f"bucket_{b}").select(F.col("rep").alias("_rep"), F.col(v).alias("_b"))
+    return ma.join(mb, F.col("rep") == F.col("_rep")).select("rep", (F.col("_a") - F.col("_b")).alias("delta"))
 
 
 def paired_bootstrap(scored: DataFrame, a: str, b: str, reps: int = 1000, seed: int = 12345, mode: str = "curve",
@@ -177,7 +400,7 @@ def gate(paired: DataFrame) -> DataFrame:
 def mde(scored: DataFrame, metric: str = "curve", reps: int = 1000, seed: int = 12345, target: float = 0.9,
         prevalence: float = 0.01) -> DataFrame:
     """Noise floor: population SD of the metric over replicates, minimum detectable effect = 2 SD."""
-    m = replicate_metrics(stratified_draws(scored, reps, seed, prevalence), target=target)
+    m = replicate_metrics(stratified_counts(scored, reps, seed, prevalence), reps, target=target)
     v = F.col(METRIC_COLUMN[metric])
     return m.agg(F.count(v).alias("reps"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("sd"),
                  (2.0 * F.stddev_pop(v)).alias("mde"))
@@ -192,14 +415,14 @@ def seed_summary(scored: DataFrame, seed_col: str = "seed", metric: str = "auroc
 def auroc_ci(scored: DataFrame, reps: int = 2000, seed: int = 0, by: list[str] = ()) -> DataFrame:
     """Plain bootstrap AUROC: mean and 95 % interval; single-class replicates are NULL and drop out."""
     by = list(by)
-    m = replicate_metrics(iid_draws(scored, reps, seed, by=by), [*by, "rep"])
+    m = replicate_metrics(iid_counts(scored, reps, seed, by), reps, by)
     return m.groupBy(*by).agg(F.count("auroc").alias("reps"), (F.sum("auroc") / F.count("auroc")).alias("auroc_mean"),
                               F.percentile("auroc", 0.025).alias("ci_lo"), F.percentile("auroc", 0.975).alias("ci_hi"))
 
 
 def boot_ppv(scored: DataFrame, reps: int = 1000, seed: int = 0, target: float = 0.9) -> DataFrame:
     """Plain bootstrap of the precision implied by the strict FPR; replicates without both classes drop out."""
-    m = replicate_metrics(iid_draws(scored, reps, seed), target=target)
+    m = replicate_metrics(iid_counts(scored, reps, seed), reps, target=target)
     m = m.withColumn("v", ppv_from_fpr(F.col("fpr_strict"), target))
     return m.agg(F.count("v").alias("reps"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.025).alias("lo"),
                  F.percentile("v", 0.975).alias("hi"))
@@ -233,20 +456,5 @@ def full_report(scored: DataFrame, dedup: str | None = "orig", reps: int = 1000,
 
 def grouped_bootstrap(scored: DataFrame, group: str, reps: int, seed: int, target: float, prevalence: float) -> DataFrame:
     """Bootstrap medians of several groups in one plan: the group is one more key of draws and pools."""
-    c = scored.groupBy(group, "label", "center").agg(F.count(F.lit(1)).alias("size"))
-    t = c.groupBy(group).agg(F.sum(F.when(F.col("label") == 1, F.col("size")).otherwise(0)).alias("_P"),
-                             F.sum(F.when(F.col("label") == 0, F.col("size")).otherwise(0)).alias("_N"))
-    want = F.bround(F.col("_P") * ((1.0 - prevalence) / prevalence), 0)
-    neg = attach(c.filter(F.col("label") == 0), t, [group]).select(
-        group, F.lit(0).alias("label"), F.col("center").alias("stratum"), "size",
-        F.bround(want * (F.col("size") / F.col("_N")), 0).cast("long").alias("draws"))
-    pos = t.select(group, F.lit(1).alias("label"), F.lit("*").alias("stratum"), F.col("_P").alias("size"),
-                   F.col("_P").cast("long").alias("draws"))
-    d = expand(_reps(neg.unionByName(pos), reps), "draws", "draw")
-    d = with_draw_index(d, seed, F.col("rep"), "draw", "size", stratum=F.concat_ws("|", group, "stratum", "label")).select(group, "rep", "label", "stratum", "idx")
-    pool = _pool(scored.select(group, "name", "label", _stratum().alias("stratum"), "score"),
-                 [group, "label", "stratum"], f"pool{seed}").select(group, "label", "stratum", "idx", "score")
-    w = cut_lineage(attach(d, pool, [group, "label", "stratum", "idx"]).groupBy(group, "rep", "label", "score").agg(
-        F.count(F.lit(1)).alias("w")))
-    m = replicate_metrics(w, [group, "rep"], target)
+    m = replicate_metrics(stratified_counts(scored, reps, seed, prevalence, by=[group]), reps, [group], target)
     return m.groupBy(group).agg(*summary("ppv", "boot"))
