@@ -29,9 +29,10 @@ def test_ridge_mapping(spark):
     x = rng.normal(size=(80, 2))
     t = x @ [1.0, -2.0] + .5 + rng.normal(size=80) * .1
     d = spark.createDataFrame([(v.tolist(), float(k)) for v, k in zip(x, t)], "x array<double>, t double").select(array_to_vector("x").alias("features"), "t")
-    w = M.ridge(d, 10.0, "t").coefficients.toArray()
+    w, b = M.ridge(d, 10.0, "t")
     xc, tc = x - x.mean(0), t - t.mean()
-    assert w == pytest.approx(np.linalg.solve(xc.T @ xc + 10 * np.eye(2), xc.T @ tc), abs=1e-6)
+    want = np.linalg.solve(xc.T @ xc + 10 * np.eye(2), xc.T @ tc)
+    assert w == pytest.approx(want, abs=1e-6) and b == pytest.approx(t.mean() - x.mean(0) @ want, abs=1e-6)
 
 
 def test_debias_hides_center(spark):

@@ -12,8 +12,11 @@ the bucket yields its share of each replicate's metrics. All arrays are bounded
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ from votelens.functions.ordering import attach, hash_index, prefix_sums
 from votelens.functions.scalars import MASK32, ppv_from_fpr
 from votelens.operators.curves import group_report, score_groups, score_metrics
 
+# functions that run in Python workers travel with their code and constants, so executors need no copy of this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Replicates whose counts share a row.
 REP_BLOCK = 128
 #: Places of the pool that one cell holds, and pools up to this size are counted without sorting.
@@ -75,6 +81,15 @@ def _packed(counts: np.ndarray) -> bytes:
     return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32).tobytes()
 
 
+def _packed_rows(counts: np.ndarray) -> pa.Array:
+    """One binary value for each row of counts, see :func:`_packed`."""
+    big = counts.max(axis=1, initial=0) > 255
+    if big.any():
+        return pa.array([_packed(row) for row in counts], pa.binary())
+    offsets = np.arange(len(counts) + 1, dtype=np.int32) * counts.shape[1]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(counts, np.uint8))])
+
+
 def _unpacked(held: bytes, slots: int) -> np.ndarray:
     return np.frombuffer(held, np.uint8 if len(held) == slots else np.int32).astype(np.int64)
 
@@ -122,7 +137,7 @@ def draw_counts(pool: DataFrame, plan: DataFrame, reps: int, seed: int) -> DataF
         held: dict[int, np.ndarray] = {}
         for i in range(len(hits)):
             rb, width = hits.column("rb")[i].as_py(), hits.column("width")[i].as_py()
-            counts = _dense(hits.column("hits")[i].as_py(), min(REP_BLOCK, reps - rb * REP_BLOCK), width)
+            counts = _dense(hits.column("hits")[i].as_py(), _slots(rb, reps), width)
             held[rb] = held[rb] + counts if rb in held else counts
         kept = rows.select(keep)
         groups = kept.append_column("_n", pa.array(np.arange(len(rows)))).group_by(keep).aggregate([("_n", "list")]) if len(rows) else kept
@@ -135,7 +150,7 @@ def draw_counts(pool: DataFrame, plan: DataFrame, reps: int, seed: int) -> DataF
                 w = np.add.reduceat(counts[:, order], starts, axis=1).T
                 some = np.flatnonzero(w.any(axis=1))
                 part = groups.select(keep).take(pa.array(some))
-                part = part.append_column("rb", pa.array(np.full(len(some), rb))).append_column("w", pa.array([_packed(w[i]) for i in some.tolist()], pa.binary()))
+                part = part.append_column("rb", pa.array(np.full(len(some), rb))).append_column("w", _packed_rows(w[some]))
                 out.append(part)
         blank = pa.table({**{c: rows.column(c).slice(0, 0) for c in keep}, "rb": pa.array([], pa.int64()), "w": pa.array([], pa.binary())})
         return pa.concat_tables(out).combine_chunks() if out else blank
@@ -150,10 +165,13 @@ def _slots(rb: int, reps: int) -> int:
 
 def _matrix(rows: pa.Table, slots: int) -> np.ndarray:
     """(row, replicate) counts: what was drawn, or the same ``base`` in every replicate where there is no w."""
+    w = rows.column("w").combine_chunks()
+    if not w.null_count and (np.diff(offsets := np.frombuffer(w.buffers()[1], np.int32)[w.offset:w.offset + len(w) + 1]) == slots).all():
+        return np.frombuffer(w.buffers()[2], np.uint8, slots * len(w), int(offsets[0])).reshape(len(w), slots) if len(w) else np.zeros((0, slots), np.int64)
     out = np.empty((len(rows), slots), np.int64)
     base = rows.column("base").to_numpy() if "base" in rows.column_names else np.zeros(len(rows), np.int64)
-    for i, w in enumerate(rows.column("w").to_pylist()):
-        out[i] = base[i] if w is None else _unpacked(w, slots)
+    for i, x in enumerate(w.to_pylist()):
+        out[i] = base[i] if x is None else _unpacked(x, slots)
     return out
 
 
@@ -183,7 +201,7 @@ def replicate_metrics(counts: DataFrame, reps: int, by: list[str] = (), target:
     def totals(rows: pa.Table) -> pa.Table:
         slots = _slots(rows.column("rb")[0].as_py(), reps)
         w, label = _matrix(rows, slots), rows.column("label").to_numpy()
-        return pa.table(key_of(rows) | {"p": pa.array([w[label == 1].sum(axis=0).tobytes()], pa.binary()), "n": pa.array([w[label == 0].sum(axis=0).tobytes()], pa.binary())})
+        return pa.table(key_of(rows) | {"p": pa.array([w[label == 1].sum(axis=0, dtype=np.int64).tobytes()], pa.binary()), "n": pa.array([w[label == 0].sum(axis=0, dtype=np.int64).tobytes()], pa.binary())})
 
     def above(rows: pa.Table) -> pa.Table:
         """Of each bucket what lies above it, and the replicate's totals; a row for each of at most BUCKETS buckets."""
@@ -210,7 +228,7 @@ def replicate_metrics(counts: DataFrame, reps: int, by: list[str] = (), target:
             order = order[np.argsort(at[order], kind="stable")]
             if len(order):
                 starts = np.flatnonzero(np.r_[True, at[order][1:] != at[order][:-1]])
-                c[at[order][starts]] = np.add.reduceat(w[order], starts, axis=0)
+                c[at[order][starts]] = np.add.reduceat(w[order], starts, axis=0, dtype=np.int64)
         cp, cn = np.cumsum(pos, axis=0) + look["above_p"], np.cumsum(neg, axis=0) + look["above_n"]
         k = k_of(look["all_p"], target)
         reached = (cp >= k) & (k > 0)
@@ -255,8 +273,8 @@ def replicate_ppv(counts: DataFrame, reps: int, at: dict[str, Column]) -> DataFr
                 sums = held.setdefault(rb, np.zeros((2 * len(names), slots), np.int64))
                 for i, n in enumerate(names):
                     hit = batch.column(n).to_numpy(zero_copy_only=False)[mine].astype(bool)
-                    sums[2 * i] += w[hit & (label[mine] == 1)].sum(axis=0)
-                    sums[2 * i + 1] += w[hit].sum(axis=0)
+                    sums[2 * i] += w[hit & (label[mine] == 1)].sum(axis=0, dtype=np.int64)
+                    sums[2 * i + 1] += w[hit].sum(axis=0, dtype=np.int64)
         for rb, sums in held.items():
             yield pa.RecordBatch.from_arrays([pa.array(rb * REP_BLOCK + np.arange(sums.shape[1])), *[pa.array(s) for s in sums]], names=["rep", *[f"{n}_{x}" for n in names for x in ("tp", "all")]])
 
