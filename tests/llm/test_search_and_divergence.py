@@ -58,6 +58,8 @@ def test_divergence(spark, rows_of, in_order, odd, monkeypatch, bits, few, block
     """Narrow digests make terms collide; few: no filter is sent to the tasks; small blocks and cells cut the pairs."""
     if few:
         monkeypatch.setattr(divergence, "FILTER_ROWS", few)
+        monkeypatch.setattr(divergence, "HELD_ROWS", few)
+        monkeypatch.setattr(divergence, "SEEN_TERMS", few)
     monkeypatch.setattr(divergence.pairs, "__defaults__", (block, cell))
     rows = made_docs() + [(d, t, "en", "odd") for d, t in odd] + [(1, None, "xx", "alone"), (1, "\x00\n", "yy", "a"), (2, "", "yy", "b"), (3, "q", "yy", "c")]
     got = rows_of(divergence.audit(docs_of(spark, rows), bits=bits))

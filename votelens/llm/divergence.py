@@ -20,17 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votelens.llm.common import byte_words, drop, share, slices, written
+from votelens.llm.common import byte_words, drop, share, slices, utf8, written
 
 MIN_DOCS, TERMS = 10, 10
 DIGEST_BITS = 64
-#: Texts counted together before their counts go on.
-COUNT_BYTES = 8 << 20
+#: Texts counted together; rows of counts that a task holds back to combine them; strings that it remembers.
+SLICE_BYTES, HELD_ROWS, SEEN_TERMS = 4 << 20, 2_000_000, 400_000
 #: Up to so many digests are sent to all tasks as a filter; beyond, what is not wanted is only removed by the join that follows.
 FILTER_ROWS = 1_000_000
 #: Sources of a block, and rows that a cell of two blocks holds on average at most.
@@ -54,70 +52,99 @@ def _distinct_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 
 
 def _digests(terms: pa.Array, bits: int) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return (np.fromiter((digest(t) for t in terms.cast(pa.large_binary()).to_pylist()), np.uint64, len(terms)) >> np.uint64(64 - bits)).view(np.int64)
+    """64-bit polynomial hashes of the terms' bytes, mixed, cut to ``bits``."""
+    data, at = utf8(terms)
+    lengths = np.diff(at)
+    powers = np.cumprod(np.full(int(lengths.max(initial=1)), 0x100000001B3, np.uint64))
+    h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(at[:-1], lengths)], at[:-1])
+    for shift, factor in ((32, 0xD6E8FEB86659FD93), (29, 0x9E3779B97F4A7C15), (32, 1)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return (h >> np.uint64(64 - bits)).view(np.int64)
 
 
 def counted(docs: DataFrame, bits: int, only=None, strings: bool = False) -> DataFrame:
-    """lang, source, digest, (term,) n, docs: counts of one slice of texts; ``only`` yields the digests wanted, in order."""
+    """lang, source, digest, (term,) n, docs: counts of some texts; ``only`` yields the digests wanted, in order."""
     names = ["lang", "source", "digest", *(["term"] if strings else []), "n", "docs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = only() if only else None
+        numbers: dict[tuple[str, str], int] = {}
+        held: list[np.ndarray] = []
+
+        def emitted(group: np.ndarray, rest: list) -> pa.RecordBatch:
+            lang, source = (pa.array([g[i] for g in numbers], pa.string()).take(pa.array(group)) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([lang, source, *rest], names=names)
+
+        def combined() -> pa.RecordBatch:
+            group, digest, n, in_docs = np.concatenate(held, axis=1)
+            held.clear()
+            order = np.lexsort((group, digest))
+            group, digest = group[order], digest[order]
+            first = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (digest[1:] != digest[:-1])])
+            return emitted(group[first], [pa.array(digest[first]), pa.array(np.add.reduceat(n[order], first)), pa.array(np.add.reduceat(in_docs[order], first))])
+
         for batch in batches:
-            for part in slices(batch, limit=COUNT_BYTES):
+            for part in slices(batch, limit=SLICE_BYTES):
                 row, which, terms = _distinct_terms(part.column("text"))
                 if not len(row):
                     continue
                 digest = _digests(terms, bits)
                 if wanted is not None:
-                    held = np.isin(digest, wanted)[which]
-                    row, which = row[held], which[held]
+                    use = np.isin(digest, wanted)[which]
+                    row, which = row[use], which[use]
                     if not len(row):
                         continue
-                numbers: dict[tuple[str, str], int] = {}
                 group = np.array([numbers.setdefault(g, len(numbers)) for g in zip(part.column("lang").to_pylist(), part.column("source").to_pylist())])
-                in_doc, n = np.unique(row * len(terms) + which, return_counts=True)
-                cell, at = np.unique(group[in_doc // len(terms)] * len(terms) + in_doc % len(terms), return_inverse=True)
-                lang, source = (pa.array([g[i] for g in numbers], pa.string()).take(pa.array(cell // len(terms))) for i in (0, 1))
-                term = cell % len(terms)
-                total = np.bincount(at, n, len(cell)).astype(np.int64)
-                text = [terms.take(pa.array(term)).cast(pa.string())] if strings else []
-                yield pa.RecordBatch.from_arrays([lang, source, pa.array(digest[term]), *text, pa.array(total), pa.array(np.bincount(at, minlength=len(cell)))], names=names)
+                local, own = np.unique(group, return_inverse=True)
+                # one sort by group, term and row: a slice's numbers of these fit into 64 bits
+                key = np.sort((own[row] * len(terms) + which) * part.num_rows + row)
+                cell = key // part.num_rows
+                first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                in_docs = np.add.reduceat(np.r_[1, (key[1:] != key[:-1]).astype(np.int64)], first)
+                n, cell = np.diff(np.r_[first, len(key)]), cell[first]
+                in_group, term = local[cell // len(terms)], cell % len(terms)
+                if strings:
+                    yield emitted(in_group, [pa.array(digest[term]), terms.take(pa.array(term)).cast(pa.string()), pa.array(n), pa.array(in_docs)])
+                    continue
+                held.append(np.stack([in_group, digest[term], n, in_docs]))
+                if sum(h.shape[1] for h in held) > HELD_ROWS:
+                    yield combined()
+        if held:
+            yield combined()
 
     return docs.mapInArrow(run, f"lang string, source string, digest long, {'term string, ' if strings else ''}n long, docs long")
 
 
-def ends(docs: DataFrame, bits: int, only) -> DataFrame:
-    """lang, digest, low, high: least and greatest string of each digest in one slice of texts."""
-    names = ["lang", "digest", "low", "high"]
+def strings(docs: DataFrame, bits: int, only) -> DataFrame:
+    """lang, digest, term: the strings behind digests, each once for most of a task's texts."""
+    names = ["lang", "digest", "term"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = only() if only else None
+        seen: dict[str, set[bytes]] = {}
         for batch in batches:
-            for part in slices(batch, limit=COUNT_BYTES):
+            for part in slices(batch, limit=SLICE_BYTES):
                 row, which, terms = _distinct_terms(part.column("text"))
                 if not len(row):
                     continue
-                by_text = terms.cast(pa.large_binary())
-                order = np.empty(len(terms), np.int64)
-                order[pc.array_sort_indices(by_text).to_numpy()] = np.arange(len(terms))
                 digest = _digests(terms, bits)
-                used = np.ones(len(terms), bool) if wanted is None else np.isin(digest, wanted)
+                if wanted is not None and not (use := np.isin(digest, wanted)).all():
+                    row, which = row[use[which]], which[use[which]]
                 numbers: dict[str, int] = {}
                 lang = np.array([numbers.setdefault(x, len(numbers)) for x in part.column("lang").to_pylist()])
-                pair = np.unique(lang[row[used[which]]] * len(terms) + which[used[which]])
-                if not len(pair):
-                    continue
-                lang, term = pair // len(terms), pair % len(terms)
-                at = np.lexsort((order[term], digest[term], lang))
-                lang, term = lang[at], term[at]
-                new = np.r_[True, (lang[1:] != lang[:-1]) | (digest[term][1:] != digest[term][:-1])]
-                first, last = np.flatnonzero(new), np.r_[np.flatnonzero(new)[1:] - 1, len(new) - 1]
-                low, high = (terms.take(pa.array(term[x])).cast(pa.string()) for x in (first, last))
-                yield pa.RecordBatch.from_arrays([pa.array(list(numbers), pa.string()).take(pa.array(lang[first])), pa.array(digest[term[first]]), low, high], names=names)
+                occurs = np.zeros((len(numbers), len(terms)), bool)
+                occurs[lang[row], which] = True
+                text = terms.cast(pa.large_binary()).to_pylist()
+                for name, number in numbers.items():
+                    known = seen.setdefault(name, set())
+                    new = [i for i in np.flatnonzero(occurs[number]).tolist() if text[i] not in known]
+                    known.update(text[i] for i in new)
+                    if new:
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(new), pa.string()), pa.array(digest[new]), terms.take(pa.array(new)).cast(pa.string())], names=names)
+                if sum(map(len, seen.values())) > SEEN_TERMS:
+                    seen.clear()  # a term that comes twice does no harm
 
-    return docs.mapInArrow(run, "lang string, digest long, low string, high string")
+    return docs.mapInArrow(run, "lang string, digest long, term string")
 
 
 def _filter(wanted: DataFrame):
@@ -203,8 +230,8 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, terms: int = TERMS, bits: i
     counts, counts_at = written(counted(docs, bits).groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "divergence-counts")
     held = counts.groupBy("lang", "digest").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_lang")).filter(F.col("docs") >= min_docs).drop("docs")
     held, held_at = written(held, "divergence-held")
-    names, names_at = written(ends(docs, bits, _filter(held)).join(held.select("lang", "digest"), ["lang", "digest"], "left_semi")
-                              .groupBy("lang", "digest").agg(F.min("low").alias("low"), F.max("high").alias("high")), "divergence-names")
+    names, names_at = written(strings(docs, bits, _filter(held)).join(held.select("lang", "digest"), ["lang", "digest"], "left_semi")
+                              .groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")), "divergence-names")
     kept = counts.join(held.join(names.filter(F.col("low") == F.col("high")).select("lang", "digest"), ["lang", "digest"], "left_semi"), ["lang", "digest"])
     kept = kept.select("lang", "source", "digest", F.lit("").alias("split"), "n", "n_lang")
     several = names.filter(F.col("low") != F.col("high")).select("lang", "digest")
