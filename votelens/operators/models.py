@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -115,33 +116,166 @@ def fit_pipe(emb: DataFrame, pools: list[str] | None = None, whiten_dim: int = 0
 def center_debias(pipe: FeaturePipe, emb: DataFrame, k: int) -> None:
     """k times: fit a center classifier on the current features, keep its unit weight vector, project it out.
 
-    The standardised features are written once; each round projects them inside its own plan."""
+    The weights stay in the space that the earlier directions leave, so the standardised features are written once and never projected:
+    there their margins are the same. Gradient and Hessian at zero are those of the first round for every round."""
     if not k:
         return
     base = cut_lineage(pipe.transform(emb.filter(F.col("center").isin("center_1", "center_2")))
                        .select("x", (F.col("center") == "center_1").cast("double").alias("y")))
     fresh: list[np.ndarray] = []
+    start = None
     for _ in range(k):
-        d = _project(base, fresh).select(array_to_vector("x").alias("features"), "y")
-        w = balanced_logistic(d, 1.0, balanced=False).coefficients.toArray()
+        fitted = newton_logistic(base, [Fit(c=1.0, balanced=False, within=_left_by(fresh, len(pipe.mu) if pipe.whiten is None else pipe.whiten[0].shape[1]))], start=start)
+        start = fitted.start
+        w = fitted.coefficients[0]
         fresh.append(w / (np.linalg.norm(w) + 1e-9))
     pipe.directions += fresh
 
 
-def _project(df: DataFrame, directions: list[np.ndarray]) -> DataFrame:
-    """Removes each unit direction in turn from column ``x``."""
-    if not directions:
-        return df
-    held = np.array(directions)
+def _left_by(directions: list[np.ndarray], dims: int) -> np.ndarray:
+    """Projection onto what the unit directions, taken out in turn, leave."""
+    left = np.eye(dims)
+    for d in directions:
+        left -= np.outer(left @ d, d)
+    return left
+
+
+@dataclass
+class Fit:
+    """One logistic regression of a batch: C * sum(weight * loss) + |w|^2 / 2 over the rows whose ``use`` has bit ``group`` set."""
+    c: float
+    group: int = 0
+    balanced: bool = True
+    within: np.ndarray | None = None   # weights are kept in the range of this projection
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def apply(batch: pd.Series) -> pd.Series:
-        x = np.stack(batch.to_numpy())
-        for d in held:
-            x = x - np.outer(x @ d, d)
-        return pd.Series(list(x))
 
-    return df.withColumn("x", apply("x"))
+@dataclass
+class Fitted:
+    coefficients: list[np.ndarray]
+    intercepts: list[float]
+    passes: int
+    start: list[np.ndarray]
+
+
+#: Numbers of a batch's Hessians that a task adds up at once (fits * dims^2); more fits take turns.
+HESSIANS = 1 << 24
+_SLOTS = 64
+
+
+def _added(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Adds binary arrays by fit: in slots of partitions first, so no task adds up all partitions. One array per fit comes back."""
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float64) for x in rows.column("held").to_pylist())
+        return pa.table({"fit": rows.column("fit").slice(0, 1), "held": pa.array([total.tobytes()], pa.binary())})
+
+    near = parts.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(_SLOTS))).groupBy("fit", "slot").applyInArrow(add, "fit long, held binary")
+    return {r["fit"]: np.frombuffer(bytes(r["held"]), np.float64) for r in near.groupBy("fit").applyInArrow(add, "fit long, held binary").collect()}
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features with a last column of ones, labels and group bits of each Arrow batch."""
+    for batch in batches:
+        if batch.num_rows:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            yield np.column_stack([x, np.ones(len(x))]), batch.column("y").to_numpy(), batch.column("use").to_numpy()
+
+
+def newton_logistic(xy: DataFrame, fits: list[Fit], tol: float = 1e-8, max_passes: int = 50, start: list[np.ndarray] | None = None) -> Fitted:
+    """All fits by damped Newton steps in the same passes over (x, y[, use]): a task adds up loss, gradient and Hessian of every fit
+    over its Arrow blocks, and only those sums travel. ``start`` holds the sums at zero of an earlier call over the same rows."""
+    rows = xy.select("x", "y", F.col("use").cast("long").alias("use") if "use" in xy.columns else F.lit(-1).cast("long").alias("use"))
+
+    def sums(weights: dict[int, np.ndarray], classes: dict[int, tuple[float, float]]) -> dict[int, np.ndarray]:
+        """loss, gradient and Hessian of the weighted losses at the given weights, one array for each fit."""
+        out: dict[int, np.ndarray] = {}
+        asked = sorted(weights)
+        step = max(1, HESSIANS // max(1, next(iter(weights.values())).size ** 2)) if asked else 1
+        groups = {i: fits[i].group for i in asked}
+        for at in range(0, len(asked), step):
+            mine = asked[at:at + step]
+            w, cw = np.stack([weights[i] for i in mine], axis=1), [classes[i] for i in mine]
+            bits = [groups[i] for i in mine]
+
+            def run(batches, w=w, cw=cw, bits=bits, mine=mine):
+                held = None
+                for x, y, use in _blocks(batches):
+                    held = [np.zeros(1 + x.shape[1] + x.shape[1] ** 2) for _ in mine] if held is None else held
+                    margin = x @ w
+                    loss, p = np.logaddexp(0, margin) - margin * y[:, None], 1.0 / (1.0 + np.exp(-margin))
+                    for j, (c0, c1) in enumerate(cw):
+                        weight = np.where(y > 0, c1, c0) * (use >> bits[j] & 1)
+                        held[j][0] += weight @ loss[:, j]
+                        held[j][1:1 + x.shape[1]] += (weight * (p[:, j] - y)) @ x
+                        held[j][1 + x.shape[1]:] += ((x * (weight * p[:, j] * (1 - p[:, j]))[:, None]).T @ x).ravel()
+                if held is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], names=["fit", "held"])
+
+            out |= _added(rows.mapInArrow(run, "fit long, held binary"))
+        return out
+
+    groups = sorted({f.group for f in fits})
+
+    def count(batches):
+        held, dims = np.zeros((len(groups), 2)), 0
+        for x, y, use in _blocks(batches):
+            dims = x.shape[1]
+            for j, g in enumerate(groups):
+                for c in (0, 1):
+                    held[j, c] += ((use >> g & 1) * ((y > 0) == bool(c))).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([dims]), pa.array([held.tobytes()], pa.binary()), pa.array([0])], names=["dims", "held", "fit"])
+
+    counted = rows.mapInArrow(count, "dims long, held binary, fit long")
+    if start is None:
+        dims = counted.agg(F.max("dims")).first()[0] or 1
+        numbers = _added(counted.select("fit", "held")).get(0, np.zeros(2 * len(groups))).reshape(-1, 2)
+        classes = {}
+        for i, f in enumerate(fits):
+            n0, n1 = numbers[groups.index(f.group)]
+            classes[i] = ((n0 + n1) / (2 * max(n0, 1)), (n0 + n1) / (2 * max(n1, 1))) if f.balanced else (1.0, 1.0)
+        at_zero = sums({i: np.zeros(dims) for i in range(len(fits))}, classes)
+        passes = 2
+    else:
+        at_zero, classes, passes = dict(enumerate(start)), {i: (1.0, 1.0) for i in range(len(fits))}, 0
+        dims = int(round((np.sqrt(4 * len(start[0]) - 3) - 1) / 2))
+    blank = np.zeros(1 + dims + dims * dims)
+    free = np.r_[np.ones(dims - 1), 0.0]  # the intercept is not penalised
+    weights = {i: np.zeros(dims) for i in range(len(fits))}
+    before, last, found = {i: np.inf for i in weights}, dict(weights), dict(at_zero)
+    open_ = set(weights)
+    while open_:
+        asked = {}
+        for i in sorted(open_):
+            f, held = fits[i], found.get(i, blank)
+            w = weights[i]
+            value = f.c * held[0] + 0.5 * (free * w) @ w
+            if value > before[i] + 1e-10 * abs(before[i]):  # too long a step
+                weights[i] = (w + last[i]) / 2
+                asked[i] = weights[i]
+                if np.abs(weights[i] - last[i]).max() < 1e-15:
+                    open_.discard(i)
+                continue
+            grad = f.c * held[1:1 + dims] + free * w
+            curve = f.c * held[1 + dims:].reshape(dims, dims) + np.diag(free + 1e-12)
+            if f.within is not None:
+                left = np.eye(dims)
+                left[:-1, :-1] = f.within
+                grad, curve = left @ grad, left @ curve @ left + (np.eye(dims) - left)
+            if np.abs(grad).max() <= tol * max(1.0, f.c * held[0] / dims):
+                open_.discard(i)
+                continue
+            move = np.linalg.lstsq(curve, grad, rcond=1e-12)[0]
+            if f.within is not None:
+                move = left @ move
+            before[i], last[i] = value, w
+            weights[i] = w - move
+            asked[i] = weights[i]
+        if not open_ or passes >= max_passes:
+            if open_:
+                warnings.warn(f"{len(open_)} logistic fits have not converged after {passes} passes", stacklevel=2)
+            break
+        found = sums({i: asked[i] for i in asked if i in open_}, classes)
+        passes += 1
+    return Fitted([weights[i][:-1] for i in range(len(fits))], [float(weights[i][-1]) for i in range(len(fits))], passes, [at_zero.get(i, blank) for i in range(len(fits))])
 
 
 def balanced_logistic(train: DataFrame, c: float, balanced: bool = True, max_iter: int = 5000) -> LogisticRegressionModel:
@@ -184,26 +318,42 @@ def with_folds(df: DataFrame, k: int, label: str = "y", key: str = "name", salt:
     return df.join(folds, F.col(group) == F.col("_g")).drop("_g")
 
 
+def oof_many(xy: DataFrame, grid: list[float], k: int = 5, balanced: bool = True) -> DataFrame:
+    """Out-of-fold probabilities for several C: (name, label, center, y, fold, scores), one score for each value of ``grid``. All folds and
+    values of C are fitted in the same passes. Where ``xy`` has a column source, all rows of a source are in one fold."""
+    d = with_folds(xy, k, group="source" if "source" in xy.columns else None)
+    all_folds = F.lit((1 << k) - 1)
+    d = cut_lineage(d.select("name", "label", "center", "y", "fold", vector_to_array("features").alias("x"),
+                             all_folds.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.col("fold"))).cast("long").alias("use")))
+    fitted = newton_logistic(d, [Fit(c, f, balanced) for c in grid for f in range(k)])
+    w = np.array([np.r_[a, b] for a, b in zip(fitted.coefficients, fitted.intercepts)]).reshape(len(grid), k, -1)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def score(x: pd.Series, fold: pd.Series) -> pd.Series:
+        rows, own = np.stack(x.to_numpy()), w[:, fold.to_numpy()]
+        margin = np.einsum("nd,cnd->nc", rows, own[:, :, :-1]) + own[:, :, -1].T
+        return pd.Series(list(1.0 / (1.0 + np.exp(-margin))))
+
+    return d.select("name", "label", "center", "y", "fold", score("x", "fold").alias("scores"))
+
+
 def oof_scores(xy: DataFrame, c: float, k: int = 5, balanced: bool = True) -> DataFrame:
-    """Out-of-fold probabilities (name, label, center, y, fold, score). Where ``xy`` has a column source, all rows of a
-    source are in one fold."""
-    d = cut_lineage(with_folds(xy, k, group="source" if "source" in xy.columns else None))
-    out = None
-    for f in range(k):
-        m = balanced_logistic(d.filter(F.col("fold") != f), c, balanced)
-        s = positive_probability(m, d.filter(F.col("fold") == f)).select("name", "label", "center", "y", "fold", "score")
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Out-of-fold probabilities (name, label, center, y, fold, score) for one C."""
+    return oof_many(xy, [c], k, balanced).withColumn("score", F.element_at("scores", 1)).drop("scores")
 
 
 def select_c(xy: DataFrame, grid: list[float], reps: int = 500, k: int = 5, seed: int = 12345) -> DataFrame:
-    """Bootstrap median precision of out-of-fold scores per C, with the best one flagged."""
+    """Bootstrap median precision of out-of-fold scores per C, with the best one flagged. All C share the draws."""
+    from pyspark.sql import Window
+    names = [f"score_{i}" for i in range(len(grid))]
+    d = cut_lineage(oof_many(xy, grid, k).select("name", "label", "center", *[F.element_at("scores", i + 1).alias(n) for i, n in enumerate(names)]))
+    counts = cut_lineage(R.stratified_counts(d, reps, seed, values=names))  # every C reads it
     out = None
-    for c in grid:
-        b = R.bootstrap(oof_scores(xy, c, k).select("name", "label", "center", "score"), reps, seed)
-        row = b.select(F.lit(float(c)).alias("C"), "curve_median", "curve_lo", "curve_hi")
+    for i, n in enumerate(names):
+        m = R.replicate_metrics(counts, reps, score=n, bucket=f"bucket_{n}" if i else "bucket")
+        row = m.agg(F.percentile("ppv", 0.5).alias("curve_median"), F.percentile("ppv", 0.025).alias("curve_lo"), F.percentile("ppv", 0.975).alias("curve_hi"))
+        row = row.select(F.lit(float(grid[i])).alias("C"), "curve_median", "curve_lo", "curve_hi")
         out = row if out is None else out.unionByName(row)
-    from pyspark.sql import Window
     best = F.max_by("C", F.struct("curve_median", -F.col("C"))).over(Window.partitionBy())  # one row per C
     return out.withColumn("selected", F.col("C") == best)
 

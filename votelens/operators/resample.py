@@ -283,12 +283,13 @@ def replicate_ppv(counts: DataFrame, reps: int, at: dict[str, Column]) -> DataFr
     return sums.select("rep", *[(F.col(f"{n}_tp") / F.greatest(F.col(f"{n}_all"), F.lit(1))).alias(n) for n in names])
 
 
-def bucketed(scored: DataFrame, by: list[str], score: str, out: str = "bucket") -> DataFrame:
-    """Adds the bucket of each row's score: equal scores share one, and every bucket but those of hot scores holds about as many rows."""
-    c = prefix_sums(scored.groupBy(*by, F.col(score).alias("_score")).agg(F.count(F.lit(1)).alias("n")), by, "_score", ["n"])
+def bucketed(rows: DataFrame, source: DataFrame, by: list[str], score: str, out: str = "bucket") -> DataFrame:
+    """Adds to ``rows`` the bucket of each score, cut by the rows of ``source``: equal scores share one, and every bucket but those of
+    hot scores holds about as many rows."""
+    c = prefix_sums(source.groupBy(*by, F.col(score).alias("_score")).agg(F.count(F.lit(1)).alias("n")), by, "_score", ["n"])
     wide = F.greatest(F.lit(BUCKET_ROWS), F.ceil(F.col("tot_n") / BUCKETS))
     axis = c.select(*by, "_score", F.floor((F.col("cum_n") - F.col("n")) / wide).alias(out))
-    return attach(scored, axis.withColumnRenamed("_score", score), [*by, score])
+    return attach(rows, axis.withColumnRenamed("_score", score), [*by, score])
 
 
 def _stream(*parts) -> Column:
@@ -322,7 +323,7 @@ def stratified_counts(scored: DataFrame, reps: int, seed: int, prevalence: float
     skey = F.to_json(F.struct(*by, "label", "stratum"))
     pool = hash_index(rows.withColumn("stratum", _stratum()), [*by, "label", "stratum"], "name", f"pool{seed}")
     for i, v in enumerate(values):
-        pool = bucketed(pool, by, v, f"bucket_{v}" if i else "bucket")
+        pool = bucketed(pool, rows, by, v, f"bucket_{v}" if i else "bucket")
     pool = pool.withColumn("skey", skey).drop("name", "center", "stratum")
     return draw_counts(pool, plan.select(skey.alias("skey"), stream.alias("digest"), "size", "draws"), reps, seed)
 
@@ -332,7 +333,7 @@ def iid_counts(scored: DataFrame, reps: int, seed: int, by: list[str] = ()) -> D
     by = list(by)
     rows = scored.select(*by, "name", F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"))
     skey = F.to_json(F.struct(*by)) if by else F.lit("all")
-    pool = bucketed(hash_index(rows, by, "name", f"iid{seed}"), by, "score").withColumn("skey", skey).drop("name")
+    pool = bucketed(hash_index(rows, by, "name", f"iid{seed}"), rows, by, "score").withColumn("skey", skey).drop("name")
     plan = (rows.groupBy(*by) if by else rows.groupBy()).agg(F.count(F.lit(1)).alias("size"))
     return draw_counts(pool, plan.select(skey.alias("skey"), F.lit("0" * 16).alias("digest"), "size", F.col("size").alias("draws")), reps, seed)
 
@@ -361,7 +362,8 @@ def challenge_replicates(scored: DataFrame, reps: int, seed: int, target: float
     """Per replicate precision with all negatives kept and positives drawn to negatives/ratio.
 
     Negatives never move: each distinct score of theirs is one row that counts the same in every replicate."""
-    rows = bucketed(scored.select("name", F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score")), [], "score")
+    plain = scored.select("name", F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"))
+    rows = bucketed(plain, plain, [], "score")
     sizes = scored.agg(F.count(F.when(F.col("label") == 1, 1)).alias("size"), F.count(F.when(F.col("label") == 0, 1)).alias("_n"))
     plan = sizes.select(F.lit("all").alias("skey"), F.lit("0" * 16).alias("digest"), "size",
                         F.greatest(F.lit(1), F.bround(F.col("_n") / float(ratio), 0)).cast("long").alias("draws"))
