@@ -136,7 +136,8 @@ def _left_by(directions: list[np.ndarray], dims: int) -> np.ndarray:
     """Projection onto what the unit directions, taken out in turn, leave."""
     left = np.eye(dims)
     for d in directions:
-        left -= np.outer(left @ d, d)
+        unit = d / (np.linalg.norm(d) or 1.0)
+        left -= np.outer(left @ unit, unit)
     return left
 
 
@@ -160,10 +161,20 @@ class Fitted:
 #: Numbers of a batch's Hessians that a task adds up at once (fits * dims^2); more fits take turns.
 HESSIANS = 1 << 24
 _SLOTS = 64
+#: Numbers that all partitions may send to the driver as they are; more are added up on the cluster first.
+DRIVER_SUMS = 1 << 22
 
 
-def _added(parts: DataFrame) -> dict[int, np.ndarray]:
-    """Adds binary arrays by fit: in slots of partitions first, so no task adds up all partitions. One array per fit comes back."""
+def _added(parts: DataFrame, numbers: int) -> dict[int, np.ndarray]:
+    """Adds binary arrays by fit. ``numbers``: how many the partitions hold together. Beyond DRIVER_SUMS they are added in slots of
+    partitions and then by fit, so neither a task nor the driver holds those of all partitions."""
+    if numbers <= DRIVER_SUMS:
+        out: dict[int, np.ndarray] = {}
+        for r in parts.collect():
+            held = np.frombuffer(bytes(r["held"]), np.float64)
+            out[r["fit"]] = out[r["fit"]] + held if r["fit"] in out else held
+        return out
+
     def add(rows: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.float64) for x in rows.column("held").to_pylist())
         return pa.table({"fit": rows.column("fit").slice(0, 1), "held": pa.array([total.tobytes()], pa.binary())})
@@ -185,6 +196,8 @@ def newton_logistic(xy: DataFrame, fits: list[Fit], tol: float = 1e-8, max_passe
     over its Arrow blocks, and only those sums travel. ``start`` holds the sums at zero of an earlier call over the same rows."""
     rows = xy.select("x", "y", F.col("use").cast("long").alias("use") if "use" in xy.columns else F.lit(-1).cast("long").alias("use"))
 
+    parts_read = rows.rdd.getNumPartitions()
+
     def sums(weights: dict[int, np.ndarray], classes: dict[int, tuple[float, float]]) -> dict[int, np.ndarray]:
         """loss, gradient and Hessian of the weighted losses at the given weights, one array for each fit."""
         out: dict[int, np.ndarray] = {}
@@ -210,7 +223,7 @@ def newton_logistic(xy: DataFrame, fits: list[Fit], tol: float = 1e-8, max_passe
                 if held is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(mine, pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], names=["fit", "held"])
 
-            out |= _added(rows.mapInArrow(run, "fit long, held binary"))
+            out |= _added(rows.mapInArrow(run, "fit long, held binary"), parts_read * len(mine) * (w.shape[0] + 1) ** 2)
         return out
 
     groups = sorted({f.group for f in fits})
@@ -227,7 +240,7 @@ def newton_logistic(xy: DataFrame, fits: list[Fit], tol: float = 1e-8, max_passe
     counted = rows.mapInArrow(count, "dims long, held binary, fit long")
     if start is None:
         dims = counted.agg(F.max("dims")).first()[0] or 1
-        numbers = _added(counted.select("fit", "held")).get(0, np.zeros(2 * len(groups))).reshape(-1, 2)
+        numbers = _added(counted.select("fit", "held"), parts_read * 2 * len(groups)).get(0, np.zeros(2 * len(groups))).reshape(-1, 2)
         classes = {}
         for i, f in enumerate(fits):
             n0, n1 = numbers[groups.index(f.group)]
@@ -268,6 +281,8 @@ def newton_logistic(xy: DataFrame, fits: list[Fit], tol: float = 1e-8, max_passe
                 move = left @ move
             before[i], last[i] = value, w
             weights[i] = w - move
+            if grad @ move <= 1e-15 * max(1.0, abs(value)):  # the step changes the loss by less than its rounding
+                open_.discard(i)
             asked[i] = weights[i]
         if not open_ or passes >= max_passes:
             if open_:
