@@ -28,7 +28,7 @@ from votelens.llm.common import byte_words, drop, share, slices, utf8, written
 MIN_DOCS, TERMS = 10, 10
 DIGEST_BITS = 64
 #: Texts counted together; rows of counts that a task holds back to combine them; strings that it remembers.
-SLICE_BYTES, HELD_ROWS, SEEN_TERMS = 4 << 20, 2_000_000, 400_000
+SLICE_BYTES, HELD_ROWS, SEEN_TERMS = 4 << 20, 1_000_000, 400_000
 #: Up to so many digests are sent to all tasks as a filter; beyond, what is not wanted is only removed by the join that follows.
 FILTER_ROWS = 1_000_000
 #: Sources of a block, and rows that a cell of two blocks holds on average at most.
