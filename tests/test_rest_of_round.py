@@ -135,3 +135,23 @@ def test_stream_reads_touched_buckets_only(spark, tmp_path):
     epochs = {p.name for p in (tmp_path / "out" / "votes").glob("bucket=*/epoch=*")}
     per = [len(list(p.glob("epoch=*"))) for p in (tmp_path / "out" / "votes").glob("bucket=*")]
     assert len(touched) == 2 and len(epochs) == 12 and sorted(per) == [6, 6]
+
+
+@pytest.mark.parametrize("positives, wide", [(37, 4), (8, 4), (4, 4), (3, 4), (1, 4), (0, 4)])
+def test_no_positive_repeats_in_a_batch(spark, positives, wide):
+    """And with fewer positives than slots a batch holds them all once and more negatives."""
+    from votelens.operators import sampling as SA
+    rows = spark.createDataFrame([(f"p{i}", 1) for i in range(positives)] + [(f"n{i}", 0) for i in range(400)], "name string, label int")
+    plan = SA.balanced_batches(rows, wide, 20).collect()
+    held = {}
+    for r in plan:
+        held.setdefault(r.batch, []).append(r)
+    p = min(wide, max(1, positives))
+    for batch, mine in held.items():
+        names = [r.name for r in mine if r.label > 0]
+        assert len(names) == len(set(names)) == min(p, positives) and len({r.slot for r in mine}) == len(mine)
+        assert sum(r.label == 0 for r in mine) <= 20 - p
+    negatives = [r.name for r in plan if r.label == 0]
+    assert len(negatives) == len(set(negatives)) == 400 and len(held) == -(-400 // (20 - p))
+    if positives == 37:
+        assert len({r.name for r in plan if r.label > 0}) > 30

@@ -137,22 +137,27 @@ def stratified_subset(frames: DataFrame, core: DataFrame, n: int, seed: int = 0)
 
 def balanced_batches(rows: DataFrame, pos_per_batch: int, batch_size: int, seed: int = 0,
                      key: str = "name", drop_last: bool = False) -> DataFrame:
-    """Batch plan (batch, slot, name, label): q negatives per batch without repeats, p positives each drawn
-    with replacement by hash. The last batch holds the negatives that are left; ``drop_last`` plans full batches only."""
-    q = max(1, batch_size - pos_per_batch)
-    neg = hash_index(rows.filter(F.col("label") == 0), [], key, f"n{seed}", "_i", "_n")
-    neg = neg.withColumn("batch", F.floor(F.col("_i") / q))
+    """Batch plan (batch, slot, name, label): no negative twice in an epoch, no positive twice in a batch.
+
+    A batch holds ``pos_per_batch`` positives, or all there are if that is fewer, and its other slots are negatives. The positives' hash
+    order is turned by a hash of the batch and cut into as many stretches as there are slots; each slot takes one row of its stretch
+    by hash, so slots never meet and every positive is as likely. The last batch holds the negatives that are left; ``drop_last`` plans
+    full batches only."""
+    size = rows.agg(F.count(F.when(F.col("label") > 0, 1)).alias("_size")).withColumn(
+        "_p", F.least(F.lit(pos_per_batch), F.greatest(F.col("_size"), F.lit(1))).cast("long"))
+    size = size.withColumn("_q", F.greatest(F.lit(1), F.lit(batch_size) - F.col("_p")))
+    neg = hash_index(rows.filter(F.col("label") == 0), [], key, f"n{seed}", "_i", "_n").crossJoin(F.broadcast(size))  # one row of sizes
+    neg = neg.withColumn("batch", F.floor(F.col("_i") / F.col("_q")))
     if drop_last:
-        neg = neg.filter(F.col("batch") < F.greatest(F.lit(1), F.floor(F.col("_n") / q)))
-    neg = neg.select("batch", (F.col("_i") % q + pos_per_batch).cast("int").alias("slot"), key, "label")
-    pos = hash_index(rows.filter(F.col("label") > 0), [], key, f"p{seed}", "_i", "_n").select("_i", "_n", key, "label")
-    size = rows.filter(F.col("label") > 0).agg(F.count(F.lit(1)).alias("_size"))
-    slots = neg.select("batch").distinct().crossJoin(F.broadcast(size)).withColumn(  # one-row pool size
-        "slot", F.explode(F.sequence(F.lit(0), F.lit(pos_per_batch - 1))))
-    pick = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", "batch", "slot", F.lit(f"d{seed}"))), 1, 12), 16, 10)
-                  .cast("long"), F.col("_size"))
-    pos = attach(slots.withColumn("_i", pick), pos, ["_i"]).select("batch", "slot", key, "label")
-    return pos.unionByName(neg)
+        neg = neg.filter(F.col("batch") < F.greatest(F.lit(1), F.floor(F.col("_n") / F.col("_q"))))
+    pos = hash_index(rows.filter(F.col("label") > 0), [], key, f"p{seed}", "_i").select("_i", key, "label")
+    batches = neg.select("batch", "_size", "_p").distinct().filter("_size > 0")
+    slots = batches.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_p") - 1)))
+    draw = lambda *k: F.conv(F.substring(F.md5(F.concat_ws("|", *k, F.lit(f"d{seed}"))), 1, 12), 16, 10).cast("long")
+    start, end = F.floor(F.col("slot") * F.col("_size") / F.col("_p")), F.floor((F.col("slot") + 1) * F.col("_size") / F.col("_p"))
+    pick = F.pmod(draw(F.col("batch")) + start + F.pmod(draw(F.col("batch"), F.col("slot")), end - start), F.col("_size"))
+    drawn = attach(slots.withColumn("_i", pick), pos, ["_i"]).select("batch", F.col("slot").cast("int").alias("slot"), key, "label")
+    return drawn.unionByName(neg.select("batch", (F.col("_i") % F.col("_q") + F.col("_p")).cast("int").alias("slot"), key, "label"))
 
 
 def pool_sample(pool: DataFrame, listing: DataFrame, n: int, seed: int, buckets: list[str] | None = None,

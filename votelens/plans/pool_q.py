@@ -199,12 +199,14 @@ def diverse_pick_plain(i):
 
 
 BATCH = {
-    "neg": """SELECT name, score, label, floor(i / 24)::bigint AS batch, (i % 24 + 8)::int AS slot, n FROM (SELECT name, score, label, row_number() OVER (ORDER BY md5(name || '|n0'), name) - 1 AS i,
-      count(*) OVER () AS n FROM scored_rare WHERE label = 0)""",
-    "pos": "SELECT name, score, label, row_number() OVER (ORDER BY md5(name || '|p0'), name) - 1 AS i, count(*) OVER () AS n FROM scored_rare WHERE label = 1",
-    "slots": "SELECT DISTINCT batch, s.slot::int AS slot FROM neg, range(8) s(slot)",
+    "sz": "SELECT n, least(8, greatest(n, 1)) AS p, greatest(1, 32 - least(8, greatest(n, 1))) AS q FROM (SELECT count(*) AS n FROM scored_rare WHERE label = 1)",
+    "neg": """SELECT name, score, label, i // sz.q AS batch, (i % sz.q + sz.p)::int AS slot FROM (SELECT name, score, label, row_number() OVER (ORDER BY md5(name || '|n0'), name) - 1 AS i
+      FROM scored_rare WHERE label = 0), sz""",
+    "pos": "SELECT name, score, label, row_number() OVER (ORDER BY md5(name || '|p0'), name) - 1 AS i FROM scored_rare WHERE label = 1",
+    "slots": """SELECT batch, s.slot::int AS slot, n, s.slot * n // p AS a, (s.slot + 1) * n // p - s.slot * n // p AS w, cast('0x' || substr(md5(batch || '|d0'), 1, 12) as bigint) AS turn,
+      cast('0x' || substr(md5(batch || '|' || s.slot || '|d0'), 1, 12) as bigint) AS own FROM (SELECT DISTINCT batch FROM neg), sz, range(8) s(slot) WHERE s.slot < p AND n > 0""",
     "batches": """SELECT batch, slot, name, score, label FROM neg UNION ALL
-      SELECT batch, slot, name, score, label FROM slots JOIN pos ON i = cast('0x' || substr(md5(batch || '|' || slot || '|d0'), 1, 12) as bigint) % pos.n""",
+      SELECT batch, slot, name, score, label FROM slots JOIN pos ON i = (turn + a + own % w) % n""",
     "bl": "SELECT *, ln(greatest(1e-6, least(1.0 - 1e-6, score)) / (1.0 - greatest(1e-6, least(1.0 - 1e-6, score)))) AS logit FROM batches",
 }
 
