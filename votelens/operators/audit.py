@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from votelens import vocabulary as V
-from votelens.functions.scalars import half_up
-from votelens.operators.curves import POOLED, curve, curve_metrics, grouped_auroc, pooled_and_each, score_groups, \
-    threshold_transfer
+from votelens.functions.scalars import half_up, units4
+from votelens.operators.curves import POOLED, curve, grouped_auroc, k_at_recall, pooled_and_each
 from votelens.operators.votes import with_vocabulary
 
 # Confirmation thresholds.
 AGREE_MIN, ASSESS_MIN, LEAK_MAX, WITHIN_MIN, CI_FLOOR = 0.60, 0.50, 0.70, 0.55, 0.50
 
 
+LEAK = "LEAK"  # the view of a concept in which the second center's cells are the positives
+
+
 def concept_auroc(lc: DataFrame, by: list[str] = ("concept",), value: str = "c", folded: bool = False) -> DataFrame:
     """AUROC of cell values. A cell averages at most a handful of votes, so a concept has few distinct values
     and one window per concept is small."""
@@ -62,22 +64,50 @@ def mutual_information(lc: DataFrame, bins: int = 8) -> DataFrame:
     return g.withColumn("_t", term).groupBy("concept").agg(F.sum("_t").alias("mi"))
 
 
+def count_table(trusted: DataFrame, frames: DataFrame) -> DataFrame:
+    """Labelled cells per (concept, center, value): positives, negatives, whole units of trust and supervised cells.
+
+    Values are stored with four decimals, so the table has at most 10,001 rows for each concept and center, whatever the
+    number of frames. Both audits below read it once and never the cells again."""
+    d = trusted.join(frames.filter(F.col("label").isin(0, 1)).select("path", "label", "center"), "path")
+    d = d.filter(F.col("value").isNotNull())
+    return d.groupBy("concept", F.coalesce("center", F.lit("")).alias("center"), F.col("value").cast("double").alias("score")).agg(
+        F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") == 0, 1)).alias("neg"),
+        F.sum(units4("trust")).alias("trust"), F.count("trust").alias("trusted"), F.count(F.when(F.col("supervise"), 1)).alias("sup"))
+
+
 def concept_audit(trusted: DataFrame, frames: DataFrame) -> DataFrame:
     """Per concept: AUROC pooled and per center, AUROC against the center, trust, supervision, class means and
-    whether both centers point the same way."""
-    d = trusted.join(frames.filter(F.col("label").isin(0, 1)).select("path", "label", "center"), "path")
-    g = pooled_and_each(score_groups(d, ["concept", "center"], "value"))
-    m = curve_metrics(curve(g, ["concept", "center"], bounded=True), ["concept", "center"])
-    pick = lambda c, name: F.max(F.when(F.col("center") == c, F.col("auroc"))).alias(name)
-    a = m.groupBy("concept").agg(pick(POOLED, "auc_all"), pick("center_1", "auc_c1"), pick("center_2", "auc_c2"))
-    leak = grouped_auroc(d.withColumn("is_c2", (F.col("center") == "center_2").cast("int")), ["concept"], "value", "is_c2")
-    mean = lambda cond: F.sum(F.when(cond, F.col("value"))) / F.count(F.when(cond, 1))
-    s = d.groupBy("concept").agg((F.sum("trust") / F.count("trust")).alias("mean_trust"),
-                                 (F.count(F.when(F.col("supervise"), 1)) * 100.0 / F.count(F.lit(1))).alias("pct_supervised"),
-                                 mean(F.col("label") == 1).alias("mean_pos"), mean(F.col("label") == 0).alias("mean_neg"))
+    whether both centers point the same way.
+
+    Every curve is a view of one row of the count table: the pooled one, its own center's, and one whose positives are
+    the cells of the second center. They go through one aggregation and one window."""
+    t = count_table(trusted, frames)
+    n, second = F.col("pos") + F.col("neg"), F.col("center") == "center_2"
+    zero = F.lit(0).cast("long")
+    view = lambda key, pos, neg, on: F.struct(
+        key.alias("view"), pos.cast("long").alias("pos"), neg.cast("long").alias("neg"),
+        *[(F.col(c) if on else zero).cast("long").alias(c) for c in ("trust", "trusted", "sup")])
+    views = F.array(view(F.lit(POOLED), F.col("pos"), F.col("neg"), True), view(F.col("center"), F.col("pos"), F.col("neg"), False),
+                    view(F.lit(LEAK), F.when(second, n).otherwise(0), F.when(second, 0).otherwise(n), False))
+    e = t.select("concept", "score", F.explode(views).alias("_v")).select("concept", "score", "_v.*")
+    g = e.groupBy("concept", "view", "score").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "trust", "trusted", "sup")])
+    c = curve(g, ["concept", "view"], bounded=True)
+    pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
+    m = c.groupBy("concept", "view").agg(
+        F.max("tot_pos").alias("p"), F.max("tot_neg").alias("n"), F.sum(pos * (F.col("tot_neg") - F.col("cum_neg") + neg / 2.0)).alias("u"),
+        F.sum(F.col("score") * pos).alias("vp"), F.sum(F.col("score") * neg).alias("vn"),
+        *[F.sum(x).alias(x) for x in ("trust", "trusted", "sup")])
+    auc = F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p").cast("double") * F.col("n")))
+    at = lambda key, x: F.max(F.when(F.col("view") == key, x))
+    ratio = lambda x, y: F.when(y > 0, x / y)
+    a = m.groupBy("concept").agg(
+        at(POOLED, auc).alias("auc_all"), at("center_1", auc).alias("auc_c1"), at("center_2", auc).alias("auc_c2"),
+        at(LEAK, auc).alias("auc_center"), at(POOLED, ratio(F.col("trust"), F.col("trusted")) / 10000.0).alias("mean_trust"),
+        at(POOLED, F.col("sup") * 100.0 / (F.col("p") + F.col("n"))).alias("pct_supervised"),
+        at(POOLED, ratio(F.col("vp"), F.col("p"))).alias("mean_pos"), at(POOLED, ratio(F.col("vn"), F.col("n"))).alias("mean_neg"))
     agree = F.coalesce(F.signum(F.col("auc_c1") - 0.5) == F.signum(F.col("auc_c2") - 0.5), F.lit(False))
-    return (a.join(leak.select("concept", F.col("auroc").alias("auc_center")), "concept").join(s, "concept")
-            .withColumn("sign_agree", agree))
+    return a.withColumn("sign_agree", agree)
 
 
 def verdict(agree: Column, assess: Column, ci_low: Column, within: Column, leak: Column) -> tuple[Column, Column]:
@@ -114,16 +144,27 @@ def confirm_summary(gates: DataFrame) -> DataFrame:
 
 
 def concept_ppv(trusted: DataFrame, frames: DataFrame, target: float = 0.9) -> DataFrame:
-    """Tie-inclusive precision at the recall threshold per concept: pooled, per center, and both transfers."""
-    d = trusted.join(frames.filter(F.col("label").isin(0, 1)).select("path", "label", "center"), "path").select(
-        "concept", "center", F.col("value").alias("score"), "label")
-    g = pooled_and_each(score_groups(d, ["concept", "center"]))
-    m = curve_metrics(curve(g, ["concept", "center"], bounded=True), ["concept", "center"], target)
-    pick = lambda c, name: F.max(F.when(F.col("center") == c, F.col("ppv_incl"))).alias(name)
-    a = m.groupBy("concept").agg(pick(POOLED, "ppv_all"), pick("center_1", "ppv_c1"), pick("center_2", "ppv_c2"))
-    t = threshold_transfer(d, ["concept"], target=target, bounded=True)
-    way = lambda src, name: F.max(F.when(F.col("source") == src, F.col("ppv"))).alias(name)
-    return a.join(t.groupBy("concept").agg(way("center_1", "c1_to_c2"), way("center_2", "c2_to_c1")), "concept", "left")
+    """Tie-inclusive precision at the recall threshold per concept: pooled, per center, and both transfers.
+
+    One count table, one window per (concept, center) for the thresholds, one per concept that hands every threshold to
+    all its rows; each precision is then a pair of conditional sums."""
+    g = pooled_and_each(count_table(trusted, frames).select("concept", "center", "score", "pos", "neg"))
+    c = curve(g, ["concept", "center"], bounded=True)
+    reached = F.col("cum_pos") >= k_at_recall(F.col("tot_pos"), target)
+    every = Window.partitionBy("concept")  # the distinct values of one concept in all its centers: bounded
+    fitted = {"all": POOLED, "c1": "center_1", "c2": "center_2"}
+    for name, center in fitted.items():
+        c = c.withColumn(f"_t_{name}", F.max(F.when(reached & (F.col("center") == center), F.col("score"))).over(every))
+
+    def precision(on: str, threshold: str) -> Column:
+        here = F.col("center") == fitted[on]
+        over = here & (F.col("score") >= F.col(f"_t_{threshold}"))
+        hits, alarms = F.sum(F.when(over, F.col("pos"))), F.sum(F.when(over, F.col("neg")))
+        return F.when((F.sum(F.when(here, F.col("pos"))) > 0) & (hits + alarms > 0), hits / (hits + alarms))
+
+    return c.groupBy("concept").agg(
+        precision("all", "all").alias("ppv_all"), precision("c1", "c1").alias("ppv_c1"), precision("c2", "c2").alias("ppv_c2"),
+        precision("c2", "c1").alias("c1_to_c2"), precision("c1", "c2").alias("c2_to_c1"))
 
 
 def grade_join(cells: DataFrame, grades: DataFrame) -> DataFrame:
