@@ -9,6 +9,7 @@ from votelens import vocabulary as V
 from votelens.functions.ordering import exact_quantiles
 from votelens.functions.scalars import half_up
 from votelens.operators.sampling import skip_top_band, top_suspicious, uniform_sample
+from votelens.operators.trust import curate_frames
 
 
 def unlabeled_manifest(curated: DataFrame) -> DataFrame:
@@ -56,12 +57,25 @@ def concept_score(trusted: DataFrame, **groups: list[str]) -> DataFrame:
     return trusted.groupBy("path").agg(*concept_score_columns(**groups))
 
 
-def confounded_tail_mine(trusted: DataFrame, curated: DataFrame, skip: int, n: int) -> DataFrame:
+def frame_profile(frames: DataFrame, trusted: DataFrame, **groups: list[str]) -> DataFrame:
+    """The curated columns and the score of each named concept group (default: ``surface`` and ``decisive``) per frame,
+    all from one aggregation of the cells.
+
+    The mining operators read a profile twice, for a threshold over labelled positives and for the unlabelled rows, so a
+    caller with more than one of them, or with costly cells, persists it."""
+    return curate_frames(frames, trusted, False, *concept_score_columns(**(groups or {"surface": V.CONFOUNDERS, "decisive": V.DECISIVE})))
+
+
+def positive_quantile(profile: DataFrame, q: float, name: str) -> DataFrame:
+    """One row: the q-quantile of ``decisive`` over labelled positives."""
+    return exact_quantiles(profile.filter(F.col("label") == 1), [], "decisive", {name: q})
+
+
+def confounded_tail_mine(profile: DataFrame, skip: int, n: int) -> DataFrame:
     """Unlabelled frames high on surface look-alike concepts but below the labelled-positive median on the
     decisive ones."""
-    s = concept_score(trusted, surface=V.CONFOUNDERS, decisive=V.DECISIVE).join(curated.select("path", "label"), "path")
-    med = exact_quantiles(s.filter(F.col("label") == 1), [], "decisive", {"_med": 0.5})
-    kept = s.filter(F.col("label") < 0).crossJoin(F.broadcast(med)).filter(  # one-row median
+    med = positive_quantile(profile, 0.5, "_med")
+    kept = profile.filter(F.col("label") < 0).crossJoin(F.broadcast(med)).filter(  # one-row median
         F.col("decisive") < F.coalesce(F.col("_med"), F.lit(1.0)))
     return skip_top_band(kept.select("path", "surface", "decisive"), skip, n, "surface")
 
@@ -73,12 +87,10 @@ def model_fp_mine(manifest: DataFrame, scores: DataFrame, skip: int, n: int, exc
     return skip_top_band(pool.join(scores.select("path", "score"), "path").select("path", "dir", "score"), skip, n)
 
 
-def _gated(trusted: DataFrame, curated: DataFrame, manifest: DataFrame, scores: DataFrame | None, pos_pct: float,
-           buckets: tuple[str, ...], susp_min: float, model_min: float) -> DataFrame:
-    s = concept_score(trusted, decisive=V.DECISIVE).join(curated.select("path", "label"), "path")
-    thr = exact_quantiles(s.filter(F.col("label") == 1), [], "decisive", {"_thr": pos_pct / 100.0})
-    m = manifest.select("path", "decision", "suspicion")
-    j = s.filter(F.col("label") < 0).crossJoin(F.broadcast(thr)).join(m, "path", "left")  # one-row threshold
+def _gated(profile: DataFrame, scores: DataFrame | None, pos_pct: float, buckets: tuple[str, ...], susp_min: float,
+           model_min: float) -> DataFrame:
+    thr = positive_quantile(profile, pos_pct / 100.0, "_thr")
+    j = profile.filter(F.col("label") < 0).select("path", "decisive", "decision", "suspicion").crossJoin(F.broadcast(thr))  # one-row threshold
     j = j.join(scores.select("path", "score"), "path", "left") if scores is not None else j.withColumn("score", F.lit(None).cast("double"))
     model = (F.coalesce("score", F.lit(0.0)) >= model_min) if scores is not None else F.lit(True)
     return j.select("path", "decisive", "score", F.coalesce(F.col("decisive") >= F.col("_thr"), F.lit(False)).alias("gate_a"),
@@ -89,11 +101,11 @@ def _gated(trusted: DataFrame, curated: DataFrame, manifest: DataFrame, scores:
 MINE_BUCKETS = ("HARD_NEG_CANDIDATE", "ABSTAIN")
 
 
-def pseudo_positive_mine(trusted: DataFrame, curated: DataFrame, manifest: DataFrame, scores: DataFrame | None, n: int,
-                         pos_pct: float = 50.0, susp_min: float = 0.9, model_min: float = 0.5,
-                         buckets: tuple[str, ...] = MINE_BUCKETS, listing: DataFrame | None = None) -> DataFrame:
-    """Frames passing the concept, bucket, suspicion and model gates, best model score first."""
-    g = _gated(trusted, curated, manifest, scores, pos_pct, buckets, susp_min, model_min)
+def pseudo_positive_mine(profile: DataFrame, scores: DataFrame | None, n: int, pos_pct: float = 50.0,
+                         susp_min: float = 0.9, model_min: float = 0.5, buckets: tuple[str, ...] = MINE_BUCKETS,
+                         listing: DataFrame | None = None) -> DataFrame:
+    """Frames of a :func:`frame_profile` that pass the concept, bucket, suspicion and model gates, best model score first."""
+    g = _gated(profile, scores, pos_pct, buckets, susp_min, model_min)
     cand = g.filter(F.col("gate_a") & F.col("gate_c") & F.col("gate_d"))
     if listing is not None:
         cand = cand.join(listing.select("path").distinct(), "path", "left_semi")
@@ -102,20 +114,20 @@ def pseudo_positive_mine(trusted: DataFrame, curated: DataFrame, manifest: DataF
     return kept.orderBy(*rank, "path").limit(n).select("path", "decisive", "score")
 
 
-def gate_survivors(trusted: DataFrame, curated: DataFrame, manifest: DataFrame, scores: DataFrame, **kw) -> DataFrame:
+def gate_survivors(profile: DataFrame, scores: DataFrame, **kw) -> DataFrame:
     """Survivors after each gate in order A, A+C, A+C+D, A+C+D+B."""
     args = dict(pos_pct=50.0, buckets=MINE_BUCKETS, susp_min=0.9, model_min=0.5) | kw
-    g = _gated(trusted, curated, manifest, scores, **args)
+    g = _gated(profile, scores, **args)
     a, b, c, d = (F.col(f"gate_{x}") for x in "abcd")
     n = lambda cond: F.count(F.when(cond, 1))
     return g.agg(F.count(F.lit(1)).alias("unlabeled"), n(a).alias("after_a"), n(a & c).alias("after_ac"),
                  n(a & c & d).alias("after_acd"), n(a & c & d & b).alias("after_acdb"))
 
 
-def gate_redundancy(trusted: DataFrame, curated: DataFrame, manifest: DataFrame, scores: DataFrame, **kw) -> DataFrame:
+def gate_redundancy(profile: DataFrame, scores: DataFrame, **kw) -> DataFrame:
     """For each gate: frames passing all the others, frames passing all, and the share this gate alone removes."""
     args = dict(pos_pct=50.0, buckets=MINE_BUCKETS, susp_min=0.9, model_min=0.5) | kw
-    g = _gated(trusted, curated, manifest, scores, **args)
+    g = _gated(profile, scores, **args)
     gates = ["gate_a", "gate_c", "gate_d", "gate_b"]
     aggs, every = [], F.lit(True)
     for x in gates:

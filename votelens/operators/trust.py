@@ -37,8 +37,9 @@ def decide(label: Column, frame_trust: Column, suspicion: Column) -> Column:
             .when(suspicion >= V.SUSPICION_HI, "HARD_NEG_CANDIDATE").otherwise("CONFIDENT_NEGATIVE"))
 
 
-def core_profile(trusted: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:
-    """Unrounded frame trust (mean core trust) and suspicion (trust-weighted core value, 0 without trust).
+def core_profile(trusted: DataFrame, by: tuple[str, ...] = ("path",), *more: Column) -> DataFrame:
+    """Unrounded frame trust (mean core trust) and suspicion (trust-weighted core value, 0 without trust), and any
+    further aggregates ``more`` of the same cells.
 
     Stored values and trusts are multiples of 1e-4; summing them as whole units is exact, so a decision at a
     rounding tie does not depend on the order in which a shuffle delivers the cells."""
@@ -46,19 +47,21 @@ def core_profile(trusted: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFra
     st = F.sum(F.when(core, units4("trust")))
     sv = F.sum(F.when(core, units4("value") * units4("trust")))
     g = trusted.groupBy(*by).agg(F.count(F.when(core, 1)).alias("_k"), st.alias("_st"), sv.alias("_sv"),
-                                 F.max("cross_read").alias("verified"))
+                                 F.max("cross_read").alias("verified"), *more)
+    rest = [c for c in g.columns if c not in (*by, "_k", "_st", "_sv", "verified")]
     return g.select(*by, F.when(F.col("_k") > 0, F.col("_st") / F.col("_k") / 10000.0).otherwise(0.0).alias("_ft"),
-                    F.when(F.col("_st") > 0, F.col("_sv") / F.col("_st") / 10000.0).otherwise(0.0).alias("_su"), "verified")
+                    F.when(F.col("_st") > 0, F.col("_sv") / F.col("_st") / 10000.0).otherwise(0.0).alias("_su"), "verified", *rest)
 
 
-def curate_frames(frames: DataFrame, trusted: DataFrame, half_even: bool = False) -> DataFrame:
-    """One decision per frame that has cells."""
-    p = core_profile(trusted)
+def curate_frames(frames: DataFrame, trusted: DataFrame, half_even: bool = False, *more: Column) -> DataFrame:
+    """One decision per frame that has cells, followed by any further aggregates ``more`` of its cells."""
+    p = core_profile(trusted, ("path",), *more)
+    rest = [c for c in p.columns if c not in ("path", "_ft", "_su", "verified")]
     j = frames.join(p, "path")
     return j.select("path", "name", "dir", "label", "center", "split",
                     decide(F.col("label"), F.col("_ft"), F.col("_su")).alias("decision"),
                     round4(F.col("_ft"), half_even).alias("frame_trust"),
-                    round4(F.col("_su"), half_even).alias("suspicion"), "verified")
+                    round4(F.col("_su"), half_even).alias("suspicion"), "verified", *rest)
 
 
 def label_records(curated: DataFrame, trusted: DataFrame) -> DataFrame:

@@ -17,9 +17,9 @@ q = S.quoted
 _MODEL = S.h("mdl", "path")
 
 
-def model_scores(i):
+def model_scores(i, curated=None):
     """Detector scores of the pool: stored suspicion blended with a hash."""
-    return i.curated.select("path", (F.col("suspicion") * 0.5 + hash_byte("mdl", "path") / F.lit(512.0)).alias("score"))
+    return (i.curated if curated is None else curated).select("path", (F.col("suspicion") * 0.5 + hash_byte("mdl", "path") / F.lit(512.0)).alias("score"))
 
 
 MS = f"SELECT path, suspicion * 0.5::double + {_MODEL} / 512.0::double AS score FROM curated"
@@ -72,13 +72,14 @@ def concept_score(i):
 @query("confounded_tail_mine", """SELECT path, surface, decisive FROM cs JOIN frames USING (path) WHERE label < 0
   AND decisive < (SELECT quantile_cont(decisive, 0.5) FROM cs JOIN frames USING (path) WHERE label = 1) ORDER BY surface DESC, path LIMIT 100 OFFSET 10""", "trusted frames", {"cs": CS}, "surface decisive")
 def confounded_tail_mine(i):
-    return M.confounded_tail_mine(i.trusted, i.curated, 10, 100)
+    return M.confounded_tail_mine(i.profile, 10, 100)
 
 
 @query("model_fp_mine", "SELECT path, dir, score FROM curated JOIN ms USING (path) WHERE label < 0 AND decision = 'CONFIDENT_NEGATIVE' AND dir <> 'src3' ORDER BY score DESC, path LIMIT 80 OFFSET 5",
        "curated", {"ms": MS}, "score")
 def model_fp_mine(i):
-    return M.model_fp_mine(M.unlabeled_manifest(i.curated), model_scores(i), 5, 80, ["src3"])
+    c = i.curated
+    return M.model_fp_mine(M.unlabeled_manifest(c), model_scores(i, c), 5, 80, ["src3"])
 
 
 GATES = {"cs": CS, "ms": MS, "gated": """SELECT path, decisive, score, decisive >= (SELECT quantile_cont(decisive, 0.5) FROM cs JOIN frames USING (path) WHERE label = 1) AS a,
@@ -88,13 +89,15 @@ ARGS = dict(susp_min=0.6, model_min=0.45)
 
 @query("pseudo_positive_mine", "SELECT path, decisive, score FROM gated WHERE a AND b AND c AND d ORDER BY score DESC, path LIMIT 40", "trusted frames curated", GATES, "decisive score")
 def pseudo_positive_mine(i):
-    return M.pseudo_positive_mine(i.trusted, i.curated, M.unlabeled_manifest(i.curated), model_scores(i), 40, **ARGS)
+    p = i.profile
+    return M.pseudo_positive_mine(p, model_scores(i, p), 40, **ARGS)
 
 
 @query("gate_survivors", """SELECT count(*) AS unlabeled, count(*) FILTER (a) AS after_a, count(*) FILTER (a AND c) AS after_ac, count(*) FILTER (a AND c AND d) AS after_acd,
   count(*) FILTER (a AND b AND c AND d) AS after_acdb FROM gated""", "trusted frames curated", GATES)
 def gate_survivors(i):
-    return M.gate_survivors(i.trusted, i.curated, M.unlabeled_manifest(i.curated), model_scores(i), **ARGS)
+    p = i.profile
+    return M.gate_survivors(p, model_scores(i, p), **ARGS)
 
 
 @query("gate_redundancy", """SELECT gate, passing_others, passing_all, CASE WHEN passing_others > 0 THEN 1.0 - passing_all::double / passing_others END AS removed_share FROM (
@@ -103,7 +106,8 @@ def gate_survivors(i):
   SELECT 'gate_c', count(*) FILTER (a AND b AND d), count(*) FILTER (a AND b AND c AND d) FROM gated UNION ALL
   SELECT 'gate_d', count(*) FILTER (a AND b AND c), count(*) FILTER (a AND b AND c AND d) FROM gated)""", "trusted frames curated", GATES, "removed_share")
 def gate_redundancy(i):
-    return M.gate_redundancy(i.trusted, i.curated, M.unlabeled_manifest(i.curated), model_scores(i), **ARGS)
+    p = i.profile
+    return M.gate_redundancy(p, model_scores(i, p), **ARGS)
 
 
 MAIN = V.CURATED9

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from votelens import vocabulary as V
 from votelens.functions.scalars import half_up, hash_byte
-from votelens.operators import trust, votes
+from votelens.operators import mining, trust, votes
 from votelens.plans import sqlviews as S
 from votelens.sources import views
 
@@ -86,6 +86,11 @@ class Inputs:
     def curated(self) -> DataFrame:
         return trust.curate_frames(self.frames, self.trusted)
 
+    @property
+    def profile(self) -> DataFrame:
+        """Persisted, for mining reads it more than once; a lost executor's blocks are computed again."""
+        return mining.frame_profile(self.frames, self.trusted).persist()
+
     @property
     def trusted_x(self) -> DataFrame:
         return trust.cell_trust(self.cells, self.cross_alt)
