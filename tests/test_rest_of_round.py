@@ -12,6 +12,8 @@ from votelens.operators import curves as C
 from votelens.operators import labels as L
 from votelens.operators import models as M
 from votelens.operators import sampling as SA
+from votelens.operators import trust as TR
+from votelens.operators import votes as VO
 from votelens.session import scratch_path
 from votelens.sources import readers as RD
 from votelens.sources import writers as WR
@@ -123,18 +125,47 @@ def test_folder_with_an_invalid_label_fails(spark):
     assert got == {"d1": (False, 1), "d2": (True, 0)}
 
 
-def test_stream_reads_touched_buckets_only(spark, tmp_path):
-    """A dozen batches; a batch that touches one bucket neither reads nor rewrites another."""
-    src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    frames = spark.createDataFrame([(f"p{i}", f"p{i}", "d", -1, "c", "train") for i in range(4)], "path string, name string, dir string, label int, center string, split string")
-    (tmp_path / "in").mkdir()
-    for i in range(12):
-        (tmp_path / "in" / f"{i:03d}.json").write_text(json.dumps({"path": f"p{i % 2}", "expert": f"e{i}", "lens": 0, "concept": "blur", "raw": "1"}) + "\n")
-    MO.stream_curate(spark, src, frames, out, str(tmp_path / "state"), buckets=64, files_per_trigger=1).awaitTermination()
-    touched = {p.name for p in (tmp_path / "out" / "votes").glob("bucket=*")}
-    epochs = {p.name for p in (tmp_path / "out" / "votes").glob("bucket=*/epoch=*")}
-    per = [len(list(p.glob("epoch=*"))) for p in (tmp_path / "out" / "votes").glob("bucket=*")]
-    assert len(touched) == 2 and len(epochs) == 12 and sorted(per) == [6, 6]
+FRAME = "path string, name string, dir string, label int, center string, split string"
+
+
+def test_stream_state_replaces_stored_votes(spark, tmp_path):
+    """Fifty batches, each on every frame: no batch finds earlier votes on disk (their files are gone), a repeated vote
+    counts once, and the last rows equal those of one batch run over all votes."""
+    src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    src.mkdir()
+    frames = spark.createDataFrame([(f"p{i}", f"p{i}", "d", -1, "c", "train") for i in range(4)] + [("none", "none", "d", -1, "c", "train")], FRAME)
+    concepts = [("nodularity", ["yes", "no", "not assessable"]), ("demarcation", ["0", "1", "3", "4", "x"]), ("unknown", ["1"])]
+    votes = []
+    for batch in range(50):
+        rows = [(f"p{i}", f"e{batch}", batch % 3, c, raw[(batch + i) % len(raw)]) for i in range(4) for c, raw in concepts]
+        if batch > 0:
+            rows.append(votes[0])  # arrives again in every batch
+        (src / f"{batch:03d}.json").write_text("".join(json.dumps(dict(zip(("path", "expert", "lens", "concept", "raw"), r))) + "\n" for r in rows))
+        votes += rows if batch == 0 else rows[:-1]
+        if batch in (0, 1, 49):
+            MO.stream_curate(spark, str(src), frames, out, state, files_per_trigger=8).awaitTermination()
+            for old in src.glob("*.json"):
+                old.write_text("")  # nothing is left to be read again
+    assert not (tmp_path / "out" / "votes").exists()
+    want = TR.curate_frames(frames, TR.cell_trust(VO.aggregate_votes(spark.createDataFrame(votes, MO.VOTE_ROWS))))
+    got = MO.latest_curated(spark, out).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() == 4
+
+
+def test_stream_of_odd_votes(spark, tmp_path):
+    """Votes without a path are left out, missing experts and lenses are values of their own, an empty stream writes none."""
+    src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    src.mkdir()
+    (src / "a.json").write_text("")
+    frames = spark.createDataFrame([("p", "p", "d", 1, "c", "train")], FRAME)
+    MO.stream_curate(spark, str(src), frames, out, state).awaitTermination()
+    rows = [{"path": None, "expert": "e", "lens": 0, "concept": "nodularity", "raw": "yes"}, {"path": "p", "concept": "nodularity", "raw": "yes"},
+            {"path": "p", "expert": "e", "concept": "nodularity"}, {"path": "p", "concept": "nodularity", "raw": "no"}]
+    (src / "b.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+    MO.stream_curate(spark, str(src), frames, out, state).awaitTermination()
+    kept = spark.createDataFrame([("p", None, None, "nodularity", "yes"), ("p", "e", None, "nodularity", None)], MO.VOTE_ROWS)
+    want = TR.curate_frames(frames, TR.cell_trust(VO.aggregate_votes(kept)))
+    assert [tuple(r) for r in MO.latest_curated(spark, out).select(*want.columns).collect()] == [tuple(r) for r in want.collect()]
 
 
 @pytest.mark.parametrize("positives, wide", [(37, 4), (8, 4), (4, 4), (3, 4), (1, 4), (0, 4)])

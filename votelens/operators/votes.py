@@ -71,8 +71,12 @@ def _cell_columns(prefix: str = "") -> list[Column]:
 
 def aggregate_normalized(nv: DataFrame, by: list[str]) -> DataFrame:
     """Cells from normalised votes. Three sums per cell, so partial aggregation runs before the shuffle."""
-    g = nv.groupBy(*by, "concept", "kind").agg(*_cell_measures())
-    return g.select(*by, "concept", *_cell_columns())
+    return cells_of_sums(nv.groupBy(*by, "concept", "kind").agg(*_cell_measures()), by)
+
+
+def cells_of_sums(sums: DataFrame, by: list[str]) -> DataFrame:
+    """Cells from votes (n), assessable votes (k) and the sums of their values (s) and squares (q) per concept and kind."""
+    return sums.select(*by, "concept", *_cell_columns())
 
 
 def aggregate_votes(votes: DataFrame, by: tuple[str, ...] = ("path",)) -> DataFrame:

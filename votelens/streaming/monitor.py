@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from votelens.functions.scalars import units4
 from votelens.operators import trust as TR
@@ -47,33 +51,63 @@ def quarantine(labels: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
             .outputMode("append").trigger(availableNow=True).start())
 
 
-BUCKETS = 256
-
-
-def stream_curate(spark: SparkSession, votes_path: str, frames: DataFrame, out: str, checkpoint: str, buckets: int = BUCKETS,
+# What is kept of a frame between batches: the votes seen, and four sums for each concept it has votes on.
+SEEN = "seen array<string>, concept array<string>, n array<long>, k array<long>, s array<double>, q array<double>"
+SUMS = "path string, concept string, n long, k long, s double, q double"
+
+
+def add_votes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Adds a frame's new votes to its sums; a vote (expert, lens, concept) that was seen before counts once.
+
+    Returns the sums of all the frame's concepts, so that its decision needs nothing but this row's state. The state is
+    bounded by the votes one frame can get (its annotators times 35 concepts)."""
+    seen, sums = set(), {}
+    if state.exists:
+        kept = state.get
+        seen = set(kept[0])
+        sums = {c: list(four) for c, *four in zip(*kept[1:])}
+    for part in parts:
+        for vote, concept, value, mask in zip(part["vote"], part["concept"], part["value"], part["mask"]):
+            if vote in seen:
+                continue
+            seen.add(vote)
+            four = sums.setdefault(concept, [0, 0, 0.0, 0.0])
+            four[0] += 1
+            if mask == 1:
+                four[1] += 1
+                four[2] += value
+                four[3] += value * value
+    names = sorted(sums)
+    columns = [[sums[c][j] for c in names] for j in range(4)]
+    state.update((sorted(seen), names, *columns))
+    n, k, s, q = columns
+    yield pd.DataFrame({"path": key[0], "concept": names, "n": n, "k": k, "s": s, "q": q})
+
+
+def running_sums(votes: DataFrame) -> DataFrame:
+    """(path, concept, n, k, s, q) of every frame that a batch touches, from keyed state. Votes without a path, or on an
+    unknown concept, are left out; a missing expert or lens is a value of its own."""
+    nv = VO.normalize_votes(votes.filter(F.col("path").isNotNull()))
+    vote = F.to_json(F.struct("expert", "lens", "concept"))
+    return nv.select("path", vote.alias("vote"), "concept", "value", "mask").groupBy("path").applyInPandasWithState(
+        add_votes, SUMS, SEEN, "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_curate(spark: SparkSession, votes_path: str, frames: DataFrame, out: str, checkpoint: str,
                   files_per_trigger: int | None = None) -> StreamingQuery:
-    """Votes in, curated rows out. Votes of a frame may arrive over several batches: each batch adds its votes to
-    the stored ones and curates the frames it touched again from all of them. Votes are stored by a hash of their
-    path, and a batch reads only the buckets it touches. Batches rewrite only their own folders, so a replayed
-    batch changes nothing; :func:`latest_curated` gives the current row per frame."""
+    """Votes in, curated rows out. Votes of a frame may arrive over several batches: the stream's state holds the sums of
+    each frame and the votes seen, so a batch reads its own votes, the states it touches and ``frames``, and no earlier
+    vote. Sums of a vote's value are whole quarters, so their order cannot show. A batch rewrites only its own folder, so
+    a replayed batch changes nothing; :func:`latest_curated` gives the current row per frame."""
     r = spark.readStream.schema(VOTE_ROWS).option("recursiveFileLookup", True)
     v = (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).json(votes_path)
 
     def curate(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
-        (batch.withColumn("bucket", bucket).withColumn("epoch", F.lit(epoch)).repartition("bucket").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(f"{out}/votes"))
-        numbers = sorted(b.bucket for b in batch.select(bucket.alias("bucket")).distinct().collect())  # at most ``buckets``
-        if not numbers:
-            return
-        stored = session.read.option("basePath", f"{out}/votes").parquet(*[f"{out}/votes/bucket={b}" for b in numbers])
-        touched = stored.filter(F.col("epoch") == epoch).select("path").distinct()
-        votes = stored.join(touched, "path", "left_semi").dropDuplicates(["path", "expert", "lens", "concept"]).drop("epoch", "bucket")
-        rows = TR.curate_frames(frames, TR.cell_trust(VO.aggregate_votes(votes)))
-        rows.write.mode("overwrite").parquet(f"{out}/curated/epoch={epoch}")
-
-    return (v.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(curate).start())
+        cells = VO.cells_of_sums(VO.with_vocabulary(batch, "kind"), ["path"])
+        TR.curate_frames(frames, TR.cell_trust(cells)).write.mode("overwrite").parquet(f"{out}/curated/epoch={epoch}")
+
+    return (running_sums(v).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).foreachBatch(curate).start())
 
 
 def latest_curated(spark: SparkSession, out: str) -> DataFrame:
