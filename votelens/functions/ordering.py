@@ -15,6 +15,7 @@ from votelens.session import cut_lineage
 
 FANOUT = 16          # FANOUT**2 buckets per group
 HASH_DIGITS = 3      # 16**HASH_DIGITS hash buckets per group
+SALTS = 64           # tasks that share the rows of one hot group in attach_groups
 
 
 def _bucket(key: Column, bounds: Column, coarse: Column, fanout: int) -> Column:
@@ -85,6 +86,19 @@ def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return left.join(r, cond, how).drop(*[f"_rk_{k}" for k in keys])
 
 
+def attach_groups(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """:func:`attach` for one small row per group (or a bounded number of them), where one group may hold a third of all
+    rows of ``left``.
+
+    Each row of ``right`` stands once for every salt, and a row of ``left`` takes the salt of its partition, so a hot
+    group meets its row in ``salts`` tasks instead of one. A partition keeps its number when it is computed again, so a
+    lost executor changes no row's salt. Where ``right`` with its copies is small enough, AQE broadcasts it and the salts
+    cost nothing."""
+    salted = left.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return attach(salted, copies, [*keys, "_salt"], how).drop("_salt")
+
+
 def hash_index(df: DataFrame, by: list[str], key: str, salt: str, name: str = "idx", size: str | None = None,
                digits: int = HASH_DIGITS) -> DataFrame:
     """Dense 0-based index per group in md5(key|salt) order: a seeded shuffle that any engine can repeat.

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votelens.functions.ordering import attach, bounded_prefix_sums, exact_quantiles, ordered_index, prefix_sums, \
+from votelens.functions.ordering import attach, attach_groups, bounded_prefix_sums, exact_quantiles, ordered_index, prefix_sums, \
     tie_average_ranks
 from votelens.functions.scalars import safe_div
 
@@ -203,14 +203,14 @@ def rank01(scored: DataFrame, by: list[str] = (), score: str = "score", out: str
 def defloor(scored: DataFrame, q: float = 0.1, group: str = "center", score: str = "score") -> DataFrame:
     """Subtract each group's q-quantile from its scores."""
     floor = exact_quantiles(scored, [group], score, {"_floor": q})
-    return attach(scored, floor, [group]).select(
+    return attach_groups(scored, floor, [group]).select(
         *[c for c in scored.columns if c != score], (F.col(score) - F.col("_floor")).alias(score))
 
 
 def robust_z(scored: DataFrame, group: str = "center", score: str = "score") -> DataFrame:
     """(score - median) / inter-quartile range per group; NULL for a constant group."""
     q = exact_quantiles(scored, [group], score, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
-    d = attach(scored, q, [group])
+    d = attach_groups(scored, q, [group])
     return d.select(*scored.columns, safe_div(F.col(score) - F.col("_q2"), F.col("_q3") - F.col("_q1")).alias("z"))
 
 
@@ -225,7 +225,7 @@ def rank_fuse_sweep(scored: DataFrame, a: str, b: str, weights: list[float], q:
     out = score_metrics(e, ["w"], target).select("w", F.lit(False).alias("defloored"), "fpr_strict", "auroc")
     if q is not None:
         fl = exact_quantiles(e, ["w", group], "score", {"_floor": q})
-        e2 = attach(e, fl, ["w", group]).select("label", "w", (F.col("score") - F.col("_floor")).alias("score"))
+        e2 = attach_groups(e, fl, ["w", group]).select("label", "w", (F.col("score") - F.col("_floor")).alias("score"))
         out = out.unionByName(score_metrics(e2, ["w"], target).select(
             "w", F.lit(True).alias("defloored"), "fpr_strict", "auroc"))
     return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from votelens.functions.ordering import attach_groups
 from votelens.functions.scalars import ppv_from_fpr
 from votelens.operators.curves import score_metrics
 
@@ -36,6 +37,6 @@ def early_tail_summary(log: DataFrame) -> DataFrame:
 def pool_oof(oof: DataFrame, folds: int, by: list[str], target: float = 0.9) -> DataFrame:
     """Metrics of concatenated folds per arm; arms with a missing fold are left out."""
     full = oof.groupBy(*by).agg(F.count_distinct("fold").alias("_f")).filter(F.col("_f") == folds).select(*by)
-    m = score_metrics(oof.join(full, by, "left_semi"), by, target)
+    m = score_metrics(attach_groups(oof, full, by), by, target)
     return m.select(*by, (F.col("n_pos") + F.col("n_neg")).alias("n"), F.col("n_pos").alias("pos"), "auroc", "auprc",
                     F.col("fpr_incl").alias("fpr90"), ppv_from_fpr(F.col("fpr_incl"), target).alias("implied_ppv"))

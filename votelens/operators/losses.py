@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from votelens.functions.ordering import attach, exact_quantiles
+from votelens.functions.ordering import attach_groups, exact_quantiles
 from votelens.functions.scalars import softplus
 
 
@@ -32,7 +32,7 @@ def soft_pauc(rows: DataFrame, by: list[str] = (), q: float = 0.2, logit: str =
         pos.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")), by) if by else exact_quantiles(pos, [], logit, {"_t": q}).crossJoin(
         pos.agg(F.count(F.lit(1)).alias("_k")))
     neg = rows.filter(F.col(target) == 0)
-    j = attach(neg, t, by) if by else neg.crossJoin(F.broadcast(t))  # one threshold row
+    j = attach_groups(neg, t, by) if by else neg.crossJoin(F.broadcast(t))  # one threshold row
     g = j.groupBy(*by).agg(F.max("_k").alias("_k"), (F.sum(softplus(F.col(logit) - F.col("_t"))) / F.count(F.lit(1))).alias("_v"))
     return g.select(*by, F.when(F.col("_k") >= 2, F.col("_v")).alias("soft_pauc"))
 
@@ -47,7 +47,7 @@ def pos_neg_pairs(scored: DataFrame, k: int, group: str = "center") -> DataFrame
     neg = scored.filter(F.col("label") == 0).withColumn("hardness", F.row_number().over(w)).filter(F.col("hardness") <= k)
     neg = neg.select(group, F.col("name").alias("neg_name"), F.col("score").alias("neg_score"), "hardness")
     pos = scored.filter(F.col("label") == 1).select(group, F.col("name").alias("pos_name"), F.col("score").alias("pos_score"))
-    return attach(pos, neg, [group]).withColumn("margin", F.col("pos_score") - F.col("neg_score"))
+    return attach_groups(pos, neg, [group]).withColumn("margin", F.col("pos_score") - F.col("neg_score"))
 
 
 def _batch_rank(pos: Column, neg: Column, margin: float, k: int) -> tuple[Column, Column]:

@@ -284,7 +284,8 @@ _LG = S.h("lg", "path", "concept")
        "trusted vocab", {"pri": ROUTED}, "loss")
 def masked_bce(i):
     t = VO.with_vocabulary(i.trusted.drop("core"), "gate").withColumnRenamed("gate", "weight")
-    t = t.join(L.priors_and_posw(i.trusted), "concept").withColumn("logit", hash_byte("lg", "path", "concept") / F.lit(64.0) - 2.0)
+    # one row for each of the 35 concepts that the vocabulary lets through
+    t = t.join(F.broadcast(L.priors_and_posw(i.trusted)), "concept").withColumn("logit", hash_byte("lg", "path", "concept") / F.lit(64.0) - 2.0)
     return LO.masked_bce(t, ["concept"], certain_floor=0.5, smooth_eps=0.1, unc_w=0.1)
 
 
