@@ -7,7 +7,8 @@ is scored for every query beforehand, and the k-th best of them is a bound that
 merged by a window over k rows of each shard and query.
 
 Rows: vectors that are null or hold null or non-finite components, and rows without an id, take no part; a shorter vector has
-zeros at its end; repeated candidates are candidates each, repeated queries (id and vector equal) are one; a query never finds
+zeros at its end; repeated candidates are candidates each, of which k equal ones are kept, for no query can return more; rows
+with one id and many vectors are spread over the shards; repeated queries (id and vector equal) are one; a query never finds
 rows with its own id; ties go to the smaller id."""
 
 from __future__ import annotations
@@ -117,11 +118,14 @@ def _floors(queries: DataFrame, seeds: pa.Table, k: int) -> DataFrame:
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, seed_rows: int = SEED_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score for queries and candidates (id, vec) with whole-numbered components."""
     queries = queries.distinct()
+    # of equal rows no more than k can be among a query's k best, and rows that share an id go to different shards
+    equal = candidates.groupBy("id", "vec").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times"))
+    candidates = equal.select("id", "vec", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).drop("copy")
     shards, blocks = max(1, -(-candidates.count() // shard_rows)), max(1, -(-queries.count() // query_rows))
-    seeds = candidates.orderBy(F.xxhash64("id"), "id").limit(seed_rows).toArrow()
+    seeds = candidates.orderBy(F.xxhash64("id", "vec"), "id", "vec").limit(seed_rows).toArrow()
     asked = _floors(queries, seeds, k).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(blocks)))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("cell", F.col("shard") * blocks + F.col("block"))
-    held = (candidates.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = (candidates.withColumn("shard", F.pmod(F.xxhash64("id", "vec"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
             .select("id", "vec", (F.col("shard") * blocks + F.col("block")).alias("cell")))
 
     def search(rows: pa.Table, asked_here: pa.Table) -> pa.Table:
