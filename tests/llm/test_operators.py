@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+import zlib
 
 import brute
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from votelens.llm import balltree, bpe, decontaminate, lines, load, pii, ppm, repeats, secrets, simhash, toxicity
 
@@ -222,6 +225,21 @@ def test_ball_tree(spark, monkeypatch, sizes):
     assert set(got) == want and len(got) == len(want)
 
 
+def test_ball_tree_hot_id(spark):
+    """A third of the rows share an id, with a few vectors each repeated often and with many vectors."""
+    rng = np.random.default_rng(4)
+    whole = [(i, rng.integers(-9, 9, 6).astype(float).tolist()) for i in range(400)]
+    whole += [(7, [float(i % 3), 1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(150)] + [(7, rng.integers(-9, 9, 6).astype(float).tolist()) for _ in range(150)]
+    d = spark.createDataFrame(whole, "id long, vec array<double>").repartition(8)
+    got = balltree.top_k(d, d.filter("id % 50 = 0"), 5, 40, 1000, 4)
+    assert not any(r.query_id == r.vec_id for r in got.collect())
+    for q, v in whole[:400:50]:
+        best = sorted((-float(np.dot(v, w)), i) for i, w in whole if i != q)[:5]
+        assert [(r.vec_id, r.score) for r in got.filter(F.col("query_id") == q).orderBy("rank").collect()] == [(i, -s) for s, i in best]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(id" in plan and "least(" in plan
+
+
 def test_ball_tree_small(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert balltree.op5_search(spark.createDataFrame([], schema)).collect() == []
@@ -363,8 +381,18 @@ def test_toxicity_held_out(spark, docs_frame):
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_toxicity_one_example_for_an_id(spark, docs_frame):
+    """A labelled id that many rows repeat, with equal and with lesser texts, weighs as one."""
+    rows, labels = made_labels(100)
+    often = next(r for r in rows if r[0] % 5 == 0 and zlib.crc32(str(r[0]).encode()) % 4 != 2)
+    more = rows + [often] * 150 + [(often[0], None)] * 20 + [(often[0], "")]
+    frame = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    one, two = ({(r.doc_id, round(r.score, 9)) for r in toxicity.op10_toxicity(docs_frame(x), frame).collect()} for x in (rows, more))
+    assert one <= two and {d for d, _ in two - one} <= {often[0]}
+    assert toxicity._examples(docs_frame(more), toxicity._marked(frame, F.lit(True)), 500).count() == 100
+
+
 def test_toxicity_ignores_held_out_labels(spark, docs_frame):
-    import zlib
     rows, labels = made_labels(100)
     turned = [(d, q, 1 - t if zlib.crc32(str(d).encode()) % 4 == 2 else t) for d, q, t in labels]
     one, two = ({r.doc_id: r.score for r in toxicity.op10_toxicity(docs_frame(rows), spark.createDataFrame(x, "doc_id long, quality int, toxic int")).collect()} for x in (labels, turned))

@@ -4,9 +4,9 @@ A text's features are the distinct 3-, 4- and 5-grams of its lower-cased charact
 r_j if present, r_j being the log ratio of the bucket's share among toxic and other texts; the vector has length one, so long
 texts are not louder than short ones. A logistic head over these features is fitted to a sample whose size is a parameter.
 
-Rows: null or empty texts get the score of a text without n-grams; repeated rows get equal scores; a doc_id with several
-labels counts as toxic if one of them says so; null labels and labels without a text are left out. Without examples of both
-classes every score is the share of toxic examples, 0 if there are none. Inputs of a score: the text alone."""
+Rows: null or empty texts get the score of a text without n-grams; repeated rows get equal scores; a doc_id on several rows
+is one example, its greatest text, and counts as toxic if one of its labels says so; null labels and labels without a text
+are left out. Without examples of both classes every score is the share of toxic examples, 0 if there are none. Inputs of a score: the text alone."""
 
 from __future__ import annotations
 
@@ -78,13 +78,14 @@ def _marked(labels: DataFrame, allowed: Column) -> DataFrame:
 
 def _examples(docs: DataFrame, marked: DataFrame, rows: int) -> DataFrame:
     """(text, toxic) of up to ``rows`` labelled ids of each class, the first in hash order. Only ids are ordered; texts stay
-    where they are."""
+    where they are but for the examples'. An id on many rows is one example, which every task reduces to one row first."""
     picked = None
     for toxic in (0, 1):
         one = marked.filter(F.col("toxic") == toxic).orderBy("h", "doc_id").limit(rows)
         picked = one if picked is None else picked.unionByName(one)
     # at most 2 x rows ids: small enough for every executor
-    return id_and_text(docs).join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    return (id_and_text(docs).join(F.broadcast(picked), "doc_id").groupBy("doc_id")
+            .agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"))
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
