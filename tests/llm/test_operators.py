@@ -418,7 +418,7 @@ def test_empty_tables(spark, docs_frame, ranks):
 
 
 def test_registered():
-    assert sorted(n.split("_")[0] for n in load()[0]) == sorted(f"op{i}" for i in range(1, 11))
+    assert sorted(n.split("_")[0] for n in load()[0]) == sorted(f"op{i}" for i in range(1, 14))
 
 
 def test_pipeline(spark, sf_dir, documents, items, ranks, rows_of, in_order):
