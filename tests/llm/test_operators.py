@@ -351,6 +351,23 @@ def test_bpe_tree(ranks):
                 assert tree.encode(piece.encode()) == code.encode_ordinary(piece)
 
 
+def test_bpe_pieces_meet_in_the_tree(documents, ranks):
+    """Most pieces that are no token by themselves are joined from leaves; decoding goes up its own tree."""
+    import regex
+    tree = bpe.Tree(ranks)
+    find = regex.compile(bpe.split_pattern(public_tokenizers.PATTERN)).findall
+    several = joined = 0
+    for text in {t for _, t in documents if t}:
+        for raw in {p.encode() for p in find(text)} - ranks.keys():
+            before = tree.joins
+            assert tree.decode(tree.encode(raw)) == raw
+            several, joined = several + 1, joined + (tree.joins > before)
+    assert several and joined > several / 2
+    tokens = [bytes([i % 251]) * (i % 5) for i in range(1000)]
+    for n in (0, 1, 63, 64, 65, 200, 1000):
+        assert bpe.concatenated(tokens[:n]) == b"".join(tokens[:n])
+
+
 def test_bpe_every_character(ranks):
     import regex
     code, tree = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.Tree(ranks)

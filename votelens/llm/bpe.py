@@ -23,9 +23,13 @@ from pyspark.sql import types as T
 from votelens.llm.common import batch_of, id_and_text, slices
 
 #: Bytes that a leaf of the tree merges directly.
-LEAF = 64
-#: Pieces remembered by a task before it forgets them all.
+LEAF = 6
+#: Tokens that a leaf of the decoding tree concatenates directly.
+DECODE_LEAF = 64
+#: Pieces, seams and short encodings that a task remembers, of each kind, before it forgets them all.
 REMEMBERED = 150_000
+#: Bytes of the longest piece or window that is remembered.
+SHORT = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,17 +45,19 @@ def split_pattern(pattern: str) -> str:
 
 
 class Tree:
-    """Encodes pieces of bytes; keeps what it has learnt about stable pairs and short pieces."""
+    """Encodes pieces of bytes; keeps what it has learnt about seams, leaves and windows."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {v: k for k, v in ranks.items()}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.seams: dict[tuple[int, int], list[int]] = {}
+        self.short: dict[bytes, list[int]] = {}
+        self.joins = 0
 
     def merge(self, piece: bytes) -> list[int]:
         """Lowest rank first, leftmost among equals."""
         ranks, n = self.ranks, len(piece)
-        if n <= LEAF:
+        if n <= SHORT:
             parts = [piece[i:i + 1] for i in range(n)]
             get, none = ranks.get, 1 << 60
             near = [get(piece[i:i + 2], none) for i in range(n - 1)]
@@ -88,36 +94,63 @@ class Tree:
             i = ends[i]
         return out
 
-    def is_stable(self, a: int, b: int) -> bool:
-        known = self.stable.get((a, b))
+    def encoded(self, piece: bytes) -> list[int]:
+        """:meth:`merge` of a leaf or a window, remembered if it is short. The list is shared: callers don't change it."""
+        known = self.short.get(piece)
+        if known is None:
+            known = self.merge(piece)
+            if len(piece) <= SHORT:
+                if len(self.short) > REMEMBERED:
+                    self.short.clear()
+                self.short[piece] = known
+        return known
+
+    def seam(self, a: int, b: int) -> list[int]:
+        """The encoding of two neighbouring tokens; they are stable if it is the two themselves."""
+        known = self.seams.get((a, b))
         if known is None:
-            if len(self.stable) > REMEMBERED:
-                self.stable.clear()
-            known = self.stable[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            if len(self.seams) > REMEMBERED:
+                self.seams.clear()
+            known = self.seams[a, b] = self.merge(self.tokens[a] + self.tokens[b])
         return known
 
+    def is_stable(self, a: int, b: int) -> bool:
+        return self.seam(a, b) == [a, b]
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The monoid's operation: the encoding of both byte strings together."""
         if not left or not right:
             return left or right
+        self.joins += 1
         a = b = 1
+        window = self.seam(left[-1], right[0])
+        if window == [left[-1], right[0]]:  # pairs inside a side are stable already
+            return left + right
         while True:
-            window = self.merge(self.decode(left[-a:] + right[:b]))
             left_done = a >= len(left) or self.is_stable(left[-a - 1], window[0])
             right_done = b >= len(right) or self.is_stable(window[-1], right[b])
             if left_done and right_done:
                 return left[:max(0, len(left) - a)] + window + right[b:]
             a, b = (a if left_done else 2 * a), (b if right_done else 2 * b)
+            window = self.encoded(b"".join(map(self.tokens.__getitem__, left[-a:] + right[:b])))
 
     def encode(self, piece: bytes) -> list[int]:
         """Bottom-up over leaves, so the depth of the tree costs no recursion."""
-        level = [self.merge(piece[i:i + LEAF]) for i in range(0, len(piece), LEAF)]
+        level = [self.encoded(piece[i:i + LEAF]) for i in range(0, len(piece), LEAF)]
         while len(level) > 1:
             level = [self.join(*level[i:i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0] if level else []
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return concatenated([self.tokens[i] for i in ids])
+
+
+def concatenated(tokens: list[bytes]) -> bytes:
+    """Up the tree of decoding: leaves of a fixed number of tokens, then neighbours two by two."""
+    level = [b"".join(tokens[i:i + DECODE_LEAF]) for i in range(0, len(tokens), DECODE_LEAF)]
+    while len(level) > 1:
+        level = [b"".join(level[i:i + 2]) for i in range(0, len(level), 2)]
+    return level[0] if level else b""
 
 
 class Pieces(dict):
@@ -134,7 +167,7 @@ class Pieces(dict):
         whole = self.tree.ranks.get(raw)
         ids = [whole] if whole is not None else self.tree.encode(raw)
         packed = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(piece) <= LEAF:
+        if len(piece) <= SHORT:
             self[piece] = packed
         return packed
 
@@ -160,7 +193,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
                 for text in part.column("text").to_pylist():
                     code = b"".join(map(pieces.__getitem__, find(text)))
                     ids.append(code)
-                    texts.append(b"".join([packed[code[i:i + 4]] for i in range(0, len(code), 4)]))
+                    texts.append(concatenated([packed[code[i:i + 4]] for i in range(0, len(code), 4)]))
                 got = batch_of(schema, ids, texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *got.columns], names=["doc_id", *schema.names])
 
