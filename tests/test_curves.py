@@ -89,7 +89,7 @@ def test_prefix_sums_and_indexes(spark):
     for r in p:
         assert r["cum_n"] == sum(1 for g, v in rows if g == r["g"] and v >= r["v"]) and r["tot_n"] == sum(g == r["g"] for g, _ in rows)
     named = spark.createDataFrame([(g, v, str(i)) for i, (g, v) in enumerate(rows)], "g string, v int, name string")
-    o = ordered_index(named, ["g"], [F.col("v").asc(), F.col("name").asc()], "i", "n", 5).collect()
+    o = ordered_index(named, ["g"], ["v", "name"], "i", "n").collect()
     for g in "abc":
         mine = sorted((r for r in o if r["g"] == g), key=lambda r: r["i"])
         assert [(r["v"], r["name"]) for r in mine] == sorted((v, str(i)) for i, (x, v) in enumerate(rows) if x == g)
@@ -98,6 +98,24 @@ def test_prefix_sums_and_indexes(spark):
     assert all(sorted(r["i"] for r in h if r["g"] == g) == list(range(sum(r["g"] == g for r in h))) for g in "abc")
 
 
+def test_ordered_index_plans_lazily_and_repeats(spark, monkeypatch):
+    """Null groups and keys, a hot key and a sample smaller than the axis; no job before the action, equal rows however dealt."""
+    from votelens.functions import ordering
+    monkeypatch.setattr(ordering, "SAMPLE", 40)
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", None]), rng.choice([None, 7.0, 7.0, round(rng.random(), 2)]), f"n{i:05d}") for i in range(3000)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "ordered_index")
+    outs = [ordered_index(spark.createDataFrame(rows, "g string, v double, name string").repartition(p), ["g"], ["v", "name"], "i", "n") for p in (1, 7)]
+    assert list(tracker.getJobIdsForGroup("lazy")) == []
+    got = [{r["name"]: (r["g"], r["i"], r["n"]) for r in o.collect()} for o in outs]
+    assert got[0] == got[1] and len(got[0]) == 3000
+    for g in ("a", None):
+        mine = sorted(((v is not None, v or 0, name) for x, v, name in rows if x == g))
+        assert [got[0][name] for _, _, name in mine] == [(g, i, len(mine)) for i in range(len(mine))]
+    assert ordered_index(spark.createDataFrame([], "g string, v double"), [], ["v"]).count() == 0
+
+
 @pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.975, 1.0])
 def test_exact_quantiles(spark, q):
     rng = random.Random(3)

@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from votelens.session import cut_lineage
-
 FANOUT = 16          # FANOUT**2 buckets per group
 HASH_DIGITS = 3      # 16**HASH_DIGITS hash buckets per group
+SAMPLE = 4096        # rows of a group whose quantiles cut the axis in ordered_index
 SALTS = 64           # tasks that share the rows of one hot group in attach_groups
 
 
@@ -120,29 +119,40 @@ def hash_index(df: DataFrame, by: list[str], key: str, salt: str, name: str = "i
     return j.select(*cols)
 
 
-def ordered_index(df: DataFrame, by: list[str], order: list[Column], name: str = "idx", size: str | None = None,
-                  partitions: int | None = None) -> DataFrame:
-    """Dense 0-based index per group in an arbitrary (composite) order.
-
-    Range-partition by (group, order), number rows inside each partition, and shift by the counts of
-    the partitions before. Sampled range borders may differ between two runs of the same plan, so the
-    numbered rows are written once to the shared folder and both uses read that copy.
-    """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [F.col(b).asc_nulls_first() for b in by] + list(order)
-    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = cut_lineage(ranged)
-    ranged = (ranged.withColumn("_part", F.shiftright("_mid", 33))
-              .withColumn("_row", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))))
-    # per (group, partition): first local row and row count; at most groups + partitions rows
-    seg = ranged.groupBy(*by, "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    across = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    seg = seg.select(*by, "_part", "_first", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_o"),
-                     F.sum("_n").over(Window.partitionBy(*by)).alias("_size"))
-    j = attach(ranged, seg, by + ["_part"])
-    cols = [*df.columns, (F.col("_row") - F.col("_first") + F.col("_o")).cast("long").alias(name)]
+def ordered_index(df: DataFrame, by: list[str], order: list[str], name: str = "idx", size: str | None = None) -> DataFrame:
+    """Dense 0-based index per group in the ascending order of several columns (nulls first); nothing runs before an action.
+
+    The axis of each group is cut at quantiles of a bottom-k sample: the SAMPLE rows whose order columns hash lowest. Such a
+    sample is the same however the rows are spread or computed again, so the counts and the numbering, which cut the axis
+    separately, always agree. Tasks keep only their own lowest hashes before the shuffle. Counts per bucket are exact, their
+    offsets come from a window over at most FANOUT**2 rows per group, rows are numbered inside their bucket."""
+    n = FANOUT * FANOUT
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
+    lowest = Window.partitionBy(*by).orderBy("_h", "_key")  # a group limit: SAMPLE rows of each task and group
+    sample = (df.select(*by, key.alias("_key"), F.xxhash64(*order).alias("_h"))
+              .withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") <= SAMPLE))
+    sample = sample.groupBy(*by).agg(F.sort_array(F.collect_list("_key")).alias("_s"))
+    at = lambda i: F.try_element_at("_s", (F.floor(i * F.size("_s") / F.lit(n)) + 1).cast("int"))  # null in an empty table
+    borders = sample.select(*by, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), at).alias("_bounds")).withColumn(
+        "_coarse", F.transform(F.sequence(F.lit(1), F.lit(FANOUT - 1)), lambda i: F.element_at("_bounds", i * FANOUT)))
+    keyed = df.withColumn("_key", key)
+    for c in by:  # a null group is a group
+        borders = borders.withColumnRenamed(c, f"_b_{c}")
+    if by:
+        copies = borders.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keyed = keyed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        cond = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by] + [F.col("_salt") == F.col("_copy")]
+        cut = keyed.join(copies, cond)
+    else:
+        cut = keyed.crossJoin(F.broadcast(borders))  # one row of n keys by construction
+    cut = cut.select(*df.columns, "_key", _bucket(F.col("_key"), F.col("_bounds"), F.col("_coarse"), FANOUT).alias("_bucket"))
+    counts = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    across = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # <= n rows per group
+    offsets = counts.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bucket").alias("_b"),
+                            F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_o"), F.sum("_n").over(Window.partitionBy(*by)).alias("_size"))
+    j = cut.join(offsets, [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by] + [F.col("_bucket") == F.col("_b")])
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_key")
+    cols = [*df.columns, (F.row_number().over(inside) + F.col("_o") - 1).cast("long").alias(name)]
     if size:
         cols.append(F.col("_size").cast("long").alias(size))
     return j.select(*cols)

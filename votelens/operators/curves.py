@@ -8,6 +8,7 @@ score, and the false positives are the negatives strictly above it.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,7 +197,7 @@ def threshold_transfer(scored: DataFrame, by: list[str] = (), group: str = "cent
 def rank01(scored: DataFrame, by: list[str] = (), score: str = "score", out: str = "rank01") -> DataFrame:
     """Ordinal rank scaled to [0, 1]; equal scores rank by name."""
     by = list(by)
-    d = ordered_index(scored, by, [F.col(score).asc(), F.col("name").asc()], "_i", "_n")
+    d = ordered_index(scored, by, [score, "name"], "_i", "_n")
     return d.select(*scored.columns, (F.col("_i") / F.greatest(F.col("_n") - 1, F.lit(1))).alias(out))
 
 
@@ -216,9 +217,16 @@ def robust_z(scored: DataFrame, group: str = "center", score: str = "score") ->
 
 def rank_fuse_sweep(scored: DataFrame, a: str, b: str, weights: list[float], q: float | None = None,
                     group: str = "center", target: float = 0.9) -> DataFrame:
-    """w * rank01(a) + (1 - w) * rank01(b) over a weight grid, optionally de-floored per group and weight."""
-    r = rank01(scored, [], a, "_ra").select("name", "label", group, b, "_ra")
-    r = rank01(r, [], b, "_rb").select("name", "label", group, "_ra", "_rb")
+    """w * rank01(a) + (1 - w) * rank01(b) over a weight grid, optionally de-floored per group and weight. ``name`` is unique.
+
+    Both members are numbered in one pass over (member, score, name) and meet again by name. The ranks are kept by the
+    session's executors (and computed again where one is lost), because floors and metrics both read them."""
+    members = F.array(*[F.struct(F.lit(m).alias("_m"), F.col(c).cast("double").alias("_s")) for m, c in (("a", a), ("b", b))])
+    long = scored.select("name", "label", group, F.explode(members).alias("_e")).select("name", "label", group, "_e.*")
+    ranked = rank01(long, ["_m"], "_s", "_r")
+    r = ranked.groupBy("name", "label", group).agg(F.max(F.when(F.col("_m") == "a", F.col("_r"))).alias("_ra"),
+                                                   F.max(F.when(F.col("_m") == "b", F.col("_r"))).alias("_rb"))
+    r = r.persist(StorageLevel.DISK_ONLY)
     grid = F.array(*[F.lit(float(w)) for w in weights])
     e = r.select("name", "label", group, F.explode(grid).alias("w"), "_ra", "_rb").select(
         "name", "label", group, "w", (F.col("w") * F.col("_ra") + (1.0 - F.col("w")) * F.col("_rb")).alias("score"))
@@ -234,7 +242,7 @@ def rank_fuse_sweep(scored: DataFrame, a: str, b: str, weights: list[float], q:
 def stratified_folds(frames: DataFrame, k: int, strata: list[str] = ("label", "center"),
                      order: str = "path") -> DataFrame:
     """Fold = position within the stratum in path order, modulo k."""
-    d = ordered_index(frames, list(strata), [F.col(order).asc()], "_i")
+    d = ordered_index(frames, list(strata), [order], "_i")
     return d.select(*frames.columns, F.pmod(F.col("_i"), F.lit(k)).cast("int").alias("fold"))
 
 
