@@ -62,6 +62,30 @@ def mutual_information(i):
     return A.mutual_information(i.lcells)
 
 
+def _psi(x):
+    y, z = f"(({x})::double + 6.0::double)", f"(1.0::double / ((({x})::double + 6.0::double) * (({x})::double + 6.0::double)))"
+    steps = " ".join(f"- 1.0::double / (({x})::double + {i})" for i in range(6))
+    return (f"(ln({y}) - 0.5::double / {y} - {z} * (1 / 12.0::double - {z} * (1 / 120.0::double - {z} * (1 / 252.0::double - {z} / 240.0::double))) {steps})")
+
+
+NEAREST_MI = f"""SELECT concept, count(*) AS cells, greatest(0.0::double, {_psi('count(*)')} + avg({_psi('least(3, n - 1)')} - {_psi('n')} - {_psi('m')})) AS mi FROM (
+  SELECT concept, n, count(*) OVER (PARTITION BY concept ORDER BY pos RANGE BETWEEN r PRECEDING AND r FOLLOWING) AS m FROM (
+    SELECT concept, n, pos, greatest(CASE WHEN n <= 3 THEN greatest(pos - first, last - pos) ELSE least(
+        CASE WHEN a3 IS NOT NULL THEN a3 - pos END, CASE WHEN b1 IS NOT NULL AND a2 IS NOT NULL THEN greatest(pos - b1, a2 - pos) END,
+        CASE WHEN b2 IS NOT NULL AND a1 IS NOT NULL THEN greatest(pos - b2, a1 - pos) END, CASE WHEN b3 IS NOT NULL THEN pos - b3 END) END, 1) - 1 AS r FROM (
+      SELECT *, {', '.join(f'lag(pos, {j}) OVER w AS b{j}, lead(pos, {j}) OVER w AS a{j}' for j in (1, 2, 3))},
+        count(*) OVER g AS n, min(pos) OVER g AS first, max(pos) OVER g AS last FROM (
+        SELECT concept, label, path, cast(floor(c::double * 1000000.0::double + 0.5::double) as bigint) * 4294967296
+          + cast('0x' || substr(md5(concat_ws('|', path, concept, 'mi')), 1, 8) as bigint) AS pos FROM lcells WHERE c IS NOT NULL)
+      WINDOW w AS (PARTITION BY concept, label ORDER BY pos, path), g AS (PARTITION BY concept, label))
+    WHERE n > 1)) GROUP BY concept"""
+
+
+@query("nearest_mutual_information", NEAREST_MI, "lcells", r="mi")
+def nearest_mutual_information(i):
+    return A.nearest_mutual_information(i.lcells)
+
+
 @query("ordered_report", f"SELECT concept, mi, auroc, rk FROM (SELECT m.concept, mi, auroc, row_number() OVER (ORDER BY {S.rd('mi', 9)} DESC, {S.rd('auroc', 9)} DESC, m.concept) AS rk "
        "FROM mi JOIN m USING (concept))", "lcells", {"mi": MI, "m": auc("lcells", "concept")}, "mi auroc")
 def ordered_report(i):
