@@ -1,9 +1,10 @@
 """Bootstrap statistics from counts: no draw is a row, and no replicate reads the pool again.
 
-Draws are integer hashes of (stratum, replicate, draw), so they are reproducible and independent of partitioning. A task takes a block
-of replicates and a chunk of one stratum's draws, counts in numpy how often each place of the pool is hit, and hands on those counts
+Draws are integer hashes of (stratum, replicate, draw), so they are reproducible and independent of partitioning. A task takes a few
+replicates of one stratum and a window of its places, counts in numpy how often each place is hit by all draws, and hands on those counts
 by cell (``CELL`` neighbouring places). A cell meets its pool rows once and turns them into packed counts: one row for each distinct
-(label, scores) and block of replicates, whose binary column holds one number per replicate.
+(label, scores) and block of replicates, whose binary column holds one number per replicate. Counts travel with two bits each, those
+of three and more with a byte on top: a bootstrap's counts hold about that much information, where a draw's place takes 16 bits.
 
 Metrics need the curve of every replicate. The score axis is cut into buckets of about ``BUCKET_ROWS`` pool rows by exact prefix sums;
 each bucket adds up its counts, a scan over at most ``BUCKETS`` bucket totals gives every bucket what lies above it, and a second look at
@@ -29,12 +30,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Replicates whose counts share a row.
 REP_BLOCK = 128
-#: Places of the pool that one cell holds, and pools up to this size are counted without sorting.
-CELL, DENSE = 1 << 14, 1 << 18
-#: Draws of one replicate that are hashed at once.
-CHUNK = 1 << 20
+#: Places of the pool that one cell holds, and pools up to this size are counted chunk by chunk into a whole array.
+CELL, DENSE = 1 << 15, 1 << 16
+#: Draws of one replicate that are hashed at once; more would leave the processor's cache.
+CHUNK = 1 << 16
+#: Counters a task holds at once: replicates times places. A larger pool is counted window by window, its draws hashed for each.
+WINDOW = 1 << 24
 #: Pool rows of a bucket of the score axis at least, and buckets at most.
-BUCKET_ROWS, BUCKETS = 1 << 14, 1024
+BUCKET_ROWS, BUCKETS = 1 << 13, 1 << 13
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,73 +59,140 @@ def draw_indexes(lanes: tuple[int, int], rep: int, first: int, count: int, size:
     return (b * 2097152 + (_mix(b ^ q) & 2097151)) % size
 
 
-def _cells_of(lanes: tuple[int, int], reps: range, first: int, count: int, size: int, seed: int):
-    """(cell, counts): for each cell that is hit, (replicate, place) pairs of the chunk's draws, counted and packed."""
-    d = np.arange(first, first + count, dtype=np.int64)
-    mixed = _mix(d & MASK32)
-    width = -(-size // CELL)
-    if size <= DENSE:
-        hits = np.stack([np.bincount(draw_indexes(lanes, r, first, count, size, seed, mixed), minlength=size) for r in reps])
-        for c in range(width):
-            part = hits[:, c * CELL:(c + 1) * CELL]
-            if part.any():
-                yield c, b"d" + _packed(part)
-        return
-    order = [np.sort(draw_indexes(lanes, r, first, count, size, seed, mixed)) for r in reps]
-    cuts = np.stack([np.searchsorted(o, np.arange(width + 1) * CELL) for o in order])
-    for c in np.flatnonzero((cuts[:, 1:] > cuts[:, :-1]).any(axis=0)).tolist():
-        sizes = (cuts[:, c + 1] - cuts[:, c]).astype(np.int32)
-        places = np.concatenate([o[a:b] - c * CELL for o, a, b in zip(order, cuts[:, c], cuts[:, c + 1])]).astype(np.uint16)
-        yield c, b"s" + sizes.tobytes() + places.tobytes()
-
-
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts as bytes if they fit, else as 32-bit numbers."""
-    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32).tobytes()
+def _counted(lanes: tuple[int, int], reps: range, draws: int, size: int, seed: int, start: int, stop: int) -> np.ndarray:
+    """(replicate, place) counts of all draws that hit the places start..stop-1."""
+    counts = np.zeros((len(reps), stop - start), np.int32)
+    for first in range(0, draws, CHUNK):
+        d = np.arange(first, min(first + CHUNK, draws), dtype=np.int64)
+        mixed = _mix(d & MASK32)
+        for row, r in zip(counts, reps):
+            at = draw_indexes(lanes, r, first, len(d), size, seed, mixed)
+            if stop - start < size:
+                at = at[(at >= start) & (at < stop)] - start
+            if len(row) <= DENSE:
+                row += np.bincount(at, minlength=len(row)).astype(np.int32)
+            else:
+                np.add.at(row, at, np.int32(1))
+    return counts
+
+
+def _hit_cells(counts: np.ndarray):
+    """(cell, counts) of each cell that is hit, packed: as hit places where they are few, else by :func:`_pack`."""
+    reps = len(counts)
+    for c in range(-(-counts.shape[1] // CELL)):
+        part = counts[:, c * CELL:(c + 1) * CELL]
+        sizes = part.sum(axis=1, dtype=np.int64)
+        if not (total := int(sizes.sum())):
+            continue
+        if 8 * total + 16 * reps < part.size:
+            r, places = np.nonzero(part)
+            yield c, b"s" + sizes.astype(np.int32).tobytes() + np.repeat(places, part[r, places]).astype(np.uint16).tobytes()
+        else:
+            yield c, (b"d" if part.max() < 256 else b"D") + _pack(part)[0].tobytes()
+
+
+def _dense(payload: bytes, reps: int, width: int) -> np.ndarray:
+    """What ``_hit_cells`` packed, as counts by (replicate, place)."""
+    if payload[:1] != b"s":
+        held, offsets, fixed = np.frombuffer(payload, np.uint8, -1, 1), np.zeros(reps + 1, np.int64), -(-width // 4)
+        for i in range(reps):
+            more = np.count_nonzero(_QUADS[held[offsets[i]:offsets[i] + fixed]] == 3)
+            offsets[i + 1] = offsets[i] + fixed + more * (1 if payload[:1] == b"d" else 4)
+        return _unpack(held, offsets, reps, width)
+    sizes = np.frombuffer(payload, np.int32, reps, 1)
+    places = np.frombuffer(payload, np.uint16, -1, 1 + 4 * reps).astype(np.int64)
+    return np.bincount(np.repeat(np.arange(reps), sizes) * width + places, minlength=reps * width).reshape(reps, width)
+
+
+#: The four counts of a byte.
+_QUADS = np.stack([np.arange(256) >> s & 3 for s in (0, 2, 4, 6)], axis=1).astype(np.uint8)
+
+
+def _pack(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of counts as bytes, and the offsets of the rows. A row holds two bits for each count, where 3 stands for three and more;
+    then those counts, a byte each, or four bytes each if one of the rows has a count above 255."""
+    n, slots = counts.shape
+    low = np.zeros((n, -(-slots // 4) * 4), np.uint8)
+    low[:, :slots] = np.minimum(counts, 3)
+    fixed = low[:, 0::4] | low[:, 1::4] << 2 | low[:, 2::4] << 4 | low[:, 3::4] << 6
+    more = low[:, :slots] == 3
+    extra = counts[more]
+    extra = extra.astype(np.uint8 if extra.max(initial=0) < 256 else np.int32)
+    offsets = np.zeros(n + 1, np.int32)
+    np.cumsum(fixed.shape[1] + extra.itemsize * more.sum(axis=1), out=offsets[1:])
+    out, here = np.empty(offsets[-1], np.uint8), _fixed_places(offsets, fixed.shape[1])
+    rest = np.ones(len(out), bool)
+    rest[here] = False
+    out[here] = fixed
+    out[rest] = extra.view(np.uint8)
+    return out, offsets
+
+
+def _fixed_places(offsets: np.ndarray, width: int) -> np.ndarray:
+    return offsets[:-1, None].astype(np.int64) + np.arange(width)
+
+
+def _unpack(held: np.ndarray, offsets: np.ndarray, n: int, slots: int) -> np.ndarray:
+    """Counts by (row, slot) of what :func:`_pack` made."""
+    width = -(-slots // 4)
+    here = _fixed_places(offsets, width)
+    low = _QUADS[held[here]].reshape(n, width * 4)[:, :slots]
+    rest = np.ones(len(held), bool)
+    rest[here] = False
+    extra, more = held[rest], low == 3
+    if len(extra) == np.count_nonzero(more):
+        low = np.ascontiguousarray(low)
+    else:
+        extra, low = extra.view(np.int32), low.astype(np.int64)
+    low[more] = extra
+    return low
 
 
 def _packed_rows(counts: np.ndarray) -> pa.Array:
-    """One binary value for each row of counts, see :func:`_packed`."""
+    """One binary value for each row of counts, see :func:`_pack`; rows with counts above 255 are packed by themselves."""
     big = counts.max(axis=1, initial=0) > 255
     if big.any():
-        return pa.array([_packed(row) for row in counts], pa.binary())
-    offsets = np.arange(len(counts) + 1, dtype=np.int32) * counts.shape[1]
-    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(counts, np.uint8))])
+        return pa.array([_pack(row[None])[0].tobytes() for row in counts], pa.binary())
+    held, offsets = _pack(counts)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
 
 
 def _unpacked(held: bytes, slots: int) -> np.ndarray:
-    return np.frombuffer(held, np.uint8 if len(held) == slots else np.int32).astype(np.int64)
-
-
-def _dense(payload: bytes, reps: int, width: int) -> np.ndarray:
-    """What ``_cells_of`` packed, as counts by (replicate, place)."""
-    if payload[:1] == b"d":
-        return _unpacked(payload[1:], reps * width).reshape(reps, width)
-    sizes = np.frombuffer(payload, np.int32, reps, 1)
-    places = np.frombuffer(payload, np.uint16, -1, 1 + 4 * reps).astype(np.int64)
-    return np.bincount(np.repeat(np.arange(reps), sizes) * width + places, minlength=reps * width).reshape(reps, width)
+    return _unpack(np.frombuffer(held, np.uint8), np.array([0, len(held)]), 1, slots)[0].astype(np.int64)
 
 
 def _hits(plan: DataFrame, reps: int, seed: int) -> DataFrame:
-    """skey, cell, width, rb, hits: for every stratum (skey, digest, size, draws) the packed counts of each cell and block."""
+    """skey, cell, width, rb, rep, n, hits: for every stratum (skey, digest, size, draws) the packed counts of each cell and of the
+    replicates rep..rep+n-1, which are of one block. The rows of a task hold at most WINDOW counters."""
     spark = plan.sparkSession
-    ints = lambda n: F.sequence(F.lit(0).cast("long"), n.cast("long"))
-    work = plan.filter((F.col("draws") > 0) & (F.col("size") > 0)).withColumn("rb", F.explode(ints(F.lit((reps - 1) // REP_BLOCK))))
-    work = work.withColumn("chunk", F.explode(ints(F.floor((F.col("draws") - 1) / CHUNK))))
+    long = lambda x: F.lit(x).cast("long")
+    work = plan.filter((F.col("draws") > 0) & (F.col("size") > 0)).withColumn("rb", F.explode(F.sequence(long(0), long((reps - 1) // REP_BLOCK))))
+    span = F.least(long(REP_BLOCK), F.greatest(long(1), F.floor(F.lit(WINDOW) / F.col("size"))))
+    last = F.least(long(reps), (F.col("rb") + 1) * REP_BLOCK)
+    work = work.withColumn("span", span).withColumn("rep", F.explode(F.sequence(F.col("rb") * REP_BLOCK, last - 1, F.col("span"))))
+    work = work.withColumn("n", F.least(F.col("span"), last - F.col("rep"))).withColumn("part", F.explode(F.sequence(long(0), F.floor((F.col("size") - 1) / F.lit(WINDOW)))))
     # rows are few and each is much work: an explicit count keeps them apart
-    work = work.select("skey", "digest", "size", "draws", "rb", "chunk").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "skey", "rb", "chunk")
+    work = work.select("skey", "digest", "size", "draws", "rb", "rep", "n", "part").repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "skey", "rep", "part")
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 lanes = (int(row["digest"][:8], 16), int(row["digest"][8:16], 16))
-                first = row["chunk"] * CHUNK
-                mine = range(row["rb"] * REP_BLOCK, min(reps, (row["rb"] + 1) * REP_BLOCK))
-                for cell, hits in _cells_of(lanes, mine, first, min(CHUNK, row["draws"] - first), row["size"], seed):
-                    yield pa.RecordBatch.from_arrays([pa.array([row["skey"]]), pa.array([cell], pa.int64()), pa.array([min(CELL, row["size"] - cell * CELL)], pa.int64()),
-                                                      pa.array([row["rb"]], pa.int64()), pa.array([hits], pa.binary())], names=["skey", "cell", "width", "rb", "hits"])
-
-    return work.mapInArrow(run, "skey string, cell long, width long, rb long, hits binary")
+                start = row["part"] * WINDOW
+                mine = range(row["rep"], row["rep"] + row["n"])
+                out, held = [], 0
+                for cell, hits in _hit_cells(_counted(lanes, mine, row["draws"], row["size"], seed, start, min(row["size"], start + WINDOW))):
+                    cell += start // CELL
+                    out.append({"skey": row["skey"], "cell": cell, "width": min(CELL, row["size"] - cell * CELL), "rb": row["rb"], "rep": row["rep"], "n": row["n"], "hits": hits})
+                    held += len(hits)
+                    if held > 1 << 21:
+                        yield pa.RecordBatch.from_pylist(out, shape)
+                        out, held = [], 0
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, shape)
+
+    shape = pa.schema([("skey", pa.string()), *[(c, pa.int64()) for c in ("cell", "width", "rb", "rep", "n")], ("hits", pa.binary())])
+    return work.mapInArrow(run, "skey string, cell long, width long, rb long, rep long, n long, hits binary")
 
 
 def draw_counts(pool: DataFrame, plan: DataFrame, reps: int, seed: int) -> DataFrame:
@@ -134,26 +204,24 @@ def draw_counts(pool: DataFrame, plan: DataFrame, reps: int, seed: int) -> DataF
     schema = ", ".join([f"{c} {pool.schema[c].dataType.simpleString()}" for c in keep] + ["rb long", "w binary"])
 
     def run(rows: pa.Table, hits: pa.Table) -> pa.Table:
-        held: dict[int, np.ndarray] = {}
-        for i in range(len(hits)):
-            rb, width = hits.column("rb")[i].as_py(), hits.column("width")[i].as_py()
-            counts = _dense(hits.column("hits")[i].as_py(), _slots(rb, reps), width)
-            held[rb] = held[rb] + counts if rb in held else counts
-        kept = rows.select(keep)
-        groups = kept.append_column("_n", pa.array(np.arange(len(rows)))).group_by(keep).aggregate([("_n", "list")]) if len(rows) else kept
-        out = []
-        if len(rows):
+        kept, out = rows.select(keep), []
+        if len(rows) and len(hits):
+            groups = kept.append_column("_n", pa.array(np.arange(len(rows)))).group_by(keep).aggregate([("_n", "list")])
             places = rows.column("idx").to_numpy() % CELL
             lists = groups.column("_n_list").combine_chunks()
             order, starts = places[lists.flatten().to_numpy()], lists.offsets.to_numpy()[:-1]
-            for rb, counts in held.items():
+            blocks, width = hits.column("rb").to_numpy(), hits.column("width")[0].as_py()
+            for rb in np.unique(blocks).tolist():  # one block of replicates is held at a time
+                counts = np.zeros((_slots(rb, reps), width), np.int32)
+                for i in np.flatnonzero(blocks == rb).tolist():
+                    at, n = hits.column("rep")[i].as_py() - rb * REP_BLOCK, hits.column("n")[i].as_py()
+                    counts[at:at + n] += _dense(hits.column("hits")[i].as_py(), n, width).astype(np.int32)
                 w = np.add.reduceat(counts[:, order], starts, axis=1).T
                 some = np.flatnonzero(w.any(axis=1))
                 part = groups.select(keep).take(pa.array(some))
-                part = part.append_column("rb", pa.array(np.full(len(some), rb))).append_column("w", _packed_rows(w[some]))
-                out.append(part)
+                out.append(part.append_column("rb", pa.array(np.full(len(some), rb))).append_column("w", _packed_rows(w[some])))
         blank = pa.table({**{c: rows.column(c).slice(0, 0) for c in keep}, "rb": pa.array([], pa.int64()), "w": pa.array([], pa.binary())})
-        return pa.concat_tables(out).combine_chunks() if out else blank
+        return pa.concat_tables(out) if out else blank
 
     cells = pool.withColumn("cell", F.floor(F.col("idx") / CELL))
     return cells.groupBy("skey", "cell").cogroup(_hits(plan, reps, seed).groupBy("skey", "cell")).applyInArrow(run, schema)
@@ -166,12 +234,19 @@ def _slots(rb: int, reps: int) -> int:
 def _matrix(rows: pa.Table, slots: int) -> np.ndarray:
     """(row, replicate) counts: what was drawn, or the same ``base`` in every replicate where there is no w."""
     w = rows.column("w").combine_chunks()
-    if not w.null_count and (np.diff(offsets := np.frombuffer(w.buffers()[1], np.int32)[w.offset:w.offset + len(w) + 1]) == slots).all():
-        return np.frombuffer(w.buffers()[2], np.uint8, slots * len(w), int(offsets[0])).reshape(len(w), slots) if len(w) else np.zeros((0, slots), np.int64)
-    out = np.empty((len(rows), slots), np.int64)
-    base = rows.column("base").to_numpy() if "base" in rows.column_names else np.zeros(len(rows), np.int64)
-    for i, x in enumerate(w.to_pylist()):
-        out[i] = base[i] if x is None else _unpacked(x, slots)
+    drawn = w.drop_null()
+    offsets = np.frombuffer(drawn.buffers()[1], np.int32)[drawn.offset:drawn.offset + len(drawn) + 1] if len(drawn) else np.zeros(1, np.int32)
+    held = np.frombuffer(drawn.buffers()[2], np.uint8)[offsets[0]:offsets[-1]] if len(drawn) else np.zeros(0, np.uint8)
+    try:
+        counts = _unpack(held, offsets - offsets[0], len(drawn), slots)
+    except ValueError:  # rows with counts of one byte beside rows with counts of four
+        counts = np.stack([_unpacked(x, slots) for x in drawn.to_pylist()])
+    if not w.null_count:
+        return counts
+    out = np.empty((len(w), slots), np.int64)
+    none = w.is_null().to_numpy(zero_copy_only=False)
+    out[none] = rows.column("base").to_numpy()[none, None]
+    out[~none] = counts
     return out
 
 
