@@ -124,7 +124,8 @@ def ordered_index(df: DataFrame, by: list[str], order: list[str], name: str = "i
 
     The axis of each group is cut at quantiles of a bottom-k sample: the SAMPLE rows whose order columns hash lowest. Such a
     sample is the same however the rows are spread or computed again, so the counts and the numbering, which cut the axis
-    separately, always agree. Tasks keep only their own lowest hashes before the shuffle. Counts per bucket are exact, their
+    separately, always agree. Tasks keep only their own lowest hashes before the shuffle. A row is led to its bucket in two steps
+    of FANOUT - 1 border columns each: no row ever carries all borders. Counts per bucket are exact, their
     offsets come from a window over at most FANOUT**2 rows per group, rows are numbered inside their bucket."""
     n = FANOUT * FANOUT
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
@@ -133,19 +134,25 @@ def ordered_index(df: DataFrame, by: list[str], order: list[str], name: str = "i
               .withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") <= SAMPLE))
     sample = sample.groupBy(*by).agg(F.sort_array(F.collect_list("_key")).alias("_s"))
     at = lambda i: F.try_element_at("_s", (F.floor(i * F.size("_s") / F.lit(n)) + 1).cast("int"))  # null in an empty table
-    borders = sample.select(*by, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), at).alias("_bounds")).withColumn(
-        "_coarse", F.transform(F.sequence(F.lit(1), F.lit(FANOUT - 1)), lambda i: F.element_at("_bounds", i * FANOUT)))
-    keyed = df.withColumn("_key", key)
-    for c in by:  # a null group is a group
-        borders = borders.withColumnRenamed(c, f"_b_{c}")
-    if by:
-        copies = borders.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keyed = keyed.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-        cond = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by] + [F.col("_salt") == F.col("_copy")]
-        cut = keyed.join(copies, cond)
-    else:
-        cut = keyed.crossJoin(F.broadcast(borders))  # one row of n keys by construction
-    cut = cut.select(*df.columns, "_key", _bucket(F.col("_key"), F.col("_bounds"), F.col("_coarse"), FANOUT).alias("_bucket"))
+    steps = range(1, FANOUT)
+    # a row meets FANOUT - 1 borders, then the FANOUT - 1 borders within its stretch, each a plain column
+    coarse = sample.select(*by, *[at(F.lit(i * FANOUT)).alias(f"_e{i}") for i in steps])
+    fine = sample.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(FANOUT - 1))))
+    fine = fine.select(*by, "_part", *[at(F.col("_part") * FANOUT + i).alias(f"_e{i}") for i in steps])
+    cut = df.withColumn("_key", key)
+    for right, keys, number, salts in ((coarse, by, "_c", SALTS), (fine, [*by, "_part"], "_f", SALTS // FANOUT)):
+        if by:  # a null group is a group
+            right = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            cut = cut.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        for c in by:
+            right = right.withColumnRenamed(c, f"_b_{c}")
+        cond = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by] + ([F.col("_salt") == F.col("_copy")] if by else [])
+        cond += [F.col("_c") == F.col("_part")] if "_part" in keys else []
+        right = right if by else F.broadcast(right)  # one row, then FANOUT rows by construction
+        cut = cut.join(right, cond) if cond else cut.crossJoin(right)
+        passed = sum((F.coalesce((F.col(f"_e{i}") <= F.col("_key")).cast("int"), F.lit(0)) for i in steps), F.lit(0))
+        cut = cut.select(*df.columns, "_key", *(["_c"] if "_part" in keys else []), passed.alias(number))
+    cut = cut.withColumn("_bucket", F.col("_c") * FANOUT + F.col("_f")).drop("_c", "_f")
     counts = cut.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     across = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # <= n rows per group
     offsets = counts.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bucket").alias("_b"),
