@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 FANOUT = 16          # FANOUT**2 buckets per group
 HASH_DIGITS = 3      # 16**HASH_DIGITS hash buckets per group
-SAMPLE = 4096        # rows of a group whose quantiles cut the axis in ordered_index
+SAMPLE = 4096        # rows of a group whose quantiles cut the axis in ordered_index, taken
+LANES = 8            # from so many parts by hash: Spark limits a group within a task up to 1000 rows only
 SALTS = 64           # tasks that share the rows of one hot group in attach_groups
 
 
@@ -122,16 +123,16 @@ def hash_index(df: DataFrame, by: list[str], key: str, salt: str, name: str = "i
 def ordered_index(df: DataFrame, by: list[str], order: list[str], name: str = "idx", size: str | None = None) -> DataFrame:
     """Dense 0-based index per group in the ascending order of several columns (nulls first); nothing runs before an action.
 
-    The axis of each group is cut at quantiles of a bottom-k sample: the SAMPLE rows whose order columns hash lowest. Such a
+    The axis of each group is cut at quantiles of a bottom-k sample: the rows whose order columns hash lowest in each lane. Such a
     sample is the same however the rows are spread or computed again, so the counts and the numbering, which cut the axis
     separately, always agree. Tasks keep only their own lowest hashes before the shuffle. A row is led to its bucket in two steps
     of FANOUT - 1 border columns each: no row ever carries all borders. Counts per bucket are exact, their
     offsets come from a window over at most FANOUT**2 rows per group, rows are numbered inside their bucket."""
     n = FANOUT * FANOUT
     key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)])
-    lowest = Window.partitionBy(*by).orderBy("_h", "_key")  # a group limit: SAMPLE rows of each task and group
-    sample = (df.select(*by, key.alias("_key"), F.xxhash64(*order).alias("_h"))
-              .withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") <= SAMPLE))
+    lowest = Window.partitionBy(*by, "_lane").orderBy("_h", "_key")  # a group limit: SAMPLE rows of each task and group
+    sample = df.select(*by, key.alias("_key"), F.xxhash64(*order).alias("_h")).withColumn("_lane", F.pmod("_h", F.lit(LANES)))
+    sample = sample.withColumn("_r", F.row_number().over(lowest)).filter(F.col("_r") <= SAMPLE // LANES)
     sample = sample.groupBy(*by).agg(F.sort_array(F.collect_list("_key")).alias("_s"))
     at = lambda i: F.try_element_at("_s", (F.floor(i * F.size("_s") / F.lit(n)) + 1).cast("int"))  # null in an empty table
     steps = range(1, FANOUT)
