@@ -196,7 +196,7 @@ def score_tail_profile(i):
   quantile_cont(suspicion, 0.5) AS median_score FROM curated, m WHERE label < 0 GROUP BY decision""", "curated",
        {"m": S.metrics_of(S.curve_of("curated", "", "suspicion"))}, "pct_above median_score")
 def above_threshold_share(i):
-    c = i.curated.withColumnRenamed("suspicion", "score")
+    c = i.curated.select("label", "decision", F.col("suspicion").alias("score")).persist()  # threshold, median and shares read it
     return C.above_threshold_share(c.filter("label >= 0"), c.filter("label < 0"), "decision")
 
 
