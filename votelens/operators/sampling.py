@@ -59,8 +59,10 @@ def sureness(cells: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def select_anchors(cells: DataFrame, frames: DataFrame, n_pos: int = 2, n_neg: int = 3, n_hard: int = 1) -> DataFrame:
-    """Surest positives, the most suspicious of the surer-than-median negatives, then the surest negatives."""
-    s = sureness(cells, frames)
+    """Surest positives, the most suspicious of the surer-than-median negatives, then the surest negatives.
+
+    The labelled frames' values are persisted, for median and picks read them; a lost executor's blocks are computed again."""
+    s = sureness(cells, frames).persist()
     neg = s.filter(F.col("label") == 0)
     med = exact_quantiles(neg, [], "sureness", {"_med": 0.5})
     pos = s.filter(F.col("label") == 1).orderBy(F.col("sureness").desc(), "path").limit(n_pos)
