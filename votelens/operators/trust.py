@@ -64,11 +64,22 @@ def curate_frames(frames: DataFrame, trusted: DataFrame, half_even: bool = False
                     round4(F.col("_su"), half_even).alias("suspicion"), "verified", *rest)
 
 
+def _concept_map() -> Column:
+    return F.map_from_entries(F.collect_list(F.struct("concept", F.struct("value", "trust", "supervise")))).alias("concepts")
+
+
 def label_records(curated: DataFrame, trusted: DataFrame) -> DataFrame:
     """The nested label record: a map of at most 35 concept structs per frame."""
-    m = trusted.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct(
-        "concept", F.struct("value", "trust", "supervise")))).alias("concepts"))
-    return curated.join(m, "path").select(
+    return _record_columns(curated.join(trusted.groupBy("path").agg(_concept_map()), "path"))
+
+
+def curated_records(frames: DataFrame, trusted: DataFrame) -> DataFrame:
+    """:func:`label_records` of the frames' own decisions: both come from one aggregation, so the cells are computed once."""
+    return _record_columns(curate_frames(frames, trusted, False, _concept_map()))
+
+
+def _record_columns(d: DataFrame) -> DataFrame:
+    return d.select(
         F.concat(F.lit("images/"), F.col("name"), F.lit(".jpg")).alias("image"), "name", "split", "label", "center",
         "decision", "frame_trust", "suspicion", "verified", "concepts", "path", "dir")
 

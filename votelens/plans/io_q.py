@@ -12,7 +12,7 @@ from votelens.sources import writers as WR
 
 
 def records(i):
-    return TR.label_records(i.curated, i.trusted)
+    return i.records
 
 
 def written_labels(i):

@@ -14,7 +14,7 @@ from votelens.plans.registry import query
 
 def damaged(i):
     """Label records as text with one kind of damage in some of them (chosen by a hash of the name)."""
-    rec = TR.label_records(i.curated, i.trusted)
+    rec = i.records
     h = hash_byte("dmg", "name")
     concepts = F.when(h.between(30, 39), F.map_filter("concepts", lambda k, v: k != "demarcation")).when(
         h.between(40, 49), F.map_concat("concepts", F.map_from_arrays(F.array(F.lit("halo")), F.array(F.struct(
@@ -69,7 +69,7 @@ def set_differences(i):
   LEFT JOIN (SELECT path, sum(value) AS v, count(*) FILTER (supervise) AS s FROM trusted GROUP BY path) t USING (path)""",
        "embedding_pools curated trusted", r="value_sum supervised suspicion")
 def assemble(i):
-    rec = TR.concept_arrays(TR.label_records(i.curated, i.trusted)).filter(hash_byte("nolab", "name") >= 60)
+    rec = TR.concept_arrays(i.records).filter(hash_byte("nolab", "name") >= 60)
     rec = rec.select("name", "value", "trust", "supervise", "suspicion", "decision")
     twice = rec.withColumn("version", F.lit(2)).unionByName(rec.withColumn("version", F.lit(1)).withColumn("decision", F.lit("STALE")))
     a = L.assemble(i.embedding_pools, twice)

@@ -86,6 +86,10 @@ class Inputs:
     def curated(self) -> DataFrame:
         return trust.curate_frames(self.frames, self.trusted)
 
+    @property
+    def records(self) -> DataFrame:
+        return trust.curated_records(self.frames, self.trusted)
+
     @property
     def profile(self) -> DataFrame:
         """Persisted, for mining reads it more than once; a lost executor's blocks are computed again."""

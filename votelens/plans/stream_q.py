@@ -13,7 +13,7 @@ from votelens.streaming import monitor as M
 def label_files(i):
     """Label records as JSON files, a few of them cut off."""
     path = scratch_path(i.spark, "arriving")
-    rec = TR.label_records(i.curated, i.trusted)
+    rec = i.records
     text = F.to_json(F.struct("image", "name", "split", "label", "center", "decision", "frame_trust", "suspicion", "verified", "concepts"))
     rec = rec.select("name", text.alias("value"))
     cut = F.when(hash_byte("trunc", "name") < 5, F.expr("substring(value, 1, 30)")).otherwise(F.col("value"))

@@ -241,7 +241,7 @@ def modal_value(i):
   FROM (SELECT f.path, v.ord, t.value, t.trust, t.supervise FROM frames f CROSS JOIN vocab v LEFT JOIN trusted t ON t.path = f.path AND t.concept = v.concept)
   GROUP BY path""", "frames trusted vocab")
 def concept_arrays(i):
-    a = TR.concept_arrays(TR.label_records(i.curated, i.trusted).select("path", "concepts"))
+    a = TR.concept_arrays(i.records.select("path", "concepts"))
     text = lambda c, f: F.array_join(F.transform(c, lambda x: F.format_string(f, x)), ",").alias(c)
     return a.select("path", text("value", "%.4f"), text("trust", "%.4f"), text("supervise", "%.0f"))
 
