@@ -306,9 +306,9 @@ def above_threshold_share(scored: DataFrame, pool: DataFrame, bucket: str, targe
 
 
 def grouped_auroc(df: DataFrame, by: list[str], score: str, label: str = "label", bounded: bool = True,
-                  folded: bool = False) -> DataFrame:
+                  folded: bool = False, weight: str | None = None) -> DataFrame:
     """AUROC per group with the counts that guards need; ``folded`` returns max(a, 1 - a)."""
-    m = curve_metrics(curve(score_groups(df, by, score, label), by, bounded), by)
+    m = curve_metrics(curve(score_groups(df, by, score, label, weight), by, bounded), by)
     a = F.greatest(F.col("auroc"), 1.0 - F.col("auroc")) if folded else F.col("auroc")
     return m.select(*by, (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", "n_neg",
                     F.when(F.col("auroc").isNotNull(), a).alias("auroc"))

@@ -30,8 +30,8 @@ def config_suspicion(cells: DataFrame) -> DataFrame:
     return core_profile(d, ("config", "path")).select("config", "path", round4(F.col("_su")).alias("suspicion"))
 
 
-def assessable_auroc(lc: DataFrame, by: list[str]) -> DataFrame:
-    a = grouped_auroc(lc.filter(F.col("m") > 0), by, "c", folded=True)
+def assessable_auroc(lc: DataFrame, by: list[str], weight: str | None = None) -> DataFrame:
+    a = grouped_auroc(lc.filter(F.col("m") > 0), by, "c", folded=True, weight=weight)
     return a.select(*by, F.when(F.col("n") >= 10, F.col("auroc")).alias("auroc"))
 
 
@@ -100,13 +100,18 @@ def escalation_band(votes: DataFrame, frames: DataFrame, order: list[str], lows:
 
 
 def ab_compare(cells_a: DataFrame, cells_b: DataFrame, frames: DataFrame) -> DataFrame:
-    """Two strategies per concept: AUROC over all and over assessable cells, coverage, and the differences."""
+    """Two strategies per concept: AUROC over all and over assessable cells, coverage, and the differences.
+
+    A cell averages a handful of votes, so few triples of value, coverage and reliability occur: their counts per concept and label
+    are persisted, and the cells are computed once for each strategy."""
     lab = frames.filter(F.col("label").isin(0, 1)).select("path", "label")
     both = cells_a.withColumn("arm", F.lit("a")).unionByName(cells_b.withColumn("arm", F.lit("b"))).join(lab, "path")
     by = ["arm", "concept"]
-    a = grouped_auroc(both, by, "c", folded=True).select(*by, "auroc")
-    s = assessable_auroc(both, by).withColumnRenamed("auroc", "auroc_ass")
-    m = both.groupBy(*by).agg((F.sum("m") / F.count("m")).alias("assess"), (F.sum("r") / F.count("r")).alias("rel"))
+    t = both.groupBy(*by, "c", "m", "r", "label").agg(F.count(F.lit(1)).alias("n")).persist()
+    a = grouped_auroc(t, by, "c", folded=True, weight="n").select(*by, "auroc")
+    s = assessable_auroc(t, by, "n").withColumnRenamed("auroc", "auroc_ass")
+    mean = lambda x: F.sum(F.col(x) * F.col("n")) / F.sum(F.when(F.col(x).isNotNull(), F.col("n")))
+    m = t.groupBy(*by).agg(mean("m").alias("assess"), mean("r").alias("rel"))
     j = a.join(s, by, "left").join(m, by)
     pick = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c))).alias(f"{c}_{arm}")
     g = j.groupBy("concept").agg(*[pick(arm, c) for arm in "ab" for c in ("auroc", "auroc_ass", "assess", "rel")])
