@@ -169,7 +169,8 @@ def full_report(i):
 
 
 def confirm_inputs(i):
-    lc = i.lcells.filter(F.col("concept").isin(V.DISCRIMINATIVE))
+    """Labelled cells by split, persisted, for every gate and the bootstrap read them; a lost executor's blocks are computed again."""
+    lc = i.lcells.filter(F.col("concept").isin(V.DISCRIMINATIVE)).drop("n_votes").persist()
     return lc.filter("split = 'train'"), lc.filter("split = 'val'")
 
 
