@@ -51,8 +51,9 @@ def quarantine(labels: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
             .outputMode("append").trigger(availableNow=True).start())
 
 
-# What is kept of a frame between batches: the votes seen, and four sums for each concept it has votes on.
-SEEN = "seen array<string>, concept array<string>, n array<long>, k array<long>, s array<double>, q array<double>"
+# What is kept of a frame between batches: the concepts seen from each voter (a bit for each of the vocabulary's 35), and four sums
+# for each concept it has votes on.
+SEEN = "voter array<string>, seen array<long>, concept array<string>, n array<long>, k array<long>, s array<double>, q array<double>"
 SUMS = "path string, concept string, n long, k long, s double, q double"
 
 
@@ -60,17 +61,18 @@ def add_votes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
     """Adds a frame's new votes to its sums; a vote (expert, lens, concept) that was seen before counts once.
 
     Returns the sums of all the frame's concepts, so that its decision needs nothing but this row's state. The state is
-    bounded by the votes one frame can get (its annotators times 35 concepts)."""
-    seen, sums = set(), {}
+    bounded by the annotators of one frame and the 35 concepts."""
+    seen, sums = {}, {}
     if state.exists:
         kept = state.get
-        seen = set(kept[0])
-        sums = {c: list(four) for c, *four in zip(*kept[1:])}
+        seen = dict(zip(kept[0], kept[1]))
+        sums = {c: list(four) for c, *four in zip(*kept[2:])}
     for part in parts:
-        for vote, concept, value, mask in zip(part["vote"], part["concept"], part["value"], part["mask"]):
-            if vote in seen:
+        for voter, bit, concept, value, mask in zip(*(part[c].tolist() for c in ("voter", "bit", "concept", "value", "mask"))):
+            before = seen.get(voter, 0)
+            if before & bit:
                 continue
-            seen.add(vote)
+            seen[voter] = before | bit
             four = sums.setdefault(concept, [0, 0, 0.0, 0.0])
             four[0] += 1
             if mask == 1:
@@ -79,7 +81,8 @@ def add_votes(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> I
                 four[3] += value * value
     names = sorted(sums)
     columns = [[sums[c][j] for c in names] for j in range(4)]
-    state.update((sorted(seen), names, *columns))
+    voters = sorted(seen)
+    state.update((voters, [seen[v] for v in voters], names, *columns))
     n, k, s, q = columns
     yield pd.DataFrame({"path": key[0], "concept": names, "n": n, "k": k, "s": s, "q": q})
 
@@ -88,8 +91,9 @@ def running_sums(votes: DataFrame) -> DataFrame:
     """(path, concept, n, k, s, q) of every frame that a batch touches, from keyed state. Votes without a path, or on an
     unknown concept, are left out; a missing expert or lens is a value of its own."""
     nv = VO.normalize_votes(votes.filter(F.col("path").isNotNull()))
-    vote = F.to_json(F.struct("expert", "lens", "concept"))
-    return nv.select("path", vote.alias("vote"), "concept", "value", "mask").groupBy("path").applyInPandasWithState(
+    voter = F.to_json(F.struct("expert", "lens"))
+    bit = F.expr("shiftleft(1L, ord)")  # of the concept, below 2**35
+    return VO.with_vocabulary(nv, "ord").select("path", voter.alias("voter"), bit.alias("bit"), "concept", "value", "mask").groupBy("path").applyInPandasWithState(
         add_votes, SUMS, SEEN, "update", GroupStateTimeout.NoTimeout)
 
 
