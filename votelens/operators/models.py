@@ -480,11 +480,14 @@ def ship_ensemble(emb: DataFrame, members: list[tuple[list[str], float]], debias
 def concept_ceiling(values: DataFrame, subsets: dict[str, tuple[list[str], bool]]) -> DataFrame:
     """Logistic heads on concept values: AUROC and precision transfer both ways per concept subset. ``values`` has
     (name, label, center, value map, trust map); a subset may weight values by trust."""
-    values = cut_lineage(values)
+    def features(names: list[str], weighted: bool) -> Column:
+        return F.array(*[F.coalesce(F.col("value")[n], F.lit(0.0)) * (F.coalesce(F.col("trust")[n], F.lit(0.0)) if weighted else F.lit(1.0)) for n in names])
+
+    # the maps are searched once, before the many passes of the fits
+    values = cut_lineage(values.select("name", "label", "center", *[features(*s).alias(f"x{i}") for i, s in enumerate(subsets.values())]))
     long = None
-    for tag, (names, weighted) in subsets.items():
-        x = F.array(*[F.coalesce(F.col("value")[n], F.lit(0.0)) * (F.coalesce(F.col("trust")[n], F.lit(0.0)) if weighted else F.lit(1.0)) for n in names])
-        d = _xy(values.withColumn("x", x))
+    for i, tag in enumerate(subsets):
+        d = _xy(values.withColumn("x", F.col(f"x{i}")))
         for a, _ in LEGS:
             m = balanced_logistic(d.filter(F.col("center") == a), 1.0)
             s = positive_probability(m, d).select(F.lit(tag).alias("subset"), F.lit(a).alias("fit"), "label", "center", "score")

@@ -125,7 +125,7 @@ def ship_ensemble(i):
 
 @query("concept_ceiling")
 def concept_ceiling(i):
-    v = M.value_maps(i.trusted, i.frames)
+    v = M.value_maps(i.ltrusted, i.frames)
     return M.concept_ceiling(v, {"all": (V.NAMES, False), "trusted": (V.TRUSTED_DISCRIMINATIVE, False), "trusted x trust": (V.TRUSTED_DISCRIMINATIVE, True)})
 
 

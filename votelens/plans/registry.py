@@ -107,13 +107,21 @@ class Inputs:
     def lab(self) -> DataFrame:
         return self.frames.filter(F.col("label").isin(0, 1)).select("path", "label", "center", "split")
 
+    def labelled_cells(self, alt: bool = False) -> DataFrame:
+        """Cells of the paths that hold a labelled frame: votes of other paths are never built."""
+        return votes.aggregate_votes(views.raw_votes(self.spark, self.sf_dir, alt, labelled=True))
+
     @property
     def lcells(self) -> DataFrame:
-        return self.cells.join(self.lab, "path")
+        return self.labelled_cells().join(self.lab, "path")
 
     @property
     def lcells_alt(self) -> DataFrame:
-        return self.cells_alt.join(self.lab, "path")
+        return self.labelled_cells(alt=True).join(self.lab, "path")
+
+    @property
+    def ltrusted(self) -> DataFrame:
+        return trust.cell_trust(self.labelled_cells())
 
     @property
     def model_cells(self) -> DataFrame:

@@ -6,7 +6,7 @@ never scanned). Ids become frame names, languages become acquisition centers, so
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from votelens import vocabulary as V
@@ -32,9 +32,10 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("split"))
 
 
-def raw_votes(spark: SparkSession, sf_dir: str, alt: bool = False) -> DataFrame:
+def raw_votes(spark: SparkSession, sf_dir: str, alt: bool = False, labelled: bool = False) -> DataFrame:
     """Long annotator votes (path, expert, lens, concept, raw). ``alt`` is a re-extraction in which a
-    quarter of the cells was read differently."""
+    quarter of the cells was read differently. With ``labelled`` all votes of the paths that hold a labelled frame, for
+    readers that join the cells to labelled frames: the votes of the other paths would only be dropped there."""
     vocab = F.array(*[F.struct(F.lit(r[0]).alias("concept"), F.lit(len(r[5])).alias("_n")) for r in V.vocabulary_rows()])
     panel = F.array(*[F.struct(F.lit(e).alias("expert"), F.lit(i).alias("lens"))
                       for e in V.EXPERT_ORDER for i in range(V.EXPERT_VOTES[e])])
@@ -42,6 +43,8 @@ def raw_votes(spark: SparkSession, sf_dir: str, alt: bool = False) -> DataFrame:
     # path keep this partitioning, so the votes themselves are never shuffled.
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     f = frames(spark, sf_dir).select("path", "name", "label").repartition(n, "path")
+    if labelled:  # the rows of a path are in one partition already
+        f = f.withColumn("_any", F.max(F.col("label").isin(0, 1)).over(Window.partitionBy("path"))).filter("_any").drop("_any")
     cells = f.select("*", F.explode(vocab).alias("_c")).select("*", "_c.*").drop("_c")
     own = hash_byte("b", "name", "concept")
     if alt:
