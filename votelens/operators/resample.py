@@ -200,6 +200,12 @@ def draw_counts(pool: DataFrame, plan: DataFrame, reps: int, seed: int) -> DataF
 
     ``pool``: skey (the stratum), idx (dense places in it) and the columns to keep. ``plan``: skey, digest (16 hex digits of the
     stream), size and draws. Result: the kept columns, rb (block of replicates), w (one count per replicate of the block)."""
+    return _counted_rows(pool, _hits(plan, reps, seed), reps)
+
+
+def _counted_rows(pool: DataFrame, hits: DataFrame, reps: int) -> DataFrame:
+    """:func:`draw_counts` from the draws of :func:`_hits`; several selections of a pool's columns may share them. Rows of a cell with
+    equal kept columns are one, so a selection should keep no column that its reader does not need."""
     keep = [c for c in pool.columns if c not in ("skey", "idx")]
     schema = ", ".join([f"{c} {pool.schema[c].dataType.simpleString()}" for c in keep] + ["rb long", "w binary"])
 
@@ -224,7 +230,7 @@ def draw_counts(pool: DataFrame, plan: DataFrame, reps: int, seed: int) -> DataF
         return pa.concat_tables(out) if out else blank
 
     cells = pool.withColumn("cell", F.floor(F.col("idx") / CELL))
-    return cells.groupBy("skey", "cell").cogroup(_hits(plan, reps, seed).groupBy("skey", "cell")).applyInArrow(run, schema)
+    return cells.groupBy("skey", "cell").cogroup(hits.groupBy("skey", "cell")).applyInArrow(run, schema)
 
 
 def _slots(rb: int, reps: int) -> int:
@@ -358,6 +364,12 @@ def replicate_ppv(counts: DataFrame, reps: int, at: dict[str, Column]) -> DataFr
     return sums.select("rep", *[(F.col(f"{n}_tp") / F.greatest(F.col(f"{n}_all"), F.lit(1))).alias(n) for n in names])
 
 
+def _fixed_ppv(pool: DataFrame, hits: DataFrame, reps: int, at: dict[str, Column]) -> DataFrame:
+    """:func:`replicate_ppv` of a pool: a cell keeps a row for each label and combination of the conditions, not for each score."""
+    flags = pool.select("skey", "idx", "label", *[c.alias(n) for n, c in at.items()])
+    return replicate_ppv(_counted_rows(flags, hits, reps), reps, {n: F.col(n) for n in at})
+
+
 def bucketed(rows: DataFrame, source: DataFrame, by: list[str], score: str, out: str = "bucket") -> DataFrame:
     """Adds to ``rows`` the bucket of each score, cut by the rows of ``source``: equal scores share one, and every bucket but those of
     hot scores holds about as many rows."""
@@ -389,18 +401,32 @@ def _mix_plan(scored: DataFrame, prevalence: float, by: list[str]) -> DataFrame:
     return neg.unionByName(t.select(*by, F.lit(1).alias("label"), F.lit("*").alias("stratum"), F.col("_P").alias("size"), F.col("_P").cast("long").alias("draws")))
 
 
-def stratified_counts(scored: DataFrame, reps: int, seed: int, prevalence: float = 0.01, values: list[str] = ("score",), by: list[str] = ()) -> DataFrame:
-    """Counts of draws at a prevalence: positives pooled, negatives stratified by center. Buckets: bucket, bucket_<value> from the second on."""
-    values, by = list(values), list(by)
+def _stratified(scored: DataFrame, seed: int, prevalence: float, values: list[str], by: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Pool (skey, idx, by, label, values) and plan of draws at a prevalence, as :func:`draw_counts` takes them."""
+    by = list(by)
     rows = scored.select(*by, "name", F.col("label").cast("int").alias("label"), "center", *[F.col(v).cast("double").alias(v) for v in values])
     plan = _mix_plan(rows, prevalence, by)
     stream = _stream(*by, "stratum", "label") if by else _stream("label", "stratum")
     skey = F.to_json(F.struct(*by, "label", "stratum"))
     pool = hash_index(rows.withColumn("stratum", _stratum()), [*by, "label", "stratum"], "name", f"pool{seed}")
-    for i, v in enumerate(values):
-        pool = bucketed(pool, rows, by, v, f"bucket_{v}" if i else "bucket")
     pool = pool.withColumn("skey", skey).drop("name", "center", "stratum")
-    return draw_counts(pool, plan.select(skey.alias("skey"), stream.alias("digest"), "size", "draws"), reps, seed)
+    for v in values:  # a place without a score counts in the draws only
+        pool = pool.filter(F.col(v).isNotNull())
+    return pool, plan.select(skey.alias("skey"), stream.alias("digest"), "size", "draws")
+
+
+def _with_bucket(pool: DataFrame, scored: DataFrame, by: list[str], value: str, out: str = "bucket") -> DataFrame:
+    """A pool of :func:`_stratified` with the bucket of one of its scores."""
+    return bucketed(pool, scored.select(*by, F.col(value).cast("double").alias(value)), by, value, out)
+
+
+def stratified_counts(scored: DataFrame, reps: int, seed: int, prevalence: float = 0.01, values: list[str] = ("score",), by: list[str] = ()) -> DataFrame:
+    """Counts of draws at a prevalence: positives pooled, negatives stratified by center. Buckets: bucket, bucket_<value> from the second on."""
+    values, by = list(values), list(by)
+    pool, plan = _stratified(scored, seed, prevalence, values, by)
+    for i, v in enumerate(values):
+        pool = _with_bucket(pool, scored, by, v, f"bucket_{v}" if i else "bucket")
+    return draw_counts(pool, plan, reps, seed)
 
 
 def iid_counts(scored: DataFrame, reps: int, seed: int, by: list[str] = ()) -> DataFrame:
@@ -422,12 +448,14 @@ def summary(col: str, prefix: str) -> list[Column]:
 def bootstrap(scored: DataFrame, reps: int = 1000, seed: int = 12345, target: float = 0.9, prevalence: float = 0.01,
               fixed_thr: float | None = None) -> DataFrame:
     """Precision at recall under prevalence resampling: curve, oracle, optional fixed threshold, median FPR."""
-    counts = stratified_counts(scored, reps, seed, prevalence)
-    m = replicate_metrics(counts, reps, target=target)
+    pool, plan = _stratified(scored, seed, prevalence, ["score"])
+    hits = _hits(plan, reps, seed)
+    m = replicate_metrics(_counted_rows(_with_bucket(pool, scored, [], "score"), hits, reps), reps, target=target)
     if fixed_thr is None:
         m = m.withColumn("fixed", F.lit(None).cast("double"))
     else:
-        m = m.join(replicate_ppv(counts, reps, {"fixed": F.col("score") >= fixed_thr}), "rep", "left").withColumn("fixed", F.coalesce("fixed", F.lit(0.0)))
+        fixed = _fixed_ppv(pool, hits, reps, {"fixed": F.col("score") >= fixed_thr})
+        m = m.join(fixed, "rep", "left").withColumn("fixed", F.coalesce("fixed", F.lit(0.0)))
     return m.agg(F.count(F.lit(1)).alias("reps"), F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"),
                  F.percentile("fpr_incl", 0.5).alias("fpr_median"), *summary("ppv", "curve"),
                  *summary("ppv_oracle", "oracle"), *summary("fixed", "fixed"))
@@ -467,13 +495,14 @@ METRIC_COLUMN = {"curve": "ppv", "auroc": "auroc", "auprc": "auprc"}
 def paired_replicates(scored: DataFrame, a: str, b: str, reps: int, seed: int, mode: str, target: float = 0.9,
                       prevalence: float = 0.01, thr_a: float | None = None, thr_b: float | None = None) -> DataFrame:
     """metric(a) - metric(b) per replicate on shared draws."""
-    counts = stratified_counts(scored, reps, seed, prevalence, [a, b])
+    pool, plan = _stratified(scored, seed, prevalence, [a, b])
+    hits = _hits(plan, reps, seed)
     if mode == "fixed":
-        m = replicate_ppv(counts, reps, {"_a": F.col(a) >= thr_a, "_b": F.col(b) >= thr_b})
+        m = _fixed_ppv(pool, hits, reps, {"_a": F.col(a) >= thr_a, "_b": F.col(b) >= thr_b})
         return m.select("rep", (F.col("_a") - F.col("_b")).alias("delta"))
     v = METRIC_COLUMN[mode]
-    ma = replicate_metrics(counts, reps, target=target, score=a).select("rep", F.col(v).alias("_a"))
-    mb = replicate_metrics(counts, reps, target=target, score=b, bucket=f"bucket_{b}").select(F.col("rep").alias("_rep"), F.col(v).alias("_b"))
+    ma, mb = (replicate_metrics(_counted_rows(_with_bucket(pool.select("skey", "idx", "label", c), scored, [], c), hits, reps), reps, target=target, score=c) for c in (a, b))
+    ma, mb = ma.select("rep", F.col(v).alias("_a")), mb.select(F.col("rep").alias("_rep"), F.col(v).alias("_b"))
     return ma.join(mb, F.col("rep") == F.col("_rep")).select("rep", (F.col("_a") - F.col("_b")).alias("delta"))
 
 
