@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from votelens.functions.ordering import attach, attach_groups, bounded_prefix_sums, exact_quantiles, ordered_index, prefix_sums, \
     tie_average_ranks
 from votelens.functions.scalars import safe_div
+from votelens.functions.score_ranges import group_quantiles, rank_metrics
 
 POOLED = "POOLED"
 
@@ -220,22 +221,22 @@ def rank_fuse_sweep(scored: DataFrame, a: str, b: str, weights: list[float], q:
     """w * rank01(a) + (1 - w) * rank01(b) over a weight grid, optionally de-floored per group and weight. ``name`` is unique.
 
     Both members are numbered in one pass over (member, score, name) and meet again by name. The ranks are kept by the
-    session's executors (and computed again where one is lost), because floors and metrics both read them."""
+    session's executors (and computed again where one is lost), because floors and metrics both read them. Scores of the grid are
+    never rows of a shuffle, see ``functions/score_ranges.py``."""
     members = F.array(*[F.struct(F.lit(m).alias("_m"), F.col(c).cast("double").alias("_s")) for m, c in (("a", a), ("b", b))])
     long = scored.select("name", "label", group, F.explode(members).alias("_e")).select("name", "label", group, "_e.*")
     ranked = rank01(long, ["_m"], "_s", "_r")
     r = ranked.groupBy("name", "label", group).agg(F.max(F.when(F.col("_m") == "a", F.col("_r"))).alias("_ra"),
                                                    F.max(F.when(F.col("_m") == "b", F.col("_r"))).alias("_rb"))
-    r = r.persist(StorageLevel.DISK_ONLY)
-    grid = F.array(*[F.lit(float(w)) for w in weights])
-    e = r.select("name", "label", group, F.explode(grid).alias("w"), "_ra", "_rb").select(
-        "name", "label", group, "w", (F.col("w") * F.col("_ra") + (1.0 - F.col("w")) * F.col("_rb")).alias("score"))
-    out = score_metrics(e, ["w"], target).select("w", F.lit(False).alias("defloored"), "fpr_strict", "auroc")
+    r = r.select("label", group, "_ra", "_rb").persist(StorageLevel.DISK_ONLY)
+    scores = [F.lit(float(w)) * F.col("_ra") + (1.0 - F.lit(float(w))) * F.col("_rb") for w in weights]
+    w_of = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") + 1).cast("int"))
+    of = lambda rows, scores, floored: rank_metrics(rows, scores, lambda total: k_at_recall(total, target)).select(
+        w_of.alias("w"), F.lit(floored).alias("defloored"), "fpr_strict", "auroc")
+    out = of(r, scores, False)
     if q is not None:
-        fl = exact_quantiles(e, ["w", group], "score", {"_floor": q})
-        e2 = attach_groups(e, fl, ["w", group]).select("label", "w", (F.col("score") - F.col("_floor")).alias("score"))
-        out = out.unionByName(score_metrics(e2, ["w"], target).select(
-            "w", F.lit(True).alias("defloored"), "fpr_strict", "auroc"))
+        e = attach_groups(r, group_quantiles(r, group, scores, q, "_floor"), [group])
+        out = out.unionByName(of(e, [s - F.col(f"_floor{i}") for i, s in enumerate(scores)], True))
     return out
 
 
