@@ -9,6 +9,9 @@ of three and more with a byte on top: a bootstrap's counts hold about that much
 Metrics need the curve of every replicate. The score axis is cut into buckets of about ``BUCKET_ROWS`` pool rows by exact prefix sums;
 each bucket adds up its counts, a scan over at most ``BUCKETS`` bucket totals gives every bucket what lies above it, and a second look at
 the bucket yields its share of each replicate's metrics. All arrays are bounded by these constants, whatever the pool's size.
+
+AUROC alone needs no curve: it is a sum over pairs of a window of negatives and a window of positives. :func:`paired_aurocs` sends the
+scores of such windows to the tasks that draw, and a task hands on one number for each replicate, so no counts are shuffled.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+import pyarrow.compute as pc
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +40,8 @@ CELL, DENSE = 1 << 15, 1 << 16
 CHUNK = 1 << 16
 #: Counters a task holds at once: replicates times places. A larger pool is counted window by window, its draws hashed for each.
 WINDOW = 1 << 24
+#: Places of negatives whose scores a task of paired_aurocs holds, places of positives that it meets with them, and replicates it draws.
+NEGATIVES, POSITIVES, AUROC_REPS = 1 << 23, 1 << 22, 1 << 8
 #: Pool rows of a bucket of the score axis at least, and buckets at most.
 BUCKET_ROWS, BUCKETS = 1 << 13, 1 << 13
 
@@ -506,9 +512,112 @@ def paired_replicates(scored: DataFrame, a: str, b: str, reps: int, seed: int, m
     return ma.join(mb, F.col("rep") == F.col("_rep")).select("rep", (F.col("_a") - F.col("_b")).alias("delta"))
 
 
+def _score_cells(pool: DataFrame, values: list[str]) -> DataFrame:
+    """skey, label, cell, scores: the scores of each value by place of the cell, NaN at places without."""
+    shape = pa.schema([("skey", pa.string()), ("label", pa.int32()), ("cell", pa.int64()), ("scores", pa.binary())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        at = rows.column("idx").to_numpy() % CELL
+        held = np.full((len(values), int(at.max()) + 1), np.nan)
+        for x, v in zip(held, values):
+            x[at] = rows.column(v).to_numpy()
+        return pa.Table.from_pylist([{c: rows.column(c)[0].as_py() for c in ("skey", "label", "cell")} | {"scores": held.tobytes()}], shape)
+
+    cells = pool.select("skey", "label", F.floor(F.col("idx") / CELL).cast("long").alias("cell"), "idx", *values)
+    return cells.groupBy("skey", "label", "cell").applyInArrow(run, "skey string, label int, cell long, scores binary")
+
+
+def _scores(cells: pa.Table, i: int, n: int, start: int, stop: int) -> np.ndarray:
+    """The scores of places start..stop-1 in the i-th of n values, from rows of :func:`_score_cells`."""
+    out = np.full(stop - start, np.nan)
+    for cell, held in zip(cells.column("cell").to_pylist(), cells.column("scores")):
+        part, at = np.frombuffer(held.as_buffer(), np.float64).reshape(n, -1)[i], cell * CELL - start
+        out[at:at + len(part)] = part
+    return out
+
+
+def paired_aurocs(scored: DataFrame, values: list[str], reps: int, seed: int, prevalence: float = 0.01) -> DataFrame:
+    """rep and ``auroc``i of each score on shared draws, equal to those of :func:`replicate_metrics`; null without both classes.
+
+    A task holds the scores of NEGATIVES places of one stratum and of POSITIVES places of the positives, and draws AUROC_REPS replicates of
+    both. Its negatives know their place among the positives' distinct scores, so a replicate costs its draws and one look-up for each
+    place. Scores are sent once for each group of replicates, eight bytes for each value and row."""
+    n = len(values)
+    pool, plan = _stratified(scored, seed, prevalence, values)
+    cells = _score_cells(pool.filter(F.col("label").isin(0, 1)), values).persist(StorageLevel.DISK_ONLY)  # negatives and positives read them
+    positive = F.get_json_object("skey", "$.label") == "1"
+    one = plan.filter(positive).agg(F.max("digest").alias("pdigest"), F.max("size").alias("psize"), F.max("draws").alias("pdraws"))  # one row
+    keys = ["skey", "window", "part", "group"]
+    long = lambda x: F.lit(x).cast("long")
+    upto = lambda last: F.explode(F.sequence(long(0), last.cast("long")))
+    parts, groups = upto(F.floor(F.greatest(F.col("psize") - 1, long(0)) / POSITIVES)), upto(long((reps - 1) // AUROC_REPS))
+    tasks = plan.filter(~positive & (F.col("draws") > 0) & (F.col("size") > 0)).crossJoin(F.broadcast(one))
+    tasks = tasks.withColumn("window", upto(F.floor((F.col("size") - 1) / NEGATIVES))).withColumn("part", parts).withColumn("group", groups)
+    known = ["digest", "size", "draws", "pdigest", "psize", "pdraws"]
+    tasks = tasks.select(*keys, *known)
+    met = cells.filter(F.col("label") == 1).select(F.floor(F.col("cell") * CELL / POSITIVES).alias("part"), "cell", "scores")
+    met = attach(met, tasks.select(*keys), ["part"])
+    right = tasks.unionByName(met.select(*keys, "cell", "scores"), allowMissingColumns=True)
+    left = cells.filter(F.col("label") == 0).crossJoin(F.broadcast(one.select("psize")))
+    left = left.select("skey", F.floor(F.col("cell") * CELL / NEGATIVES).alias("window"), "psize", "cell", "scores").withColumn("part", parts).withColumn("group", groups)
+    shape = pa.schema([*[(c, pa.int64()) for c in ("rep", "part", "p", "n")], *[(f"u{i}", pa.int64()) for i in range(n)]])
+
+    def run(negatives: pa.Table, rest: pa.Table) -> pa.Table:
+        task = [r for r in rest.select([*keys, *known]).to_pylist() if r["digest"] is not None]
+        if not len(negatives) or not task:
+            return shape.empty_table()
+        task = task[0]
+        start, first = task["window"] * NEGATIVES, task["part"] * POSITIVES
+        stop, last = min(task["size"], start + NEGATIVES), min(task["psize"], first + POSITIVES)
+        met = rest.filter(pc.is_valid(rest.column("scores")))
+        place, axis_of, slots = [], [], []
+        for i in range(n):
+            held, above = _scores(negatives, i, n, start, stop), _scores(met, i, n, first, last)
+            some, drawable = ~np.isnan(held), ~np.isnan(above)  # the same places for every value
+            axis, at = np.unique(above[drawable], return_inverse=True)
+            # even: between two distinct scores of the positives, odd: equal to one; the last one is for places without a score
+            code = np.full(len(held), 2 * len(axis) + 1, np.int32)
+            for j in range(0, len(held), CHUNK):
+                here, x = some[j:j + CHUNK], held[j:j + CHUNK]
+                code[j:j + CHUNK][here] = np.searchsorted(axis, x[here], "left") + np.searchsorted(axis, x[here], "right")
+            place.append(code)
+            axis_of.append(at)
+            slots.append(len(axis))
+        del held, above
+        lanes, plane = ((int(task[d][:8], 16), int(task[d][8:16], 16)) for d in ("digest", "pdigest"))
+        mine, out = range(task["group"] * AUROC_REPS, min(reps, (task["group"] + 1) * AUROC_REPS)), []
+        span = max(1, min(len(mine), WINDOW // max(stop - start, last - first, 1)))
+        for r in range(mine.start, mine.stop, span):
+            some_reps = range(r, min(r + span, mine.stop))
+            drawn = _counted(plane, some_reps, task["pdraws"], task["psize"], seed, first, last)[:, drawable]
+            counts = _counted(lanes, some_reps, task["draws"], task["size"], seed, start, stop)
+            for rep, p, c in zip(some_reps, drawn, counts):
+                row = {"rep": rep, "part": task["part"], "p": int(p.sum(dtype=np.int64)), "n": int(c.sum(where=some, dtype=np.int64))}
+                for i in range(n):
+                    cum = np.r_[0, np.cumsum(np.bincount(axis_of[i], p, slots[i]).astype(np.int64))]
+                    twice = np.r_[2 * cum[-1] - cum[np.arange(2 * slots[i] + 1) // 2] - cum[(np.arange(2 * slots[i] + 1) + 1) // 2], 0]  # positives above, ties count one half
+                    row[f"u{i}"] = sum(int(np.dot(twice[place[i][j:j + CHUNK]], c[j:j + CHUNK])) for j in range(0, len(c), CHUNK))
+                out.append(row)
+        return pa.Table.from_pylist(out, shape)
+
+    # groups are few and each is much work: an explicit count keeps them apart
+    many = 4 * int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = [d.select(*keys, *cols).repartition(many, *keys) for d, cols in ((left, ("cell", "scores")), (right, (*known, "cell", "scores")))]
+    u = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInArrow(run, ", ".join(f"{c} long" for c in shape.names))
+    us = [f"u{i}" for i in range(n)]
+    # every task of a window of positives counts them, and the negatives are counted with each such window
+    u = u.groupBy("rep", "part").agg(F.max("p").alias("p"), *[F.sum(c).alias(c) for c in ("n", *us)]).groupBy("rep").agg(F.max("n").alias("n"), *[F.sum(c).alias(c) for c in ("p", *us)])
+    both = (F.col("p") > 0) & (F.col("n") > 0)
+    return u.select("rep", *[F.when(both, F.col(c) / 2.0 / (F.col("p").cast("double") * F.col("n"))).alias(f"auroc{i}") for i, c in enumerate(us)])
+
+
 def paired_bootstrap(scored: DataFrame, a: str, b: str, reps: int = 1000, seed: int = 12345, mode: str = "curve",
                      **kw) -> DataFrame:
-    d = paired_replicates(scored, a, b, reps, seed, mode, **kw)
+    if mode == "auroc":  # equal to paired_replicates
+        m = paired_aurocs(scored, [a, b], reps, seed, kw.get("prevalence", 0.01))
+        d = m.select("rep", (F.col("auroc0") - F.col("auroc1")).alias("delta"))
+    else:
+        d = paired_replicates(scored, a, b, reps, seed, mode, **kw)
     return d.agg(F.count("delta").alias("reps"),
                  (F.count(F.when(F.col("delta") > 0, 1)) / F.count("delta")).alias("p_gt0"),
                  F.percentile("delta", 0.5).alias("median_delta"), (F.sum("delta") / F.count("delta")).alias("mean_delta"),
